@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_best_fit_packing
+from .quality import op8_quality_classifier
 from .sharding import op5_feistel_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_sharding": op5_feistel_sharding,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
