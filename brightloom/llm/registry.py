@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op6_parity_sketch_join
 from .packing import op4_best_fit_packing
 from .quality import op8_quality_classifier
 from .sharding import op5_feistel_sharding
@@ -13,6 +14,7 @@ from .sharding import op5_feistel_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_sharding": op5_feistel_sharding,
+    "op6_parity_sketch_join": op6_parity_sketch_join,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
