@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op6_parity_sketch_join
 from .packing import op4_best_fit_packing
+from .personal_data import op3_weak_supervision_pii
 from .quality import op8_quality_classifier
+from .secret_scan import op7_secret_novelty
 from .sharding import op5_feistel_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_parity_sketch_join": op6_parity_sketch_join,
+    "op7_secret_novelty": op7_secret_novelty,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
