@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op6_parity_sketch_join
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op4_best_fit_packing
 from .personal_data import op3_weak_supervision_pii
 from .quality import op8_quality_classifier
@@ -14,6 +15,7 @@ from .secret_scan import op7_secret_novelty
 from .sharding import op5_feistel_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_sharding": op5_feistel_sharding,
@@ -22,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
