@@ -150,22 +150,22 @@ WITH each AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) d, unnest(range(1, len(lines) + 1)) AS t(no)
   WHERE trim(lines[t.no], ' ') <> ''
 ), firsts AS (
-  SELECT line, min((doc_id, no)) AS at FROM each GROUP BY line
+  SELECT line, min((doc_id, no)) AS spot FROM each GROUP BY line
 ), sent AS (
-  SELECT line, at, t.cut, CASE WHEN t.cut = 0 THEN line ELSE left(line, t.cut - 1) || substr(line, t.cut + 1) END AS variant
+  SELECT line, spot, t.cut, CASE WHEN t.cut = 0 THEN line ELSE left(line, t.cut - 1) || substr(line, t.cut + 1) END AS variant
   FROM firsts, unnest(range(0, length(line) + 1)) AS t(cut)
   WHERE length(line) >= {NEAR_CHARS}
 ), seen AS (
-  SELECT line, at,
-    CASE WHEN cut > 0 THEN min(CASE WHEN cut > 0 THEN at END) OVER (PARTITION BY variant, cut) END AS s,
-    CASE WHEN cut > 0 THEN min(CASE WHEN cut = 0 THEN at END) OVER (PARTITION BY variant)
-         ELSE min(CASE WHEN cut > 0 THEN at END) OVER (PARTITION BY variant) END AS d
+  SELECT line, spot,
+    CASE WHEN cut > 0 THEN min(CASE WHEN cut > 0 THEN spot END) OVER (PARTITION BY variant, cut) END AS s,
+    CASE WHEN cut > 0 THEN min(CASE WHEN cut = 0 THEN spot END) OVER (PARTITION BY variant)
+         ELSE min(CASE WHEN cut > 0 THEN spot END) OVER (PARTITION BY variant) END AS d
   FROM sent
 ), near AS (
-  SELECT DISTINCT line FROM seen WHERE s < at OR d < at
+  SELECT DISTINCT line FROM seen WHERE s < spot OR d < spot
 ), judged AS (
   SELECT e.doc_id, e.no, e.line,
-    CASE WHEN (e.doc_id, e.no) <> f.at THEN 'exact' WHEN n.line IS NOT NULL THEN 'near' END AS kind
+    CASE WHEN (e.doc_id, e.no) <> f.spot THEN 'exact' WHEN n.line IS NOT NULL THEN 'near' END AS kind
   FROM each e JOIN firsts f ON e.line = f.line LEFT JOIN near n ON e.line = n.line
 ), gone AS (
   SELECT doc_id, list(no) AS nos, count(*) FILTER (kind = 'exact') AS n_exact, count(*) FILTER (kind = 'near') AS n_near
@@ -173,7 +173,7 @@ WITH each AS (
 )
 SELECT d.doc_id,
   CASE WHEN g.nos IS NULL THEN d.text
-       ELSE coalesce(array_to_string([x.line FOR x IN list_zip(string_split(d.text, chr(10)), range(0, len(string_split(d.text, chr(10)))))::STRUCT(line VARCHAR, no BIGINT)[] IF NOT list_contains(g.nos, x.no)], chr(10)), '') END AS text,
+       ELSE coalesce(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.nos, i - 1)), chr(10)), '') END AS text,
   len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
   coalesce(g.n_exact, 0)::BIGINT AS n_exact,
   coalesce(g.n_near, 0)::BIGINT AS n_near

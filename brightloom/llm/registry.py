@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_template_decontamination
 from .jaccard_join import op6_parity_sketch_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op4_best_fit_packing
@@ -13,6 +14,7 @@ from .personal_data import op3_weak_supervision_pii
 from .quality import op8_quality_classifier
 from .secret_scan import op7_secret_novelty
 from .sharding import op5_feistel_sharding
+from .vector_search import op9_anisotropic_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_secret_novelty": op7_secret_novelty,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_anisotropic_search": op9_anisotropic_search,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
