@@ -11,12 +11,14 @@ from .jaccard_join import op6_parity_sketch_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op4_best_fit_packing
 from .personal_data import op3_weak_supervision_pii
+from .pitman_yor import op1_pitman_yor_scores
 from .quality import op8_quality_classifier
 from .secret_scan import op7_secret_novelty
 from .sharding import op5_feistel_sharding
 from .vector_search import op9_anisotropic_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op2_line_dedup": op2_line_dedup,
     "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
