@@ -61,3 +61,8 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 def crc_fold_of(doc_id: object, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
+
+
+def text_id(column: str) -> Column:
+    """A long as text, for the way through pandas, which has no null among whole numbers."""
+    return F.col(column).cast("long").cast("string").alias(column)

@@ -19,16 +19,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, text_id
 from .shingles import windows
 
 WIDTH = 8
@@ -42,7 +43,7 @@ UNITS = frozenset("kg g mg lb lbs oz ton tons km m cm mm mile miles ft feet foot
 _NUMBER = re.compile(r"[$€£]?[+-]?[0-9]+(?:[.,:/][0-9]+)*%?")
 _NUMBER_UNIT = re.compile(r"[$€£]?[0-9]+(?:[.,][0-9]+)*-?([A-Za-z]+)")
 _EDGE = "\"'`.,;:!?()[]{}*#&%$|<>"
-LEAKS = "doc_id long, item_id long, n_windows long, n_item_windows long, cover double, kind string, n_slots long, n_changed long"
+LEAKS = "doc_id string, item_id string, n_windows long, n_item_windows long, cover double, kind string, n_slots long, n_changed long"
 
 
 def _placeholder(kind: int) -> int:
@@ -112,7 +113,7 @@ def _window_width(n: int) -> int:
 class Benchmark:
     """Windows of a block of items, by hash."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.words, self.ids = Words(), [i for i, _ in items]
         self.items = templates([t for _, t in items], self.words)
         self.values = self.words.value
@@ -166,14 +167,14 @@ class Benchmark:
         return total, changed
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str | None]]]:
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of about block_chars of text each, one block on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = math.ceil(chars / block_chars)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+        yield [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in part.collect()]
 
 
 _worker_words = [Words()]
@@ -202,28 +203,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     docs, values = _templates(some["text"].tolist())
                     rows += [(i, *leak) for i, t in zip(some["doc_id"], docs) for leak in known.leaks(t, values)]
                 names = [c.split()[0] for c in LEAKS.split(", ")]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(search, LEAKS))
-    return out
+        out = out.unionByName(docs.select(text_id("doc_id"), "text").mapInPandas(search, LEAKS))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
+
+
+def _clean(held: Broadcast) -> Callable:
+    """Whether a text holds no item of a block."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Benchmark(held.value)
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 500):
+                found, values = _templates(texts.iloc[at : at + 500].tolist())
+                out += [not known.leaks(t, values) for t in found]
+            yield pd.Series(out, dtype=bool)
+
+    return clean
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
     for items in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            known = Benchmark(held.value)
-            for texts in batches:
-                out = []
-                for at in range(0, len(texts), 500):
-                    found, values = _templates(texts.iloc[at : at + 500].tolist())
-                    out += [not known.leaks(t, values) for t in found]
-                yield pd.Series(out, dtype=bool)
-
-        docs = docs.withColumn("_clean", clean("text")).where("_clean").drop("_clean")
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items))("text"))
     return docs
 
 

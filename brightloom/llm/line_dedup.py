@@ -105,42 +105,36 @@ def _near(texts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """docs with lines dropped from text, and _n_lines, _n_exact and _n_near beside."""
+    """row (a struct of all columns of docs, with lines dropped from text), n_lines, n_exact and n_near."""
     gone = dropped_lines(docs, near_chars)
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "kind")).alias("_gone"))
-    gone = written(gone.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"}), "gone")
-    docs = docs.withColumn("_hash", F.xxhash64("text"))
-    on = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_th"))
-    both = docs.join(small_side(gone, BROADCAST_ROWS), on, "left")
-    numbers = F.transform("_gone", lambda g: g["no"])
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(numbers, i))
+    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "kind")).alias("gone")), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("hash"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))
+    both = rows.join(small_side(gone, BROADCAST_ROWS), on, "left")
+    lines = F.split("row.text", "\n")
+    numbers = F.transform("gone", lambda g: g["no"])
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("_gone", lambda g: g["kind"] == kind)), F.lit(0)).cast("long")
+        found = F.size(F.filter("gone", lambda g: g["kind"] == kind))
+        return F.when(F.col("gone").isNull(), 0).otherwise(found).cast("long")
 
     return both.select(
-        *[c for c in docs.columns if c not in ("text", "_hash")],
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("_n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(count("exact")).alias("_n_exact"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(count("near")).alias("_n_near"),
+        F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)).alias("row"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        count("exact").alias("n_exact"),
+        count("near").alias("n_near"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with the same columns and fewer lines."""
-    return dedup_lines(docs, near_chars).select(*docs.columns)
+    return dedup_lines(docs, near_chars).select("row.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        "text",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_exact").alias("n_exact"),
-        F.col("_n_near").alias("n_near"),
-    )
+    return out.select("row.doc_id", "row.text", "n_lines", "n_exact", "n_near")
 
 
 #: Lines as code points; variants as text, so nothing is hashed.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, text_id, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,7 +31,7 @@ GROUP_PIECES = 8192
 #: Words whose ids a worker keeps; others are encoded again each time.
 KEPT_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long"
+PLACED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long"
 
 
 class _WordIds(dict):
@@ -182,11 +182,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         for b, members in enumerate(bins):
             sequence[members] = (int(group["_group"].iloc[0]) << 32) + b
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        group = group.drop(columns=["_group"]).assign(sequence_id=sequence, offset=offset)
-        return group.astype({"doc_id": "Int64"})
+        return group.drop(columns=["_group"]).assign(sequence_id=sequence, offset=offset)
 
     deal = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
-    return pieces.withColumn("_group", deal).groupBy("_group").applyInPandas(one, PLACED)
+    dealt = pieces.withColumn("_group", deal).withColumn("doc_id", text_id("doc_id"))
+    placed = dealt.groupBy("_group").applyInPandas(one, PLACED)
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, text_id, written
 from .spans import Span, digest, listed, overlaps
 
 BASE = ("email", "ip", "card", "phone")
@@ -46,7 +46,7 @@ AGAINST_WORDS = re.compile(r"(?i)\b(?:order|invoice|isbn|version|release|build|i
 CONTEXT = 40
 LABELERS = 6
 ROUNDS = 60
-FOUND = "doc_id long, found array<struct<kind:string,start:int,end:int,base:boolean,votes:string>>"
+FOUND = "doc_id string, found array<struct<kind:string,start:int,end:int,base:boolean,votes:string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -119,14 +119,17 @@ def votes(text: str, span: Span, is_base: bool) -> str:
     elif kind == "phone" and found[0] == "+":
         known = "+" if COUNTRY_CODES.match(digits) else "-"
     context = "+" if FOR_WORDS.search(before) else "-" if AGAINST_WORDS.search(before) else "0"
-    usual = {
-        "email": len(found) <= 64,
-        "ip": all(p == "0" or p[0] != "0" for p in found.split(".")),
-        "card": len(digits) in (15, 16),
-        "phone": 10 <= len(digits) <= 13,
-        "national_id": digits[:3] not in ("000", "666") and digits[0] != "9",
-        "iban": len(found) >= 15,
-    }[kind]
+    usual = True
+    if kind in ("email", "iban"):
+        usual = 15 <= len(found) <= 64 if kind == "iban" else len(found) <= 64
+    elif kind == "ip":
+        usual = all(p == "0" or p[0] != "0" for p in found.split("."))
+    elif kind == "card":
+        usual = len(digits) in (15, 16)
+    elif kind == "phone":
+        usual = 10 <= len(digits) <= 13
+    elif kind == "national_id":
+        usual = digits[:3] not in ("000", "666") and digits[0] != "9"
     free = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
     return strict + check + known + context + "-+"[usual] + "-+"[free]
 
@@ -146,7 +149,7 @@ def candidates_of(docs: DataFrame) -> DataFrame:
                 rows.append([{"kind": s[0], "start": s[1], "end": s[2], "base": is_base, "votes": votes(text, s, is_base)} for s, is_base in each])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "found": rows})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, FOUND)
+    return docs.select(text_id("doc_id"), "text").mapInPandas(scan, FOUND)
 
 
 def reliabilities(ballots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -215,12 +218,12 @@ def label_documents(docs: DataFrame) -> DataFrame:
                 more = [(s["kind"], s["start"], s["end"]) for s in spans if not s["base"] and decided[s["kind"], s["votes"]] >= 0.5]
                 kinds = [s[0] for s in base]
                 rows.append((doc_id, *map(kinds.count, BASE), len(more), digest(listed(base, KINDS)), listed(base + more, KINDS)))
-            out = pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "n_added", "base_sha256", "spans"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "n_added", "base_sha256", "spans"])
 
-    return found.mapInPandas(
-        judge, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
+    judged = found.mapInPandas(
+        judge, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
     )
+    return judged.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,8 +209,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
     model = fit(written(statistics_of(docs), "statistics"), labels)
-    scored = docs.withColumn("_quality", text_score_column(model, "text"))
-    return scored.where(F.col("_quality") >= 0.5).drop("_quality")
+    return docs.where(text_score_column(model, "text") >= 0.5)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
