@@ -8,9 +8,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -18,14 +19,14 @@ def nfc(text: pd.Series) -> pd.Series:
 def keyed_hash(salt: bytes):
     """HMAC-SHA-256 in hex of a column's text."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def keyed(value: pd.Series) -> pd.Series:
         return value.map(lambda v: None if v is None else hmac.new(salt, v.encode(), hashlib.sha256).hexdigest())
 
     return keyed
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words in the longest run that two texts share."""
 

@@ -326,7 +326,7 @@ SQL = {
     "donor_eligibility": """WITH c AS (SELECT event_type AS entity, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT DISTINCT entity FROM c)
       SELECT a.entity || '-1' AS bundle_id, b.entity AS donor, quantile_cont(c.n, 0.5)::DOUBLE AS median FROM k a JOIN k b ON a.entity <> b.entity JOIN c ON c.entity = b.entity AND c.day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
       WHERE b.entity <> 'click' GROUP BY 1, 2 HAVING count(*) = 14 AND quantile_cont(c.n, 0.5) >= 20""",
-    "decompose_parts": f"""WITH {REVIEWS_SQL}, b AS (SELECT entity, CASE WHEN minutes < 120 THEN 'a' WHEN minutes < 600 THEN 'b' ELSE 'c' END AS bucket, year(version) >= 1998 AS late, run_id <= 3 AS p FROM reviews),
+    "decompose_parts": f"""WITH {REVIEWS_SQL}, b AS (SELECT entity, CASE WHEN minutes < 120 THEN 'a' WHEN minutes < 600 THEN 'b' WHEN minutes < 3000 THEN 'c' ELSE 'd' END AS bucket, year(version) >= 1998 AS late, run_id <= 3 AS p FROM reviews),
       g AS (SELECT entity, bucket, count(*) FILTER (NOT late AND p) AS p0, count(*) FILTER (NOT late) AS n0, count(*) FILTER (late AND p) AS p1, count(*) FILTER (late) AS n1 FROM b GROUP BY 1, 2),
       s AS (SELECT entity, n0 / sum(n0) OVER (PARTITION BY entity) AS w0, n1 / sum(n1) OVER (PARTITION BY entity) AS w1, p0 / n0 AS s0, p1 / n1 AS s1 FROM g)
       SELECT entity, round(100 * sum((w1 - w0) * s0), 6) AS composition, round(100 * sum(w0 * (s1 - s0)), 6) AS within, round(100 * sum((w1 - w0) * (s1 - s0)), 6) AS interaction, round(100 * sum((w1 - w0) * s0) + 100 * sum(w0 * (s1 - s0)) + 100 * sum((w1 - w0) * (s1 - s0)), 6) AS total FROM s GROUP BY 1""",
