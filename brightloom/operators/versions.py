@@ -124,11 +124,9 @@ def outranked(scores: DataFrame, keys: list[str], model: str, run: str, current:
 
 
 def backlog(latest_rows: DataFrame, scores: DataFrame, keys: list[str], model: str, version: str, order: list[Column], most: int | None = None) -> DataFrame:
-    """Latest rows that the model version has not scored, numbered in order; at most `most`."""
-    todo = missing(latest_rows, scores.where(F.col(model) == version), keys)
-    todo = todo if most is None else todo.orderBy(*order).limit(most)
-    # numbers run by key range: sorted partitions, then offsets of their sizes
-    return todo.orderBy(*order)
+    """Latest rows that the model version has not scored, in order; at most `most`, a run's budget."""
+    todo = missing(latest_rows, scores.where(F.col(model) == version), keys).orderBy(*order)
+    return todo if most is None else todo.limit(most)
 
 
 def rolled_up(parts: DataFrame, by: list[str], sums: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, warehouse
+from . import analysis, reports, warehouse
 
-QUERIES = warehouse.QUERIES | analysis.QUERIES
-SQL = warehouse.SQL | analysis.SQL
+QUERIES = warehouse.QUERIES | analysis.QUERIES | reports.QUERIES
+SQL = warehouse.SQL | analysis.SQL | reports.SQL
