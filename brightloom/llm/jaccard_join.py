@@ -2,17 +2,21 @@
 
 Every shingle toggles one bit of a long sketch, so the sketches of two sets differ in no more bits than their symmetric
 difference. A pair within the threshold with sizes of a band differs in D bits at most. The sketch of a band is cut
-into D + 1 + SLACK chunks, so a pair has at least 1 + SLACK equal chunks. A chunk's key is the xor of the hashes of the
+into D + 1 + e chunks, so a pair has at least 1 + e equal chunks. A chunk's key is the xor of the hashes of the
 shingles that toggled it (the Zobrist hash of its bits): it joins documents of one band by equal chunks. Documents
 whose sets are equal were joined before, by the hash of the set, and send one sketch.
 
-Chunks without any bit say little, so they are no keys; of 1 + SLACK equal chunks one has bits, unless a document has
-more empty chunks than SLACK: then each choice of 1 + SLACK empty chunks is a key too.
+Chunks without any bit say little, so they are no keys; of 1 + e equal chunks one has bits, unless both documents have
+more than e empty chunks: such documents of a band share a key too. e is what a set of the band has of empty chunks,
+mean and two deviations, but at least 2, so these are few.
 
-A key with two sets gives a pair. A key with more gives each set a pair with the smallest and, where that leaves
-several components, with the largest; what is then still apart is paired across components, without the SLACK most
-frequent keys of each set: a pair that shares 1 + SLACK keys shares another one. So no link between different texts is
-lost, and large groups of near copies don't make all their pairs. Every pair is verified on the whole texts.
+Sets with an equal key form a group. No group makes all its pairs: each member is compared with the group's pivot, the
+one with most keys. What two members x, y differ in is what their differences to the pivot differ in, so if they link,
+these differences have many shingles in common, at least half of their sizes less D. Sorted alike, with shingles that
+the pivot lacks first, the first few of each then meet (the prefix rule): they are the keys of the next round, in which
+the pivot has none. Members linked to the pivot are connected already and only look for members that are not, with
+longer and shorter prefixes. After two rounds few groups are left, of sets that differ from two pivots by the same rare
+shingles; these are paired. No link between different texts is lost. Every pair is verified on the whole texts.
 
 Defined cases: null texts and texts without words have no set and no link (component_id is their own doc_id); a null
 doc_id has a null component_id and doesn't take part in links; repeated rows are equal sets; an empty table gives no
@@ -21,17 +25,17 @@ rows; other columns of the input are ignored. Shingles and sets are compared as
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_side, written
@@ -39,37 +43,41 @@ from .components import components
 from .shingles import mixed, shingle_set
 
 SLACK = 2
+#: Smaller sets keep that slack.
+LARGE = 48
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
-SETS = "doc_id long, n_shingles long, node long, empties int, keys array<long>"
+SETS = "doc_id long, n_shingles long, node long, keys array<long>"
 
 
 @cache
-def bands(num: int, den: int, most: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest partner's size, chunks) for each band; chunks is 0 where only equal sets are linked."""
+def bands(num: int, den: int, most: int) -> list[tuple[int, int, int, int]]:
+    """(smallest size, largest partner's size, chunks, slack) for each band; chunks is 0 where only equal sets are linked."""
     out, low = [], 1
     while low <= most:
         top = low * den // num  # a band's sizes are low to top
         partner = top * den // num
         apart = (den - num) * (top + partner) // (den + num)
-        out.append((low, partner, apart + 1 + SLACK if apart else 0))
+        slack = SLACK
+        for _ in range(20):  # more chunks leave more of them empty
+            empty = (apart + 1 + slack) * math.exp(-low / (apart + 1 + slack))
+            slack = max(slack, min(low, math.ceil(empty + 2 * math.sqrt(empty))) if low >= LARGE else SLACK)
+        out.append((low, partner, apart + 1 + slack if apart else 0, slack))
         low = top + 1
     return out
 
 
-def chunk_keys(shingles: np.ndarray, band: int, chunks: int) -> tuple[np.ndarray, int]:
-    """Keys of the sketch of a set (sorted hashes) in a band, and how many of its chunks are empty."""
+def chunk_keys(shingles: np.ndarray, band: int, chunks: int, slack: int) -> np.ndarray:
+    """Keys of the sketch of a set (sorted hashes) in a band."""
     place = ((shingles >> np.uint64(32)) * np.uint64(chunks)) >> np.uint64(32)  # ascending, as the hashes are
     counts = np.bincount(place.astype(np.int64), minlength=chunks)
     full = np.flatnonzero(counts)
     starts = (np.cumsum(counts) - counts)[full]
     bits = np.bitwise_xor.reduceat(shingles, starts)
     keys = mixed(bits + mixed((full + (band << 32)).astype(np.uint64)))
-    empty = np.flatnonzero(counts == 0)
-    if len(empty) > SLACK:
-        more = [xxhash.xxh3_64_intdigest(np.array([band, *some], np.int64).tobytes()) for some in combinations(empty.tolist(), 1 + SLACK)]
-        keys = np.concatenate([keys, np.array(more, np.uint64)])
-    return keys, len(empty)
+    if chunks - len(full) > slack:
+        keys = np.append(keys, mixed(np.array([~band], np.int64).view(np.uint64)))
+    return keys
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -82,90 +90,116 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, empties, keys, ends = [], [], [], [], [0]
+            sizes, nodes, keys, ends = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
-                n, least, own = len(s), 0, []
+                n, own = len(s), []
                 if n:
                     known = bands(num, den, 1 << max(10, n.bit_length()))
                     at = bisect_right(known, n, key=itemgetter(0)) - 1
                     for i in (at, at - 1):
                         if i >= 0 and known[i][2] and n <= known[i][1]:
-                            k, e = chunk_keys(s, i, known[i][2])
-                            own.append(k)
-                            least = max(least, e)
+                            own.append(chunk_keys(s, i, *known[i][2:]))
                 sizes.append(n)
                 nodes.append(node_of(s) if n else None)
-                empties.append(least)
                 keys += own
                 ends.append(ends[-1] + sum(map(len, own)))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            cols = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(empties, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "empties", "keys"])
+            cols = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SETS)
 
 
+def prefixes(x: np.ndarray, pivot: np.ndarray, linked: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the difference of x and the pivot by which x meets what it may link with: first other members that
+    aren't linked to the pivot, then members of the other kind. 0 stands for a partner without a common shingle."""
+    added, removed = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
+    own = np.concatenate([added, removed])
+    n, c, a = len(x), len(pivot), len(own)
+    size = np.arange(-(-n * num // den), n * den // num + 1)  # of a partner
+    apart = (den - num) * (n + size) // (den + num)  # most shingles it may differ from x in
+    most = (den - num) * (size + c) // (den + num)  # and from the pivot, if linked to it
+
+    def first(partner_linked: bool) -> np.ndarray:
+        away = np.maximum(np.maximum(np.abs(size - c), a - apart), 1 if partner_linked else most + 1)
+        common = -(-(a + away - apart) // 2)
+        if partner_linked:
+            common = common[away <= most]
+        if not len(common):
+            return own[:0]
+        least = int(common.min())
+        return np.append(own, np.uint64(0)) if least <= 0 else own[: max(0, a - least + 1)]
+
+    return (own[:0], first(False)) if linked else (first(False), first(True))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets whose texts are within the threshold, as a written table."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+    """pairs (a, b, crowd) of sets with `linked`, by their texts, and for crowds the prefixes of a's difference from b."""
+    pairs = written(pairs.where("a != b").groupBy("a", "b").agg(F.max("crowd").alias("crowd")), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     owners = written(canon.join(wanted, "node", "left_semi").select("node", "doc_id"), "owners")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(owners, BROADCAST_ROWS), "doc_id")
     texts = written(texts.select("node", "text"), "texts")
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        out, last, s = [], None, None
-        for na, nb, tx, ty in zip(a, b, x, y):
-            if last is not tx and last != tx:
-                last, s = tx, shingle_set(tx, width)
-            t = shingle_set(ty, width)
+    @F.pandas_udf("linked boolean, same array<long>, other array<long>")
+    def judged(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series, crowd: pd.Series) -> pd.DataFrame:
+        out, last, t = [], None, None
+        for na, nb, tx, ty, many in zip(a, b, x, y, crowd):
+            s = shingle_set(tx, width)
+            if last is not ty and last != ty:
+                last, t = ty, shingle_set(ty, width)
+            if node_of(s) != na or node_of(t) != nb:  # a repeated doc_id has other texts
+                out.append((None, None, None))
+                continue
             both = len(np.intersect1d(s, t, assume_unique=True))
             near = den * both >= num * (len(s) + len(t) - both)
-            out.append(bool(near and node_of(s) == na and node_of(t) == nb))  # a repeated doc_id may have other texts
-        return pd.Series(out)
+            same, other = prefixes(s, t, near, num, den) if many else (s[:0], s[:0])
+            out.append((near, same.view(np.int64), other.view(np.int64)))
+        return pd.DataFrame(out, columns=["linked", "same", "other"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b").where(linked("a", "b", "x", "y"))
-    return written(checked.select("a", "b").distinct(), "links")
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "crowd", judged("a", "b", "x", "y", "crowd").alias("j"))
+    return written(checked.select("a", "b", "crowd", "j.*").where("linked is not null"), "links")
 
 
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verified pairs of sets that connect all sets which links connect."""
     one = sets.join(small_side(canon, BROADCAST_ROWS), ["node", "doc_id"], "left_semi")
     rows = one.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    shared = written(shared, "shared")
-    crowds = written(shared.where("m > 2"), "crowds")
-    members = rows.join(small_side(crowds, BROADCAST_ROWS), "key").distinct()
-    members = written(members, "members")
-    first = shared.where("m = 2").select("a", "b").unionByName(members.select("a", F.col("node").alias("b")))
-    found = verified(first, docs, canon, width, num, den)
-
-    def apart(found: DataFrame) -> DataFrame:
-        """Members of keys that still have several components, with their component."""
-        label = components(found)
-        named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = written(named, "named")
-        mixed_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-        return named.join(mixed_keys, "key", "left_semi")
-
-    again = apart(found).select(F.col("b").alias("a"), F.col("node").alias("b"))
-    found = written(found.unionByName(verified(again, docs, canon, width, num, den)), "links")
-    rest = apart(found).join(one.select("node", "empties", "n_shingles").distinct(), "node")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("m").desc(), "key"))
-    rest = rest.withColumn("rank", rank).where(F.col("rank") > F.greatest(F.lit(SLACK) - F.col("empties"), F.lit(0)))
-    rest = written(rest.select("key", "label", "node", "n_shingles"), "rest")
-    kinds = rest.select("key", "label").distinct()
-    two = kinds.select("key", F.col("label").alias("l")).join(kinds.select("key", F.col("label").alias("h")), "key").where("l < h")
-    x = rest.select("key", F.col("label").alias("l"), F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-    y = rest.select("key", F.col("label").alias("h"), F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
-    across = two.join(x, ["key", "l"]).join(y, ["key", "h"])
-    across = across.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
-    return found.unionByName(verified(across, docs, canon, width, num, den))
+    found = None
+    for last in (False, False, True):
+        shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+        shared = written(shared, "shared")
+        crowds = written(shared.where("m > 2").select("key"), "crowds")
+        two = shared.where("m = 2").select("a", "b", F.lit(False).alias("crowd"))
+        members = written(rows.join(small_side(crowds, BROADCAST_ROWS), "key").distinct(), "members")
+        if last:
+            rest = members.select("key", F.col("node").alias("a")).join(members.select("key", F.col("node").alias("b")), "key")
+            judged = verified(two.unionByName(rest.where("a < b").select("a", "b", F.lit(False).alias("crowd"))), docs, canon, width, num, den)
+            return found.unionByName(judged.where("linked").select("a", "b"))
+        degree = written(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+        ranked = members.join(small_side(degree, BROADCAST_ROWS), "node")
+        pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot")).select("key", F.col("pivot.node").alias("b"))
+        stars = members.join(pivot, "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("crowd"))
+        judged = verified(stars.unionByName(two), docs, canon, width, num, den)
+        near = judged.where("linked").select("a", "b")
+        crowd = judged.where("crowd")
+
+        def met(side: DataFrame, by: str, role: int) -> DataFrame:
+            return side.select(F.col("a").alias("node"), "b", F.explode(by).alias("s")).select("node", F.xxhash64("b", "s", F.lit(role)).alias("key"))
+
+        apart, close = crowd.where("not linked"), crowd.where("linked")
+        across = met(apart, "other", 1).withColumnRenamed("node", "a").join(met(close, "other", 1).withColumnRenamed("node", "b"), "key")
+        across = verified(across.select("a", "b", F.lit(False).alias("crowd")), docs, canon, width, num, den)
+        near = near.unionByName(across.where("linked").select("a", "b"))
+        found = near if found is None else found.unionByName(near)
+        rows = written(met(apart, "same", 0).distinct(), "rows")
+        if rows.isEmpty():
+            break
+    return found
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
