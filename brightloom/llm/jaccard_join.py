@@ -15,8 +15,10 @@ one with most keys. What two members x, y differ in is what their differences to
 these differences have many shingles in common, at least half of their sizes less D. Sorted alike, with shingles that
 the pivot lacks first, the first few of each then meet (the prefix rule): they are the keys of the next round, in which
 the pivot has none. Members linked to the pivot are connected already and only look for members that are not, with
-longer and shorter prefixes. After two rounds few groups are left, of sets that differ from two pivots by the same rare
-shingles; these are paired. No link between different texts is lost. Every pair is verified on the whole texts.
+longer and shorter prefixes. Only groups of SMALL members at most are paired outright; larger ones go on for ROUNDS
+rounds, and what is left then, sets that differ from a pivot of each round by the same rare shingles, is paired too.
+More rounds than two leave about as much. No link between different texts is lost. A pair is first held against a sketch of BITS bits: if these differ in more
+bits than the sets may in shingles, it is no link. All other pairs are verified on the whole texts.
 
 Defined cases: null texts and texts without words have no set and no link (component_id is their own doc_id); a null
 doc_id has a null component_id and doesn't take part in links; repeated rows are equal sets; an empty table gives no
@@ -47,7 +49,12 @@ SLACK = 2
 LARGE = 48
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
-SETS = "doc_id long, n_shingles long, node long, keys array<long>"
+#: Rows of sketches that may be broadcast: 15 MB.
+BROADCAST_SKETCHES = 100_000
+BITS = 1024
+SMALL = 16
+ROUNDS = 2
+SETS = "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"
 
 
 @cache
@@ -80,17 +87,23 @@ def chunk_keys(shingles: np.ndarray, band: int, chunks: int, slack: int) -> np.n
     return keys
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """BITS bits, each toggled by every shingle that falls on it."""
+    return np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def node_of(shingles: np.ndarray) -> int:
     """A signed 64-bit name of the set."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
 def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, size and name of each set, with its keys in the bands where it may be the smaller or the larger one."""
+    """doc_id, size, name and parity sketch of each set, with its keys in the bands where it may be the smaller or the
+    larger one."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, keys, ends = [], [], [], [0]
+            sizes, nodes, marks, keys, ends = [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, width)
                 n, own = len(s), []
@@ -102,12 +115,13 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                             own.append(chunk_keys(s, i, *known[i][2:]))
                 sizes.append(n)
                 nodes.append(node_of(s) if n else None)
+                marks.append(parity_bits(s) if n else None)
                 keys += own
                 ends.append(ends[-1] + sum(map(len, own)))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            cols = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "keys"])
+            cols = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "sketch", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SETS)
 
@@ -135,9 +149,32 @@ def prefixes(x: np.ndarray, pivot: np.ndarray, linked: bool, num: int, den: int)
     return (own[:0], first(False)) if linked else (first(False), first(True))
 
 
+def possible(pairs: DataFrame, canon: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b, crowd; a written table) without those, not of crowds, whose sketches differ in too many bits."""
+    rest = pairs.where("not crowd")
+    wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = written(canon.join(wanted, "node", "left_semi").select("node", "n_shingles", "sketch"), "marks")
+    marks = small_side(marks, BROADCAST_SKETCHES)
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = [np.frombuffer(b"".join(v), np.uint64).reshape(len(v), BITS // 64) for v in (x, y)]
+        return pd.Series(np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64))
+
+    left = marks.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
+    right = marks.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
+    allowed = (F.col("n") + F.col("m")) * (den - num)
+    near = rest.join(left, "a").join(right, "b").where(F.abs(F.col("n") - F.col("m")) * (den + num) <= allowed)
+    near = near.where(apart("x", "y") * (den + num) <= allowed)
+    return pairs.where("crowd").unionByName(near.select("a", "b", "crowd"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b, crowd) of sets with `linked`, by their texts, and for crowds the prefixes of a's difference from b."""
+    """pairs (a, b, crowd) of sets with `linked`, by their texts, and for crowds the prefixes of a's difference from b.
+
+    Pairs that their sketches tell apart are left out."""
     pairs = written(pairs.where("a != b").groupBy("a", "b").agg(F.max("crowd").alias("crowd")), "pairs")
+    pairs = written(possible(pairs, canon, num, den), "possible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     owners = written(canon.join(wanted, "node", "left_semi").select("node", "doc_id"), "owners")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(owners, BROADCAST_ROWS), "doc_id")
@@ -167,26 +204,29 @@ def verified(pairs: DataFrame, docs: DataFrame, canon: DataFrame, width: int, nu
 
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verified pairs of sets that connect all sets which links connect."""
-    one = sets.join(small_side(canon, BROADCAST_ROWS), ["node", "doc_id"], "left_semi")
+    one = sets.join(small_side(canon.select("node", "doc_id"), BROADCAST_ROWS), ["node", "doc_id"], "left_semi")
     rows = one.select("node", F.explode("keys").alias("key"))
     found = None
-    for last in (False, False, True):
+    for n in range(ROUNDS + 1):
         shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
         shared = written(shared, "shared")
-        crowds = written(shared.where("m > 2").select("key"), "crowds")
-        two = shared.where("m = 2").select("a", "b", F.lit(False).alias("crowd"))
-        members = written(rows.join(small_side(crowds, BROADCAST_ROWS), "key").distinct(), "members")
-        if last:
-            rest = members.select("key", F.col("node").alias("a")).join(members.select("key", F.col("node").alias("b")), "key")
-            judged = verified(two.unionByName(rest.where("a < b").select("a", "b", F.lit(False).alias("crowd"))), docs, canon, width, num, den)
-            return found.unionByName(judged.where("linked").select("a", "b"))
-        degree = written(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-        ranked = members.join(small_side(degree, BROADCAST_ROWS), "node")
-        pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot")).select("key", F.col("pivot.node").alias("b"))
-        stars = members.join(pivot, "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("crowd"))
-        judged = verified(stars.unionByName(two), docs, canon, width, num, den)
+        more = written(shared.where("m > 2").select("key", (F.col("m") > SMALL).alias("crowd")), "more")
+        members = written(rows.join(small_side(more, BROADCAST_ROWS), "key").distinct(), "members")
+        few = members if n == ROUNDS else members.where("not crowd")
+        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
+        pairs = pairs.select("a", "b").unionByName(shared.where("m = 2").select("a", "b")).withColumn("crowd", F.lit(False))
+        if n < ROUNDS:
+            members = members.where("crowd")
+            degree = written(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+            ranked = members.join(small_side(degree, BROADCAST_ROWS), "node")
+            pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot")).select("key", F.col("pivot.node").alias("b"))
+            pairs = pairs.unionByName(members.join(pivot, "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("crowd")))
+        judged = verified(pairs, docs, canon, width, num, den)
         near = judged.where("linked").select("a", "b")
+        found = near if found is None else found.unionByName(near)
         crowd = judged.where("crowd")
+        if crowd.isEmpty():
+            break
 
         def met(side: DataFrame, by: str, role: int) -> DataFrame:
             return side.select(F.col("a").alias("node"), "b", F.explode(by).alias("s")).select("node", F.xxhash64("b", "s", F.lit(role)).alias("key"))
@@ -194,8 +234,7 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
         apart, close = crowd.where("not linked"), crowd.where("linked")
         across = met(apart, "other", 1).withColumnRenamed("node", "a").join(met(close, "other", 1).withColumnRenamed("node", "b"), "key")
         across = verified(across.select("a", "b", F.lit(False).alias("crowd")), docs, canon, width, num, den)
-        near = near.unionByName(across.where("linked").select("a", "b"))
-        found = near if found is None else found.unionByName(near)
+        found = found.unionByName(across.where("linked").select("a", "b"))
         rows = written(met(apart, "same", 0).distinct(), "rows")
         if rows.isEmpty():
             break
@@ -205,10 +244,12 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
     sets = written(sketches(docs, width, num, den), "sets")
-    canon = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    canon = sets.where("node is not null and doc_id is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+    )
     canon = written(canon, "canon")
     label = components(links(docs, sets, canon, width, num, den))
-    named = canon.join(label, "node", "left")
+    named = canon.select("node", "doc_id").join(label, "node", "left")
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     rows = sets.select("doc_id", "n_shingles", "node").join(small_side(written(named, "named"), BROADCAST_ROWS), "node", "left")
