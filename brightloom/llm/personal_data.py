@@ -57,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def in_byte(digits: str) -> bool:
+    """Whether a number, however long, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or 0) <= 255
+
+
 def emails(text: str) -> list[Span]:
     """Leftmost matches: an @ with the whole run of local characters before it, back to the last match."""
     out, last, at = [], 0, text.find("@")
@@ -77,7 +83,7 @@ def base_and_missed(text: str) -> tuple[list[Span], list[Span]]:
     base, missed = emails(text), []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            (base if all(int(p) <= 255 for p in m[0].split(".")) else missed).append(("ip", m.start(), m.end()))
+            (base if all(in_byte(p) for p in m[0].split(".")) else missed).append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             digits = re.sub(r"[\x20-]", "", m[0])
             if 12 <= len(digits) <= 19:

@@ -326,6 +326,13 @@ def test_emails_equal_the_pattern():
         assert personal_data.emails(text) == [("email", m.start(), m.end()) for m in pattern.finditer(text)]
 
 
+def test_parts_of_addresses_may_be_very_long():
+    from brightloom.llm.personal_data import base_and_missed
+
+    assert base_and_missed("9" * 5000 + ".1.1.1")[0] == []
+    assert base_and_missed("0" * 5000 + ".1.1.255")[0] == [("ip", 0, 5008)]
+
+
 def test_personal_data(docs):
     text = "write to a.b@mail.example.com or +1 (017) 555-7713, host 10.0.0.1 not 10.0.0.256; card 4111 1111 1111 1111, call 415-555-0134"
     many = [(100 + i, f"please call 415-555-{i:04d} now") for i in range(40)]
