@@ -3,9 +3,12 @@
 Texts become template tokens: numbers, units and names (capitalised words inside a sentence) are typed placeholders,
 all else is the lower-cased word. Windows of WIDTH template tokens of benchmark items, with at least half of their
 tokens literal, are looked up by hash in every document. Hits on one diagonal (equal distance between places in item
-and document) belong together; where they cover LEAST_COVER of an item's windows, the slots of the aligned part are
-compared: each value of the item must stand for one value of the document, and the other way round. If all are equal
-the passage is verbatim, else re-parameterised; if they contradict each other it is no leak.
+and document) belong together, and so do those on diagonals that an item's length holds, for words put in or left out
+move what follows. A place is judged if its hits are LEAST_COVER of an item's windows, or hold LEAST_COVER of its tokens
+and LEAST_RUN at least (a changed word takes WIDTH windows away, but one token), or if LEAST_RUN words on end are
+verbatim, whatever share of the item they are. Then the slots of the aligned part are compared: each value of the item
+must stand for one value of the document, and the other way round. If all are equal the passage is verbatim, else
+re-parameterised; if they contradict each other it is no leak. Each diagonal is judged alone too.
 
 The benchmark is looked up in blocks of bounded text, so its windows may be broadcast at any size.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,6 +39,7 @@ from .shingles import windows
 WIDTH = 8
 LEAST_WORDS = 5
 LEAST_COVER = 0.5
+LEAST_RUN = 13
 BLOCK_CHARS = 8_000_000
 KEPT_WORDS = 500_000
 LITERAL, NUMBER, UNIT, NAME = range(4)
@@ -135,7 +140,7 @@ class Benchmark:
 
     def leaks(self, doc: Template, values: list[str]) -> list[tuple]:
         """item id, windows found, windows of the item, cover, kind, slots, changed slots; the best place of each item."""
-        lines: dict[tuple[int, int], set[int]] = {}
+        lines: dict[int, dict[int, set[int]]] = {}
         for width, known in self.sorted.items():
             if len(doc) < width:
                 continue
@@ -143,23 +148,62 @@ class Benchmark:
             place = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
             for p in np.flatnonzero(known[place] == hashed).tolist():
                 for n, q in self.at[width][int(hashed[p])]:
-                    lines.setdefault((n, p - q), set()).add(q)
-        best: dict[int, tuple] = {}
-        for (n, shift), found in lines.items():
-            cover = len(found) / self.counts[n]
-            if cover < LEAST_COVER or (n in best and best[n][1] >= len(found)):
+                    lines.setdefault(n, {}).setdefault(p - q, set()).add(q)
+        best = (self._best(n, lines[n], doc, values) for n in sorted(lines))
+        return [b for b in best if b]
+
+    def _best(self, n: int, lines: dict[int, set[int]], doc: Template, values: list[str]) -> tuple | None:
+        """The place of an item with the most windows whose slots agree; lines has the windows found by diagonal."""
+        item, shifts, places = self.items[n], sorted(lines), []
+        for i, shift in enumerate(shifts):
+            places.append((len(lines[shift]), [shift]))
+            band = shifts[i : bisect_right(shifts, shift + len(item))]
+            if len(band) > 1:
+                places.append((len(set().union(*(lines[s] for s in band))), band))
+        for found, band in sorted(places, key=lambda p: (-p[0], len(p[1]), p[1][0])):
+            at = self._aligned(lines, band)
+            if found < LEAST_COVER * self.counts[n] and not self._holds(item, at) and (len(band) > 1 or self._run(item, doc, values, band[0]) < LEAST_RUN):
                 continue
-            slots = self._slots(self.items[n], doc, values, shift, found)
+            slots = self._slots(item, doc, values, at)
             if slots is not None:
                 kind = "re-parameterised" if slots[1] else "verbatim"
-                best[n] = (self.ids[n], len(found), self.counts[n], cover, kind, *slots)
-        return [best[n] for n in sorted(best)]
-
-    def _slots(self, item: Template, doc: Template, values: list[str], shift: int, found: set[int]) -> tuple[int, int] | None:
+                return self.ids[n], found, self.counts[n], found / self.counts[n], kind, *slots
+        return None
+
+    def _aligned(self, lines: dict[int, set[int]], band: list[int]) -> dict[int, int]:
+        """The diagonal of each window found in a band: the one before goes on where it can, else the nearest."""
+        shift, ways = max(band, key=lambda s: len(lines[s])), {}
+        for s in band:
+            for q in lines[s]:
+                ways.setdefault(q, []).append(s)
+        at = {}
+        for q in sorted(ways):
+            shift = at[q] = min(ways[q], key=lambda s: abs(s - shift))
+        return at
+
+    def _holds(self, item: Template, at: dict[int, int]) -> bool:
+        """Whether the windows found hold enough tokens."""
+        width = _window_width(len(item))
+        held = len({p for q in at for p in range(q, q + width)})
+        return held >= max(LEAST_RUN, LEAST_COVER * len(item))
+
+    def _run(self, item: Template, doc: Template, values: list[str], shift: int) -> int:
+        """The most words on end that item and document share on a diagonal."""
+        most = run = 0
+        for p in range(max(0, -shift), min(len(item), len(doc) - shift)):
+            run = run + 1 if self.values[item.words[p]] == values[doc.words[p + shift]] else 0
+            most = max(most, run)
+        return most
+
+    def _slots(self, item: Template, doc: Template, values: list[str], at: dict[int, int]) -> tuple[int, int] | None:
         """Slots of the aligned part and how many have another value; None if their values contradict each other."""
         width, there, back, changed, total = _window_width(len(item)), {}, {}, 0, 0
-        for p in sorted({p for q in found for p in range(q, q + width) if item.kinds[p] != LITERAL}):
-            kind, ours, theirs = int(item.kinds[p]), self.values[item.words[p]], values[doc.words[p + shift]]
+        spots: dict[int, int] = {}
+        for q, shift in at.items():
+            for p in range(q, q + width):
+                spots.setdefault(p, p + shift)
+        for p in sorted(p for p in spots if item.kinds[p] != LITERAL):
+            kind, ours, theirs = int(item.kinds[p]), self.values[item.words[p]], values[doc.words[spots[p]]]
             total += 1
             changed += ours != theirs
             if there.setdefault((kind, ours), theirs) != theirs or back.setdefault((kind, theirs), ours) != ours:

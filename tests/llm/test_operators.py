@@ -199,6 +199,19 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 7]
 
 
+def test_leaks_of_edited_and_of_partly_quoted_items(spark, docs):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[::-1]))], "item_id long, text string")
+    inserted = words[:15] + ["more"] + words[15:30]
+    changed = [{10: "other", 20: "another"}.get(i, w) for i, w in enumerate(words[:30])]
+    quoted = ["so"] * 20 + words[::-1][20:48] + ["thus"] * 20
+    far = words[:7] + ["other"] + words[8:15] + ["other"] + words[16:23]
+    df = docs([(i, " ".join(w)) for i, w in enumerate([inserted, changed, quoted, far, words[:12]])])
+    out = {(r.doc_id, r.item_id, r.n_windows, r.kind) for r in decontamination.leaks(df, bench).collect()}
+    assert out == {(0, 1, 16, "verbatim"), (1, 1, 7, "verbatim"), (2, 2, 21, "verbatim")}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(df, bench).collect()) == [3, 4]
+
+
 # --- 2
 
 
