@@ -1,13 +1,16 @@
 """Operator 10: benchmark questions in documents, also with other numbers, names and units, by templates.
 
 Texts become template tokens: numbers, units and names (capitalised words inside a sentence) are typed placeholders,
-all else is the lower-cased word. Windows of WIDTH template tokens of benchmark items, with at least half of their
+all else is the lower-cased word. A text with names on end, numbers before units or groups of three digits has a second
+template where each of these is one placeholder, and each template is searched for each. A capitalised word that opens a
+sentence may be a name or not: windows are cut for both readings, on both sides. Windows of WIDTH template tokens of benchmark items, with at least half of their
 tokens literal, are looked up by hash in every document. Hits on one diagonal (equal distance between places in item
 and document) belong together, and so do those on diagonals that an item's length holds, for words put in or left out
 move what follows. A place is judged if its hits are LEAST_COVER of an item's windows, or hold LEAST_COVER of its tokens
 and LEAST_RUN at least (a changed word takes WIDTH windows away, but one token), or if LEAST_RUN words on end are
 verbatim, whatever share of the item they are. Then the slots of the aligned part are compared: each value of the item
-must stand for one value of the document, and the other way round. If all are equal the passage is verbatim, else
+must stand for one value of the document, and the other way round; where they do not, the windows that read no opening
+word as a name are judged alone. If all are equal the passage is verbatim, else
 re-parameterised; if they contradict each other it is no leak. Each diagonal is judged alone too.
 
 The benchmark is looked up in blocks of bounded text, so its windows may be broadcast at any size.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, text_id
-from .shingles import windows
+from .shingles import mixed
 
 WIDTH = 8
 LEAST_WORDS = 5
@@ -42,11 +45,17 @@ LEAST_COVER = 0.5
 LEAST_RUN = 13
 BLOCK_CHARS = 8_000_000
 KEPT_WORDS = 500_000
+#: Windows read at a time: each opening word among its tokens doubles the readings of a window.
+PIECE = 20_000
+SIEVE_BITS = 22
 LITERAL, NUMBER, UNIT, NAME = range(4)
 #: Units.
 UNITS = frozenset("kg g mg lb lbs oz ton tons km m cm mm mile miles ft feet foot inch inches yard yards l ml liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degrees degree mph kph watt watts volt volts".split())
 _NUMBER = re.compile(r"[$€£]?[+-]?[0-9]+(?:[.,:/][0-9]+)*%?")
 _NUMBER_UNIT = re.compile(r"[$€£]?[0-9]+(?:[.,][0-9]+)*-?([A-Za-z]+)")
+_LEAD = re.compile(r"[$€£]?[+-]?[0-9]{1,3}")
+_GROUP = re.compile(r"[0-9]{3}")
+_PARTS = re.compile(r"(.*?)-?([a-z]*)", re.DOTALL)
 _EDGE = "\"'`.,;:!?()[]{}*#&%$|<>"
 LEAKS = "doc_id string, item_id string, n_windows long, n_item_windows long, cover double, kind string, n_slots long, n_changed long"
 
@@ -63,7 +72,12 @@ class Words(dict):
         self.hash: list[int] = []
         self.capital: list[bool] = []
         self.ends: list[bool] = []
+        self.joins: list[bool] = []
+        self.plain: list[bool] = []
+        self.lead: list[bool] = []
+        self.group: list[bool] = []
         self.value: list[str] = []
+        self.held: tuple[np.ndarray, ...] = ()
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
@@ -79,38 +93,83 @@ class Words(dict):
         self.hash.append(_placeholder(kind) if kind else xxhash.xxh3_64_intdigest(low.encode()))
         self.capital.append(not kind and bare[:1].isupper() and bare[1:].islower())
         self.ends.append(word.rstrip("\"')]")[-1:] in (".", "!", "?", ":"))
+        self.joins.append(word[-1:] not in _EDGE or word[-1:] in "$%#&")
+        self.plain.append(kind == NUMBER and not bare[-1:].isalpha())
+        self.lead.append(bool(_LEAD.fullmatch(bare)))
+        self.group.append(bool(_GROUP.fullmatch(bare)))
         self.value.append(low)
         self[raw] = len(self)
         return self[raw]
 
     def tables(self) -> tuple[np.ndarray, ...]:
-        return np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.capital), np.array(self.ends)
+        columns = (self.hash, np.uint64), (self.kind, np.int8), *((c, bool) for c in (self.capital, self.ends, self.joins, self.plain, self.lead, self.group))
+        n = len(self.held[0]) if self.held else 0
+        if not n or n < len(self.kind):
+            new = tuple(np.array(c[n:], kind) for c, kind in columns)
+            self.held = tuple(map(np.concatenate, zip(self.held, new))) if n else new
+        return self.held
 
 
 @dataclass
 class Template:
     codes: np.ndarray
     kinds: np.ndarray
+    opens: np.ndarray  # capitalised words that open a sentence
     words: np.ndarray
+    starts: np.ndarray  # first word of each token, and the number of words
 
     def __len__(self) -> int:
         return len(self.codes)
 
+    def value(self, k: int, values: list[str]) -> str:
+        return "".join(values[w] for w in self.words[self.starts[k] : self.starts[k + 1]])
 
-def templates(texts: list[str | None], words: Words) -> list[Template]:
-    """One template for each text."""
+
+def templates(texts: list[str | None], words: Words) -> list[list[Template]]:
+    """For each text a template with a token for each word and, if it is another, the folded one."""
     numbers = [np.fromiter(map(words.__getitem__, (t or "").encode().split()), np.int64) for t in texts]
-    hashes, kinds, capital, ends = words.tables()
+    hashes, kinds, capital, ends, joins, plain, lead, group = words.tables()
     out, name = [], np.uint64(_placeholder(NAME))
     for w in numbers:
         if not len(w):
-            out.append(Template(np.zeros(0, np.uint64), np.zeros(0, np.int8), w))
+            out.append([Template(np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), w, np.zeros(1, np.int64))])
             continue
-        inside = np.concatenate([[False], ~ends[w[:-1]]]) & capital[w]
-        out.append(Template(np.where(inside, name, hashes[w]), np.where(inside, NAME, kinds[w]).astype(np.int8), w))
+        upper = capital[w]
+        inside = np.concatenate([[False], ~ends[w[:-1]]]) & upper
+        kind, opens = np.where(inside, NAME, kinds[w]).astype(np.int8), upper & ~inside
+        codes = np.where(inside, name, hashes[w])
+        out.append([Template(codes, kind, opens, w, np.arange(len(w) + 1))])
+        before, after = w[:-1], w[1:]
+        names = upper[:-1] & inside[1:] & joins[before]
+        more = names | (plain[before] & (kind[1:] == UNIT) | lead[before] & group[after]) & joins[before]
+        if more.any():
+            run = np.append(names, False)
+            first = np.flatnonzero(np.concatenate([[True], ~more]))
+            codes, kind = np.where(run, name, codes)[first], np.where(run, NAME, kind).astype(np.int8)[first]
+            out[-1].append(Template(codes, kind, (opens & ~run)[first], w, np.append(first, len(w))))
     return out
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def readings(t: Template, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Place and hash of each window, in pieces; a window has a hash for each reading of its opening words."""
+    powers = [np.uint64(pow(_BASE, width - 1 - j, 1 << 64)) for j in range(width)]
+    to_name = np.uint64(_placeholder(NAME)) - t.codes
+    for at in range(0, len(t) - width + 1, PIECE):
+        place = np.arange(at, min(at + PIECE, len(t) - width + 1))
+        h = np.zeros(len(place), np.uint64)
+        for j in range(width):
+            h += t.codes[at + j : at + j + len(place)] * powers[j]
+        if t.opens[at : at + len(place) + width].any():
+            for j in range(width):
+                both = np.flatnonzero(t.opens[place + j])
+                h = np.concatenate([h, h[both] + to_name[place[both] + j] * powers[j]])
+                place = np.concatenate([place, place[both]])
+        yield place, mixed(h + np.uint64(width))
+
+
 def _window_width(n: int) -> int:
     return min(WIDTH, n)
 
@@ -119,38 +178,59 @@ class Benchmark:
     """Windows of a block of items, by hash."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
-        self.words, self.ids = Words(), [i for i, _ in items]
-        self.items = templates([t for _, t in items], self.words)
+        self.words = Words()
+        found = templates([t for _, t in items], self.words)
+        self.items = [t for ts in found for t in ts]
+        self.rows = [n for n, ts in enumerate(found) for _ in ts]
+        self.ids = [items[n][0] for n in self.rows]
         self.values = self.words.value
         self.counts: dict[int, int] = {}
-        at: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        at: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for n, t in enumerate(self.items):
-            if len(t) < LEAST_WORDS:
+            if len(t.words) < LEAST_WORDS:
                 continue
             width = _window_width(len(t))
             literal = np.convolve(t.kinds == LITERAL, np.ones(width), "valid")
-            usable = np.flatnonzero(literal * 2 >= width)
-            hashed = windows(t.codes, width)
-            for p in usable.tolist():
-                at.setdefault(width, {}).setdefault(int(hashed[p]), []).append((n, p))
-            if len(usable):
-                self.counts[n] = len(usable)
-        self.at = at
-        self.sorted = {w: np.array(sorted(h), np.uint64) for w, h in at.items()}
-
-    def leaks(self, doc: Template, values: list[str]) -> list[tuple]:
+            usable = literal * 2 >= width
+            for place, hashed in readings(t, width):
+                kept = usable[place]
+                at.setdefault(width, []).append((hashed[kept], np.full(kept.sum(), n), place[kept]))
+            if usable.any():
+                self.counts[n] = int(usable.sum())
+        self.at: dict[int, tuple[np.ndarray, ...]] = {}
+        self.sieve: dict[int, np.ndarray] = {}
+        for width, parts in at.items():
+            hashed, item, place = map(np.concatenate, zip(*parts))
+            order = np.argsort(hashed, kind="stable")
+            self.at[width] = hashed[order], item[order], place[order]
+            self.sieve[width] = np.zeros(1 << SIEVE_BITS, bool)
+            self.sieve[width][hashed >> np.uint64(64 - SIEVE_BITS)] = True
+
+    def leaks(self, docs: list[Template], values: list[str]) -> list[tuple]:
         """item id, windows found, windows of the item, cover, kind, slots, changed slots; the best place of each item."""
+        best: dict[int, tuple] = {}
+        for doc in docs:
+            lines = self._lines(doc)
+            for n in sorted(lines):
+                one = self._best(n, lines[n], doc, values)
+                if one and (self.rows[n] not in best or best[self.rows[n]][3] < one[3]):
+                    best[self.rows[n]] = one
+        return [best[n] for n in sorted(best)]
+
+    def _lines(self, doc: Template) -> dict[int, dict[int, set[int]]]:
+        """For each item template found, the windows found by diagonal."""
         lines: dict[int, dict[int, set[int]]] = {}
-        for width, known in self.sorted.items():
-            if len(doc) < width:
-                continue
-            hashed = windows(doc.codes, width)
-            place = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-            for p in np.flatnonzero(known[place] == hashed).tolist():
-                for n, q in self.at[width][int(hashed[p])]:
-                    lines.setdefault(n, {}).setdefault(p - q, set()).add(q)
-        best = (self._best(n, lines[n], doc, values) for n in sorted(lines))
-        return [b for b in best if b]
+        for width, (known, item, place) in self.at.items():
+            for at, hashed in readings(doc, width) if len(known) else ():
+                some = np.flatnonzero(self.sieve[width][hashed >> np.uint64(64 - SIEVE_BITS)])
+                if not len(some):
+                    continue
+                low, high = np.searchsorted(known, hashed[some]), np.searchsorted(known, hashed[some], "right")
+                for k in np.flatnonzero(low < high).tolist():
+                    p = int(at[some[k]])
+                    for n, q in zip(item[low[k] : high[k]].tolist(), place[low[k] : high[k]].tolist()):
+                        lines.setdefault(n, {}).setdefault(p - q, set()).add(q)
+        return lines
 
     def _best(self, n: int, lines: dict[int, set[int]], doc: Template, values: list[str]) -> tuple | None:
         """The place of an item with the most windows whose slots agree; lines has the windows found by diagonal."""
@@ -161,15 +241,28 @@ class Benchmark:
             if len(band) > 1:
                 places.append((len(set().union(*(lines[s] for s in band))), band))
         for found, band in sorted(places, key=lambda p: (-p[0], len(p[1]), p[1][0])):
-            at = self._aligned(lines, band)
-            if found < LEAST_COVER * self.counts[n] and not self._holds(item, at) and (len(band) > 1 or self._run(item, doc, values, band[0]) < LEAST_RUN):
-                continue
-            slots = self._slots(item, doc, values, at)
-            if slots is not None:
-                kind = "re-parameterised" if slots[1] else "verbatim"
-                return self.ids[n], found, self.counts[n], found / self.counts[n], kind, *slots
+            whole = self._aligned(lines, band)
+            for at in (whole, self._literal(item, doc, values, whole)):
+                found = len(at)
+                if found < LEAST_COVER * self.counts[n] and not self._holds(item, at) and (len(band) > 1 or self._run(item, doc, values, band[0]) < LEAST_RUN):
+                    break
+                slots = self._slots(item, doc, values, at)
+                if slots is not None:
+                    kind = "re-parameterised" if slots[1] else "verbatim"
+                    return self.ids[n], found, self.counts[n], found / self.counts[n], kind, *slots
         return None
 
+    def _named(self, item: Template, doc: Template, values: list[str], p: int, d: int) -> bool:
+        """Whether two tokens agree only if a word that opens a sentence is a name."""
+        if item.opens[p] or doc.opens[d]:
+            return NAME in (item.kinds[p], doc.kinds[d]) or item.value(p, self.values) != doc.value(d, values)
+        return False
+
+    def _literal(self, item: Template, doc: Template, values: list[str], at: dict[int, int]) -> dict[int, int]:
+        """The windows found that read no opening word as a name."""
+        width = _window_width(len(item))
+        return {q: s for q, s in at.items() if not any(self._named(item, doc, values, p, p + s) for p in range(q, q + width))}
+
     def _aligned(self, lines: dict[int, set[int]], band: list[int]) -> dict[int, int]:
         """The diagonal of each window found in a band: the one before goes on where it can, else the nearest."""
         shift, ways = max(band, key=lambda s: len(lines[s])), {}
@@ -191,7 +284,8 @@ class Benchmark:
         """The most words on end that item and document share on a diagonal."""
         most = run = 0
         for p in range(max(0, -shift), min(len(item), len(doc) - shift)):
-            run = run + 1 if self.values[item.words[p]] == values[doc.words[p + shift]] else 0
+            same = item.value(p, self.values) == doc.value(p + shift, values)
+            run = run + int(item.starts[p + 1] - item.starts[p]) if same else 0
             most = max(most, run)
         return most
 
@@ -202,12 +296,19 @@ class Benchmark:
         for q, shift in at.items():
             for p in range(q, q + width):
                 spots.setdefault(p, p + shift)
-        for p in sorted(p for p in spots if item.kinds[p] != LITERAL):
-            kind, ours, theirs = int(item.kinds[p]), self.values[item.words[p]], values[doc.words[spots[p]]]
+        for p, d in sorted(spots.items()):
+            named = self._named(item, doc, values, p, d)
+            if item.kinds[p] == LITERAL and not named:
+                continue
+            kind, ours, theirs = NAME if named else int(item.kinds[p]), item.value(p, self.values), doc.value(d, values)
             total += 1
             changed += ours != theirs
-            if there.setdefault((kind, ours), theirs) != theirs or back.setdefault((kind, theirs), ours) != ours:
-                return None
+            pairs = zip((NUMBER, UNIT), _PARTS.fullmatch(ours).groups(), _PARTS.fullmatch(theirs).groups()) if kind == NUMBER else [(kind, ours, theirs)]
+            for part, a, b in pairs:
+                if not a or not b:
+                    continue
+                if there.setdefault((part, a), b) != b or back.setdefault((part, b), a) != a:
+                    return None
         return total, changed
 
 
@@ -224,7 +325,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
 _worker_words = [Words()]
 
 
-def _templates(texts: list[str | None]) -> tuple[list[Template], list[str]]:
+def _templates(texts: list[str | None]) -> tuple[list[list[Template]], list[str]]:
     """Templates with this worker's numbers of words, which start anew beyond a bound."""
     if len(_worker_words[0]) > KEPT_WORDS:
         _worker_words[0] = Words()

@@ -212,6 +212,22 @@ def test_leaks_of_edited_and_of_partly_quoted_items(spark, docs):
     assert sorted(r.doc_id for r in decontamination.without_leaks(df, bench).collect()) == [3, 4]
 
 
+def test_leaks_with_other_names_at_sentence_starts_and_of_other_lengths(spark, docs):
+    item = "Tom has 3 apples. Tom buys 4 more apples today. How many apples does Tom have?"
+    weights = "The farmer of Tom sold 1000 apples and 5 kg of pears to a shop in town, so what did the shop pay?"
+    bench = spark.createDataFrame([(1, item), (2, weights)], "item_id long, text string")
+    ann = item.replace("Tom", "Ann")
+    other = weights.replace("Tom", "Mary Ann").replace("1000", "1 000").replace("5 kg", "5kg")
+    mixed = item.replace("Tom has 3 apples. Tom", "Ann has 3 apples. Bob")  # Tom can't be both
+    df = docs([(1, ann), (2, other), (3, item), (4, "Then " + item[0].lower() + item[1:]), (5, mixed), (6, item.replace("Tom", "Mary Ann"))])
+    out = {(r.doc_id, r.item_id): (r.kind, r.n_windows == r.n_item_windows) for r in decontamination.leaks(df, bench).collect()}
+    assert out[1, 1] == ("re-parameterised", True) and out[2, 2] == ("re-parameterised", True)
+    assert out[3, 1] == ("verbatim", True)
+    assert (4, 1) in out and (5, 1) not in out
+    one = decontamination.leaks(docs([(1, f"{ann} {ann}")]), bench).collect()
+    assert [(r.item_id, r.n_windows == r.n_item_windows) for r in one] == [(1, True)]
+
+
 # --- 2
 
 
