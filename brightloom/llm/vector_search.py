@@ -8,7 +8,8 @@ four bits, two to a byte.
 
 Codebooks are fitted on a bounded sample (SAMPLE vectors, those with the smallest hashes of their id); every vector is
 indexed. Queries go in blocks of bounded size against all index rows: sums of table entries pick CANDIDATES of each
-chunk, and their exact distances on the original vectors, in double precision, decide.
+chunk, and their exact distances on the original vectors, in double precision, decide. So do those of every other row
+whose table score, with the error that quantisation can make, reaches the k-th best: the result is that of brute force.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; nor do those of another
 length than the most common one (of equally common lengths, the largest); a query is no candidate of its own, nor is
@@ -167,7 +168,9 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
                 continue
             names, x = chunk["vec_id"].to_numpy(np.int64), _matrix(chunk["embedding"])
             codes = unpacked(np.frombuffer(b"".join(chunk["codes"]), np.uint8).reshape(len(chunk), -1), spaces)
+            norms = np.linalg.norm(x, axis=1)
             half = (0.5 * (x**2).sum(1)).astype(np.float32)
+            gap = np.linalg.norm((book.split(x) - book.centres[np.arange(spaces), codes]).reshape(len(x), -1), axis=1)
             most = min(len(chunk), candidates + 1)
             for at in range(0, len(ids), 128):
                 part = slice(at, at + 128)
@@ -181,6 +184,20 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
                 v = np.hstack([best_v[part], names[near]])
                 order = np.lexsort((v, s), axis=1)[:, :k]
                 best_s[part], best_v[part] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+                if most == len(chunk):
+                    continue
+                size = np.linalg.norm(queries[part], axis=1)[:, None]
+                least = 0.5 * (size**2 - best_s[part, -1:] ** 2)
+                loose = 1e-4 * (size * (norms + gap) + 0.5 * norms**2 + 0.5 * size**2)  # rounding of the single-precision sums
+                may = score + size * gap + loose >= least
+                may &= queries[part] @ x.T - 0.5 * norms**2 + 1e-5 * loose >= least
+                np.put_along_axis(may, near, False, 1)
+                for i in np.flatnonzero(may.any(1)).tolist():
+                    rows = np.flatnonzero(may[i] & (names != ids[at + i]))
+                    s = np.append(best_s[at + i], np.sqrt(((x[rows] - queries[at + i]) ** 2).sum(1)))
+                    v = np.append(best_v[at + i], names[rows])
+                    order = np.lexsort((v, s))[:k]
+                    best_s[at + i], best_v[at + i] = s[order], v[order]
         q, r = np.nonzero(np.isfinite(best_s))
         yield pd.DataFrame({"query_id": ids[q], "vec_id": best_v[q, r], "score": best_s[q, r]})
 

@@ -316,6 +316,22 @@ def test_search_equals_brute_force(spark):
     assert vector_search.nearest(df.limit(0)).count() == 0
 
 
+def test_search_in_large_groups_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[rng.permutation(1500)[:500]] = x[0]
+    near = rng.permutation(1500)[:500]
+    x[near] = x[100] + rng.normal(size=(500, 16)).astype(np.float32) * 1e-3
+    order = rng.permutation(1500)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<float>").coalesce(1)
+    out = vector_search.nearest(df).collect()
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(1500), d))[:10].tolist()
+        assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == want
+
+
 def test_four_bit_codes_come_back():
     codes = np.arange(35).reshape(5, 7) % 16
     assert (vector_search.unpacked(vector_search.packed(codes), 7) == codes).all()
