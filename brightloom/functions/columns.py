@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ def newcombe(x1: Column | str, n1: Column | str, x0: Column | str, n0: Column |
 def bucket_of_minutes(minutes: Column | str) -> Column:
     """Groups of play time; null stays null."""
     m = col(minutes)
+    # fixed values: upper bounds in minutes and names
     steps = ((120, "lt_2h"), (600, "2h_10h"), (3000, "10h_50h"), (12000, "50h_200h"))
     out = F.when(m.isNull(), F.lit(None).cast("string"))
     for below, name in steps:
@@ -85,6 +88,7 @@ def evidence_fingerprint(*parts: Column | str) -> Column:
     return F.sha2(F.to_json(F.struct(*[col(p) for p in parts]), {"ignoreNullFields": "false"}), 256)
 
 
+# Markup tags.
 _BLOCK_TAGS = r"(?i)\[/?(?:h1|h2|h3|list|olist|\*|quote|code|table|tr|th|td|hr|previewyoutube)(?:=[^\]]*)?\]"
 _INLINE_TAGS = r"(?i)\[/?(?:b|i|u|strike|spoiler|noparse|url|img)(?:=[^\]]*)?\]"
 
@@ -125,11 +129,20 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.trim(plain), " "), lambda w: w != "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often and inside whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(word_array: Column, n: int = 8) -> Column:
     """Distinct runs of n words, joined by a space; none for shorter texts."""
-    last = F.size(word_array) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(word_array, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(last >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return bound(word_array, runs)
 
 
 def share_words_run(a: Column | str, b: Column | str, n: int = 8) -> Column:

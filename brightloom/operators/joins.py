@@ -42,8 +42,8 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, day: str, start: str, en
 
 
 def densified(spine: DataFrame, values: DataFrame, facts: DataFrame, keys: list[str], fill: list[str]) -> DataFrame:
-    """Every spine row with every value (a small list), and facts where there are any; counts 0 elsewhere."""
-    return spine.crossJoin(F.broadcast(values.limit(10_000))).join(facts, keys, "left").na.fill(0, fill)
+    """Every spine row with every value, and facts where there are any; counts 0 elsewhere. Spark broadcasts short lists."""
+    return spine.crossJoin(values).join(facts, keys, "left").na.fill(0, fill)
 
 
 def unpivoted(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, ...]], names: tuple[str, ...], code: str) -> DataFrame:

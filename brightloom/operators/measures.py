@@ -41,14 +41,16 @@ def kappa(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def weighted_kappa(rows: DataFrame, a: str, b: str, categories: int) -> DataFrame:
-    """Quadratic weights over grades 0..categories-1; null when no disagreement is expected."""
+    """Quadratic weights over grades 0..categories-1, others raise; null when no disagreement is expected."""
+    wrong = ~F.col(a).between(0, categories - 1) | ~F.col(b).between(0, categories - 1)
+    rows = rows.withColumn(a, F.when(wrong, F.raise_error(F.lit("a grade is out of range")).cast("int")).otherwise(F.col(a)))
     n = rows.agg(F.count("*").alias("n"))
     joint = rows.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.count("*").alias("c"))
     left, right = joint.groupBy("i").agg(F.sum("c").alias("r")), joint.groupBy("j").agg(F.sum("c").alias("s"))
     weight = ((F.col("i") - F.col("j")) / (categories - 1)) ** 2
     seen = joint.agg(F.sum(weight * F.col("c")).alias("seen"))
     # categories x categories rows
-    chance = left.limit(categories).crossJoin(right.limit(categories)).agg(F.sum(weight * F.col("r") * F.col("s")).alias("chance"))
+    chance = left.crossJoin(right).agg(F.sum(weight * F.col("r") * F.col("s")).alias("chance"))
     return seen.crossJoin(chance).crossJoin(n).select("n", F.when(F.col("chance") > 0, 1 - F.col("seen") * F.col("n") / F.col("chance")).alias("kappa"))
 
 

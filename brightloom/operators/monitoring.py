@@ -34,7 +34,7 @@ def drift(weekly: DataFrame, reference: DataFrame, categories: dict[str, Column]
     for name, category in categories.items():
         base = measures.shares(reference, [], category)
         now = measures.shares(weekly, ["week"], category)
-        against = now.select("week").distinct().crossJoin(F.broadcast(base.limit(10_000).select("category", "share")))
+        against = now.select("week").distinct().crossJoin(base.select("category", "share"))
         value = measures.psi(against, now, ["week"]).withColumnRenamed("psi", "value")
         parts.append(metric_rows(value, "drift", f"psi_{name}", F.lit("all"), F.col("week"), F.date_add("week", 6)))
     return reduce(DataFrame.unionByName, parts)

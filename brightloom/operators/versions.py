@@ -111,10 +111,15 @@ def to_recompute(wanted: DataFrame, stored: DataFrame, keys: list[str], print_co
     return missing(wanted, stored, [*keys, print_column])
 
 
-def field_updates(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One operation for each set of new values, with its keys; a key count bounds what a task gathers."""
-    bucket = F.floor(F.row_number().over(Window.partitionBy(*fields).orderBy(key)) / 10_000)
-    return rows.withColumn("_part", bucket).groupBy(*fields, "_part").agg(F.sort_array(F.collect_list(key)).alias("keys")).drop("_part")
+def field_updates(rows: DataFrame, key: str, fields: list[str], most: int = 10_000) -> DataFrame:
+    """Operations for each set of new values, with their keys: about `most` at a time.
+
+    Rows of a set are counted first and dealt by the hash of the key to as many parts as they need, so no task orders
+    or gathers all rows of a common one.
+    """
+    sizes = rows.groupBy(*fields).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = rows.join(sizes, fields).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")))
+    return dealt.groupBy(*fields, "_part").agg(F.sort_array(F.collect_list(key)).alias("keys")).drop("_part")
 
 
 def outranked(scores: DataFrame, keys: list[str], model: str, run: str, current: str) -> DataFrame:

@@ -183,7 +183,7 @@ def top_code(s: SparkSession, d: str) -> DataFrame:
 
 
 def trial_metrics(s: SparkSession, d: str) -> DataFrame:
-    l = read(s, d, "lineitem").where("l_linenumber <= 2")
+    l = read(s, d, "lineitem")
     t = l.select("l_returnflag", (F.col("l_discount") * 100).alias("estimate"), F.when(F.col("l_linenumber") == 1, 0.0).otherwise(5.0).alias("truth"), (F.col("l_discount") * 100 - 3).alias("lo"), F.when(F.col("l_tax") < 0.07, F.col("l_discount") * 100 + 3).alias("hi"))
     out = measures.trial_metrics(t, ["l_returnflag"])
     return out.select("l_returnflag", "trials", *[F.round(x, 5).alias(x) for x in ("bias", "rmse", "coverage", "false_alarms", "power")])
@@ -191,7 +191,7 @@ def trial_metrics(s: SparkSession, d: str) -> DataFrame:
 
 def _queries(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = read(s, d, "embeddings")
-    return v.select(F.col("vec_id").alias("item_id"), "embedding"), v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return v.select(F.col("vec_id").alias("item_id"), "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def dense_topk(s: SparkSession, d: str) -> DataFrame:
@@ -218,19 +218,20 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
-    """Two rankings of the same queries, fused."""
-    items, asked = _queries(s, d)
-    a = retrieval.dense_search(items, asked, "item_id", "query_id", "embedding", 50, 6)
-    other = a.select("query_id", "item_id", (F.col("item_id") % 17 * 100 - F.col("rank")).cast("double").alias("score"))
-    b = retrieval.top_k(other, "query_id", "item_id", 30)
-    return retrieval.fused(a, b, "query_id", "item_id", 10).withColumn("score", F.round("score", 9))
+    """Rankings of benchmark questions by their words and by the vector of their number, fused."""
+    docs, b = _texts(s, d)
+    v = read(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = v.withColumnRenamed("item_id", "query_id").join(b.select("query_id"), "query_id", "left_semi")
+    dense = retrieval.dense_search(v, asked, "item_id", "query_id", "embedding", 50, 6)
+    sparse = retrieval.bm25_search(docs, b, "item_id", "text", "query_id", "query", 50, digits=5)
+    return retrieval.fused(dense, sparse, "query_id", "item_id", 10).withColumn("score", F.round("score", 9))
 
 
 def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
     items, asked = _queries(s, d)
     v = read(s, d, "embeddings")
     run = retrieval.dense_search(items, asked, "item_id", "query_id", "embedding", 20, 6)
-    grades = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).join(v.select(F.col("vec_id").alias("item_id"), F.col("label").alias("l")), "l")
+    grades = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).join(v.select(F.col("vec_id").alias("item_id"), F.col("label").alias("l")), "l")
     grades = grades.select("query_id", "item_id", F.when(F.col("item_id") % 2 == 0, 2).otherwise(1).alias("grade"))
     out = measures.ranking_metrics(run, grades, 10)
     return out.select("query_id", *[F.round(x, 6).alias(x) for x in ("ndcg", "mrr", "recall")])
@@ -260,10 +261,13 @@ def its_effects(s: SparkSession, d: str) -> DataFrame:
 
 
 def synth_effects(s: SparkSession, d: str) -> DataFrame:
+    """Return flags as donors of each other."""
     u = _units(s, d)
-    other = u.select(F.col("unit").alias("donor"), F.struct(F.col("unit").alias("name"), "first", "positives", "totals", "observed").alias("x"))
-    pool = u.select("unit").join(other, F.col("unit") != F.col("donor")).groupBy("unit").agg(F.collect_list("x").alias("donors"))
-    return estimators.synth_effects(u.join(pool, "unit"), interval=False)
+    counts = ["first", "positives", "totals", "observed"]
+    own = u.select("unit", F.col("unit").alias("name"), F.lit(True).alias("treated"), *counts)
+    pairs = u.select("unit", F.lit("all").alias("group")).join(u.select(F.col("unit").alias("name"), F.lit("all").alias("group"), *counts), "group").where("unit != name")
+    members = own.unionByName(pairs.select("unit", "name", F.lit(False).alias("treated"), *counts))
+    return estimators.synth_effects(u.select("unit", "start", "horizon", "kind"), members, interval=False)
 
 
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
@@ -273,7 +277,7 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 def gate_decisions(s: SparkSession, d: str) -> DataFrame:
     """Gate over rows made of line items."""
-    l = read(s, d, "lineitem").where("l_linenumber <= 3")
+    l = read(s, d, "lineitem")
     rows = l.select(
         (F.col("l_discount") * 100 - 5).alias("effect"), (F.col("l_discount") * 100 - 7).alias("lo90"), F.when(F.col("l_tax") < 0.08, F.col("l_discount") * 100 - 3).alias("hi90"),
         F.when(F.col("l_linestatus") == "O", "synth").otherwise("its").alias("method"), F.col("l_tax").alias("p_value"),
@@ -297,9 +301,14 @@ QUERIES = {f.__name__: f for f in (
     hybrid_rrf, ranking_metrics, shingle_leak, stratified_sample, its_effects, synth_effects, bootstrap_ci, gate_decisions, paired_difference,
 )}
 
-_VEC = "v AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score, a.label AS la, b.label AS lb FROM embeddings a, embeddings b WHERE a.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM v)"
+_VEC = "v AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score, a.label AS la, b.label AS lb FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM v)"
 _TOKENS = r"string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
 
+_BM25 = f"""d AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), tf AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d),
+      i AS (SELECT doc_id, dl, term, count(*) AS tf FROM tf WHERE term <> '' GROUP BY 1, 2, 3), f0 AS (SELECT term, count(*) AS df FROM i GROUP BY 1), a AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM d),
+      s AS (SELECT query_id, doc_id AS item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 5) AS score FROM i JOIN q ON i.term = q.term JOIN f0 ON i.term = f0.term, a GROUP BY 1, 2),
+      bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)"""
+
 
 def _wilson(x: str, n: str, sign: str) -> str:
     return f"(({x} / {n} + z * z / (2 * {n}) {sign} z * sqrt({x} / {n} * (1 - {x} / {n}) / {n} + z * z / (4 * {n} * {n}))) / (1 + z * z / {n}))"
@@ -359,16 +368,12 @@ SQL = {
     "repeated_calls": "SELECT day, count(*) AS calls, count(*) FILTER (k > 1) AS repeats FROM (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type, user_id ORDER BY event_id) AS k FROM events) GROUP BY 1",
     "pooled_rate": "WITH c AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS r, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 10) SELECT CASE WHEN count(*) = 10 THEN round(sum(r * n) / sum(n), 6) END AS rate FROM c",
     "top_code": "SELECT user_id, event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, ascii(event_type) * 1000 + ascii(substr(event_type, 2, 1))) = 1",
-    "trial_metrics": """WITH t AS (SELECT l_returnflag, l_discount * 100 AS e, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE 5.0::DOUBLE END AS t, l_discount * 100 - 3 AS lo, CASE WHEN l_tax < 0.07::DOUBLE THEN l_discount * 100 + 3 ELSE 'infinity'::DOUBLE END AS hi FROM lineitem WHERE l_linenumber <= 2)
+    "trial_metrics": """WITH t AS (SELECT l_returnflag, l_discount * 100 AS e, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE 5.0::DOUBLE END AS t, l_discount * 100 - 3 AS lo, CASE WHEN l_tax < 0.07::DOUBLE THEN l_discount * 100 + 3 ELSE 'infinity'::DOUBLE END AS hi FROM lineitem)
       SELECT l_returnflag, count(*) AS trials, round(avg(e - t), 5) AS bias, round(sqrt(avg(pow(e - t, 2))), 5) AS rmse, round(avg(CAST(lo <= t AND t <= hi AS INT)), 5) AS coverage, round(avg(CAST(lo > 0 OR hi < 0 AS INT)) FILTER (t = 0), 5) AS false_alarms, round(avg(CAST(lo > 0 OR hi < 0 AS INT)) FILTER (t <> 0), 5) AS power FROM t GROUP BY 1""",
     "dense_topk": f"WITH {_VEC} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10",
-    "bm25_topk": f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), tf AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d),
-      i AS (SELECT doc_id, dl, term, count(*) AS tf FROM tf WHERE term <> '' GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), a AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM d),
-      s AS (SELECT query_id, doc_id AS item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 5) AS score FROM i JOIN q ON i.term = q.term JOIN f ON i.term = f.term, a GROUP BY 1, 2)
-      SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 5""",
-    "hybrid_rrf": f"""WITH {_VEC}, a AS (SELECT query_id, item_id, rank FROM r WHERE rank <= 50), b AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id % 17 * 100 - rank DESC, item_id) AS rank FROM a QUALIFY rank <= 30),
-      b30 AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id % 17 * 100 - rank DESC, item_id) AS k FROM a) WHERE k <= 30),
-      f AS (SELECT a.query_id, a.item_id, 1 / (60 + a.rank) + coalesce(1 / (60 + b30.k), 0) AS score FROM a LEFT JOIN b30 ON a.query_id = b30.query_id AND a.item_id = b30.item_id)
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM bm WHERE rank <= 5",
+    "hybrid_rrf": f"""WITH {_BM25}, {_VEC.replace("a.vec_id % 100 = 0", "a.vec_id IN (SELECT item_id FROM benchmark)")}, x AS (SELECT query_id, item_id, rank FROM r WHERE rank <= 50), y AS (SELECT query_id, item_id, rank FROM bm WHERE rank <= 50),
+      f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.item_id, y.item_id) AS item_id, coalesce(1 / (60 + x.rank), 0) + coalesce(1 / (60 + y.rank), 0) AS score FROM x FULL JOIN y ON x.query_id = y.query_id AND x.item_id = y.item_id)
       SELECT query_id, item_id, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) WHERE rank <= 10""",
     "ranking_metrics": f"""WITH {_VEC}, g AS (SELECT *, CASE WHEN la = lb THEN CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS g FROM r), i AS (SELECT query_id, g, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, item_id) AS k FROM g WHERE g > 0)
       SELECT g.query_id, round(sum(g / log2(rank + 1)) FILTER (rank <= 10) / any_value(ideal), 6) AS ndcg, round(coalesce(1 / min(rank) FILTER (rank <= 10 AND g > 0), 0), 6) AS mrr, round(count(*) FILTER (rank <= 10 AND g > 0) / any_value(rel), 6) AS recall
@@ -376,6 +381,6 @@ SQL = {
     "shingle_leak": f"""WITH d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS w FROM documents), b AS (SELECT item_id AS id, {_TOKENS.format('text')} AS w FROM benchmark),
       x AS (SELECT DISTINCT id, array_to_string(w[k : k + 7], ' ') AS run FROM d, unnest(range(1, len(w) - 6)) t(k)), y AS (SELECT DISTINCT id, array_to_string(w[k : k + 7], ' ') AS run FROM b, unnest(range(1, len(w) - 6)) t(k))
       SELECT x.id AS item_id, y.id AS query_id, count(*) AS runs FROM x JOIN y ON x.run = y.run GROUP BY 1, 2""",
-    "gate_decisions": """SELECT CASE WHEN NOT l_tax < 0.08::DOUBLE THEN 'no_estimate' WHEN l_discount * 100 - 7 <= 0 AND l_discount * 100 - 3 >= 0 THEN 'range_includes_zero' WHEN l_linestatus = 'O' AND l_tax > 0.1 THEN 'placebo_failed' WHEN l_returnflag = 'A' THEN 'not_validated' WHEN l_quantity > 40 THEN 'confounded' ELSE 'allowed' END AS gate, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""",
+    "gate_decisions": """SELECT CASE WHEN NOT l_tax < 0.08::DOUBLE THEN 'no_estimate' WHEN l_discount * 100 - 7 <= 0 AND l_discount * 100 - 3 >= 0 THEN 'range_includes_zero' WHEN l_linestatus = 'O' AND l_tax > 0.1 THEN 'placebo_failed' WHEN l_returnflag = 'A' THEN 'not_validated' WHEN l_quantity > 40 THEN 'confounded' ELSE 'allowed' END AS gate, count(*) AS n FROM lineitem GROUP BY 1""",
     "paired_difference": "SELECT doc_id, toxic AS base, quality AS other, quality - toxic AS difference FROM labels WHERE quality = 1 AND doc_id % 3 <> 0",
 }

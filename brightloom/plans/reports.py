@@ -49,9 +49,9 @@ def ranking_pool(s: SparkSession, d: str) -> DataFrame:
 
 def served_estimates(s: SparkSession, d: str) -> DataFrame:
     """The second method's row where it has an effect, else the first's with the reason."""
-    o = read(s, d, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", "o_totalprice")
+    o = read(s, d, "orders").select("o_orderkey", "o_totalprice")
     its = o.select("o_orderkey", F.lit("its").alias("method"), F.col("o_totalprice").alias("effect"), F.lit(None).cast("string").alias("reason"))
-    poor = F.col("o_orderkey") % 150 == 0
+    poor = F.col("o_orderkey") % 3 == 0
     synth = o.select("o_orderkey", F.lit("synth").alias("method"), F.when(~poor, F.col("o_totalprice") / 2).alias("effect"), F.when(poor, "poor fit").alias("reason"))
     return joins.served(its.unionByName(synth), ["o_orderkey"], "synth", "its", "reason").select("o_orderkey", "method", F.round("effect", 4).alias("effect"), "fallback_reason")
 
@@ -84,7 +84,7 @@ SQL = {
     "later_of_two": "SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS day FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1",
     "window_overlap": """WITH w AS (SELECT o_orderkey, greatest(0, least(CAST(o_orderdate AS DATE) + 29, DATE '1996-08-31') - greatest(CAST(o_orderdate AS DATE), DATE '1996-06-01') + 1) AS i FROM orders) SELECT o_orderkey, round(i / (122 - i), 6) AS iou FROM w WHERE i > 0""",
     "ranking_pool": f"WITH {_VEC} SELECT query_id, item_id FROM r WHERE rank <= 5",
-    "served_estimates": "SELECT o_orderkey, CASE WHEN o_orderkey % 150 = 0 THEN 'its' ELSE 'synth' END AS method, round(CASE WHEN o_orderkey % 150 = 0 THEN o_totalprice ELSE o_totalprice / 2 END, 4) AS effect, CASE WHEN o_orderkey % 150 = 0 THEN 'poor fit' END AS fallback_reason FROM orders WHERE o_orderkey % 50 = 0",
+    "served_estimates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'its' ELSE 'synth' END AS method, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice / 2 END, 4) AS effect, CASE WHEN o_orderkey % 3 = 0 THEN 'poor fit' END AS fallback_reason FROM orders",
     "spike_days": """WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT *, avg(ln(1 + n)) OVER w AS m, stddev_pop(ln(1 + n)) OVER w AS sd, avg(n) OVER w AS a, count(*) OVER w AS k FROM c WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
       SELECT event_type, day, CASE WHEN k < 7 THEN false ELSE ln(1 + n) > m + greatest(sd, 1 / sqrt(1 + a)) END AS spike FROM t""",
     "weekly_drift": """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type AS k FROM events), b AS (SELECT k, count(*) / sum(count(*)) OVER () AS s FROM e GROUP BY 1), w AS (SELECT CAST(date_trunc('week', day) AS DATE) AS wk, k, count(*) AS n FROM e GROUP BY 1, 2),

@@ -29,7 +29,7 @@ def latest_score_long(s: SparkSession, d: str) -> DataFrame:
 
 
 def classify_first_match(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").select("doc_id", "source", F.substring("text", 1, 200).alias("title"))
+    docs = read(s, d, "documents").select("doc_id", "source", F.col("text").alias("title"))
     kind = rules.cascade(
         [
             (F.col("source") == "src0", F.lit("not_official")),
@@ -196,12 +196,14 @@ def in_sale(s: SparkSession, d: str) -> DataFrame:
 
 
 def field_updates(s: SparkSession, d: str) -> DataFrame:
-    o = read(s, d, "orders")
-    return versions.field_updates(o, "o_orderkey", ["o_orderstatus", "o_orderpriority"]).select("o_orderstatus", "o_orderpriority", F.size("keys").cast("long").alias("n"), F.element_at("keys", 1).alias("first"))
+    """Operations of a write of two fields: their keys, summed up for each pair of values, are all rows once."""
+    each = versions.field_updates(read(s, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    keys = each.select("o_orderstatus", "o_orderpriority", F.explode("keys").alias("key"))
+    return keys.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.count_distinct("key").alias("operation_keys"))
 
 
 def clean_text(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", F.sha2(c.clean_text("text", 500), 256).alias("clean"))
+    return read(s, d, "documents").select("doc_id", F.sha2(c.clean_text("text"), 256).alias("clean"))
 
 
 def plain_pages(s: SparkSession, d: str) -> DataFrame:
@@ -284,7 +286,7 @@ SQL = {
     "latest_score_long": """WITH top AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
       SELECT l_orderkey, 'discount' AS code, l_discount AS p, l_discount >= 0.05::DOUBLE AS label FROM top UNION ALL SELECT l_orderkey, 'tax', l_tax, l_tax >= 0.05::DOUBLE FROM top""",
     "classify_first_match": r"""SELECT CASE WHEN source = 'src0' THEN 'not_official' WHEN regexp_matches(title, '(?i)\bhot-?fix') THEN 'hotfix' WHEN regexp_matches(title, '\d+\.\d+\.\d+') THEN 'build' WHEN regexp_matches(title, '(?i)\bthe\b') THEN 'the' ELSE 'no_rule' END AS kind, count(*) AS n
-      FROM (SELECT source, substr(text, 1, 200) AS title FROM documents) d GROUP BY 1""",
+      FROM (SELECT source, text AS title FROM documents) d GROUP BY 1""",
     "playtime_bucket": f"WITH {REVIEWS_SQL} SELECT {_BUCKET} AS bucket, count(*) AS n FROM reviews GROUP BY 1",
     "length_eligibility": f"SELECT lang, count(*) FILTER (CASE WHEN lang = 'de' THEN length(text) >= 400 ELSE {_WORDS} >= 60 END) AS eligible, sum({_WORDS})::BIGINT AS words FROM documents GROUP BY lang",
     "hash_holdout": "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) < '33' AS held_out FROM documents",
@@ -318,7 +320,7 @@ SQL = {
     "newest_beside": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o ON c_custkey = o_custkey",
     "existence_flag": "SELECT c_mktsegment, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS has_big, count(*) AS n FROM customer GROUP BY 1, 2",
     "in_sale": """SELECT (d BETWEEN DATE '1996-06-20' AND DATE '1996-07-05' OR d BETWEEN DATE '1997-12-20' AND DATE '1998-01-10') AS sale, count(*) AS n, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_totalprice AS p FROM orders) GROUP BY 1""",
-    "field_updates": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, min(o_orderkey) AS first FROM (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey)) // 10000 AS part FROM orders) GROUP BY 1, 2, part",
+    "field_updates": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, min(o_orderkey) AS first, count(*) AS operation_keys FROM orders GROUP BY 1, 2",
     "json_payload": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "quality_report": """SELECT 'not_null' AS name, (SELECT count(*) FROM documents WHERE text IS NULL) AS violations
       UNION ALL SELECT 'unique', (SELECT count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1))
