@@ -4,18 +4,24 @@ Documents become ids of a public tokenizer and one end id; only those longer tha
 dealt evenly to groups of bounded size, and each group is packed by itself: first best fit, longest piece first, then
 local search. The search takes the emptiest bin and moves its pieces into the slack of others, swaps one of them for a
 shorter one, or two of them for one shorter than both together. Each step moves tokens from a bin to a fuller one, so
-the sum of squared fills grows, until the bin is empty. It ends when no group can do with fewer bins, or when some of
-the emptiest bins in a row can't be emptied.
+the sum of squared fills grows, until the bin is empty. It goes through all bins that aren't full, and ends sooner only
+if no group can do with fewer. Then the pieces of all underfull bins of all groups are dealt to groups of their own and
+packed once more, so groups exchange pieces too; what that leaves is kept if it needs fewer sequences.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each for itself; an empty table
-gives no rows; other columns of the input are ignored.
+Ids are those of the tokenizer's plain call on the whole text. It never joins characters over white space, so the ids
+of a text are those of its words, and words are encoded once for a batch, many at a time. Texts that hold the
+tokenizer's own special tokens are encoded whole.
+
+Defined cases: a null or empty text is the end id alone; repeated rows are packed each for itself; equal lengths are
+taken in the order of doc_id, piece and ids; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,55 +34,81 @@ from .common import read, text_id, written
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 8192
-#: Words whose ids a worker keeps; others are encoded again each time.
-KEPT_WORDS = 400_000
+#: Words whose ids a task keeps from batch to batch, at most; beyond, those that the last batch has once go.
+KEPT_WORDS = 200_000
+#: Words encoded by one call.
+CALL_WORDS = 20_000
+#: Bins with less room than this share of a sequence aren't packed again.
+TIGHT = 1 / 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long"
+PLACED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long, room long"
 
 
-class _WordIds(dict):
-    """Ids of a word as little-endian bytes, encoded when first met."""
+class Encoder:
+    """Ids of texts as little-endian bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
-        if len(self) < KEPT_WORDS:
-            self[word] = found
-        return found
-
-
-_encoders: dict[str, _WordIds] = {}
-
-
-def _encoder(path: str | None) -> _WordIds:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _encoders:
-        _encoders[path] = _WordIds(path)
-    return _encoders[path]
-
+        if path is None:
+            import public_tokenizers
 
-def encoded(text: str, words: _WordIds) -> bytes:
-    """The text's ids as little-endian bytes. This tokenizer never joins characters over white space, so the ids of a
-    text are those of its parts between spaces and line feeds."""
-    return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
+            path = public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words joined by a special token, which the tokenizer cuts out first, and cuts the ids at it."""
+        mark, number = next(iter(self.special.items()))
+        for at in range(0, len(words), CALL_WORDS):
+            some = words[at : at + CALL_WORDS]
+            ids = self._encode(mark.join(some))
+            ends = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends):
+                self.known[word] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def _meet(self, words: Iterable[str]) -> None:
+        """Makes words known. The tokenizer lower-cases, and letters never join with full stops and commas behind them, so
+        words of letters are encoded in lower case and without these. (A capital sigma has two small ones.)"""
+        new = [w for w in words if w not in self.known]
+        stems = {}
+        for word in new:
+            stem = word.rstrip(".,")
+            if stem.isalpha() and "\u03a3" not in stem and len(low := stem.lower()) == len(stem) and word != low:
+                stems[word] = low, word[len(stem) :]
+        own = set(new).difference(stems)
+        own.update(x for pair in stems.values() for x in pair)
+        self._learn([w for w in own if w not in self.known])
+        for word, (low, end) in stems.items():
+            self.known[word] = self.known[low] + self.known[end]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [any(s in t for s in self.special) for t in texts]
+        parts = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]
+        counts: Counter[str] = Counter()
+        for p in parts:
+            counts.update(p)
+        self._meet(counts)
+        out = [self._encode(t).tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole)]
+        if len(self.known) > KEPT_WORDS:
+            self.known = {w: self.known[w] for w, n in counts.items() if n > 1}
+        return out
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _encoder(tokenizer), END_ID.to_bytes(4, "little")
+        encode, end = Encoder(tokenizer), END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoded(text or "", words) + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -111,18 +143,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def emptied(lengths: np.ndarray, bins: list[list[int]], capacity: int, patience: int = 24) -> list[list[int]]:
+def emptied(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """The same pieces in fewer bins, if local search finds a way."""
     least = math.ceil(int(lengths.sum()) / capacity)
     where = np.empty(len(lengths), np.int64)
     for b, members in enumerate(bins):
         where[members] = b
     fill = np.bincount(where, weights=lengths, minlength=len(bins)).astype(np.int64)
-    left, failed = len(bins), 0
+    left = len(bins)
     for b in np.argsort(fill, kind="stable").tolist():
-        if left <= least or failed >= patience:
-            break
-        if fill[b] == capacity:
+        if left <= least or fill[b] == capacity:
             break
         was, fill_was = where.copy(), fill.copy()
         while fill[b]:
@@ -161,28 +191,29 @@ def emptied(lengths: np.ndarray, bins: list[list[int]], capacity: int, patience:
             fill[c] += best
             fill[b] -= best
         if fill[b]:
-            where, fill, failed = was, fill_was, failed + 1
+            where, fill = was, fill_was
         else:
-            left, failed = left - 1, 0
+            left -= 1
     out: dict[int, list[int]] = {}
     for i, b in enumerate(where.tolist()):
         out.setdefault(b, []).append(i)
     return list(out.values())
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """pieces (as from pieces_of) with sequence_id and offset. They should be a written table, for they are counted."""
+def _packed(pieces: DataFrame, capacity: int, group_pieces: int, level: int) -> DataFrame:
+    """pieces with sequence_id, offset and what their sequence has left; each group by itself."""
     groups = max(1, math.ceil(pieces.count() / group_pieces))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"]).reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins = emptied(lengths, best_fit(lengths, capacity), capacity)
-        sequence, offset = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
+        sequence, offset, room = (np.empty(len(group), np.int64) for _ in range(3))
         for b, members in enumerate(bins):
-            sequence[members] = (int(group["_group"].iloc[0]) << 32) + b
+            sequence[members] = (int(group["_group"].iloc[0]) << 24) + (b << 1) + level
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        return group.drop(columns=["_group"]).assign(sequence_id=sequence, offset=offset)
+            room[members] = capacity - lengths[members].sum()
+        return group.drop(columns=["_group"]).assign(sequence_id=sequence, offset=offset, room=room)
 
     deal = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
     dealt = pieces.withColumn("_group", deal).withColumn("doc_id", text_id("doc_id"))
@@ -190,6 +221,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """pieces (as from pieces_of) with sequence_id and offset. They should be a written table, for they are counted."""
+    first = written(_packed(pieces, capacity, group_pieces, 0), "placed")
+    loose = first.where(F.col("room") > capacity * TIGHT)
+    second = written(_packed(loose.select(*pieces.columns), capacity, group_pieces, 1), "placed-again")
+    before, after = (x.agg(F.count_distinct("sequence_id")).first()[0] for x in (loose, second))
+    out = first if after >= before else first.where(F.col("room") <= capacity * TIGHT).unionByName(second)
+    return out.drop("room")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(written(pieces_of(docs, tokenizer, capacity), "pieces"), capacity)

@@ -84,12 +84,11 @@ def brute_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_pieces_hold_the_tokenizer_s_ids(docs):
-    texts = [*ODD, (8, "It's  Été x 12.5%\r\n\tWe've\x1cgot <|endoftext|> é ΣΣ İ"), (9, "...,, a.b,c")]
+    texts = [*ODD, (8, "It's  Été x 12.5%\r\n\tWe've\x1cgot <|endoftext|> é ΣΣ İ"), (9, "...,, a.b,c"), (10, "<|endoftext|>"), (11, "a<|startoftext|> b<|endoftext|>c <|end oftext|>"), (12, "J\u030c, E\u0301. \u0130x, O\u03a3. ÑA., a., 'S. 5. I'll.")]
     out = packing.pack_documents(docs(texts)).collect()
     for doc_id, text in dict(texts).items():
         ids = brute_ids(text)
@@ -124,6 +123,17 @@ def test_local_search_empties_a_bin_that_best_fit_keeps():
     assert len(packing.emptied(awkward, [[0, 3], [1, 2], [4, 5], [6]], 10)) == 3
 
 
+def test_groups_exchange_pieces(docs):
+    pieces = packing.written(packing.pieces_of(docs([(i, "the " * (1300 + i % 7)) for i in range(120)])), "pieces")
+    out = packing.pack(pieces, group_pieces=4).collect()
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(out) == 120 and all(sum(n for _, n in b) <= 4096 for b in bins.values())
+    alone = packing._packed(pieces, 4096, 4, 0).select("sequence_id").distinct().count()
+    assert 40 <= len(bins) < alone
+
+
 def test_packing_of_nothing(docs):
     assert packing.pack_documents(docs([])).count() == 0
 
