@@ -7,17 +7,23 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Lower-cases A-Z only.
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
+#: Most bytes of a side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,11 +33,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (a local test session) a temporary folder is made, which goes at exit.
+    Where that is unset, a local session (as in tests) gets a temporary folder, which goes at exit; on a cluster, whose
+    machines don't share one, it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="brightloom-")
@@ -43,15 +52,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/brightloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, as all that was made of them is written itself."""
+    for df in tables:
+        ref, path = _paths.get(id(df), (None, None))
+        if ref is not None and ref() is df:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        inner = 8 if not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)) else 64
+        return F.coalesce(F.size(value), F.lit(0)) * inner + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most most_rows rows, else as it is: then Spark shuffles both sides.
+def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows take at most most_bytes, else as it is: then Spark shuffles both sides.
 
-    df should be a written table, for its rows are counted.
+    df should be a written table, for its rows are measured.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    row = sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema), F.lit(24))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most_bytes else df
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _pointed(edges: DataFrame, only_smaller: bool) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        now = written(_pointed(_pointed(now, False), True), "edges")
+        now, last = written(_pointed(_pointed(now, False), True), "edges"), now
+        discard(last)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())

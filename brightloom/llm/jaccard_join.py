@@ -10,19 +10,21 @@ Chunks without any bit say little, so they are no keys; of 1 + e equal chunks on
 more than e empty chunks: such documents of a band share a key too. e is what a set of the band has of empty chunks,
 mean and two deviations, but at least 2, so these are few.
 
-Sets with an equal key form a group. No group makes all its pairs: each member is compared with the group's pivot, the
-one with most keys. What two members x, y differ in is what their differences to the pivot differ in, so if they link,
-these differences have many shingles in common, at least half of their sizes less D. Sorted alike, with shingles that
-the pivot lacks first, the first few of each then meet (the prefix rule): they are the keys of the next round, in which
-the pivot has none. Members linked to the pivot are connected already and only look for members that are not, with
-longer and shorter prefixes. Only groups of SMALL members at most are paired outright; larger ones go on for ROUNDS
-rounds, and what is left then, sets that differ from a pivot of each round by the same rare shingles, is paired too.
-More rounds than two leave about as much. No link between different texts is lost. A pair is first held against a sketch of BITS bits: if these differ in more
-bits than the sets may in shingles, it is no link. All other pairs are verified on the whole texts.
+Sets with an equal key form a group. Groups of SMALL members at most are paired. A larger one, a crowd, is not: its
+members are compared with a reference, the shingles that most of a few of its members have (any set will do, this one
+is near what copies were made from). What two members x, y differ in is what their differences to the reference differ
+in; so if they link, these have many shingles in common, at least half of their sizes less D. Sorted alike, with
+shingles that the reference lacks first, the first few of each then meet (the prefix rule): these are the keys of the
+next round's groups. The member nearest to the reference is the crowd's pivot. Members that link to it, which their
+differences tell exactly, are connected already and only look for members that don't, with longer and shorter
+prefixes. What are still crowds after ROUNDS rounds, sets that no reference tells apart, is paired. No link between
+different texts is lost. A pair is first held against a sketch of BITS bits: if these differ in more bits than the
+sets may in shingles, it is no link. All other pairs are verified on the whole texts.
 
 Defined cases: null texts and texts without words have no set and no link (component_id is their own doc_id); a null
-doc_id has a null component_id and doesn't take part in links; repeated rows are equal sets; an empty table gives no
-rows; other columns of the input are ignored. Shingles and sets are compared as 64-bit hashes.
+doc_id has a null component_id and doesn't take part in links; repeated rows are equal sets, and rows that share a
+doc_id but not the text are sets of their own; an empty table gives no rows; other columns of the input are ignored.
+Shingles and sets are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,24 +39,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, small_side, written
+from .common import discard, read, small_side, written
 from .components import components
-from .shingles import mixed, shingle_set
+from .shingles import Hashes, mixed, shingle_set
 
 SLACK = 2
 #: Smaller sets keep that slack.
 LARGE = 48
-#: Rows of a side that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
-#: Rows of sketches that may be broadcast: 15 MB.
-BROADCAST_SKETCHES = 100_000
 BITS = 1024
 SMALL = 16
-ROUNDS = 2
-SETS = "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"
+ROUNDS = 5
+#: Members of a crowd that its reference is made of.
+SAMPLE = 31
+SETS = "doc_id long, th long, n_shingles long, node long, sketch binary, keys array<long>"
 
 
 @cache
@@ -98,14 +98,15 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, name and parity sketch of each set, with its keys in the bands where it may be the smaller or the
-    larger one."""
+    """doc_id, hash of the text, size, name and parity sketch of each set, with its keys in the bands where it may be
+    the smaller or the larger one."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
             sizes, nodes, marks, keys, ends = [], [], [], [], [0]
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, width)
+            for text in batch.column(2).to_pylist():
+                s = shingle_set(text, width, hashes)
                 n, own = len(s), []
                 if n:
                     known = bands(num, den, 1 << max(10, n.bit_length()))
@@ -120,27 +121,35 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ends.append(ends[-1] + sum(map(len, own)))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            cols = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "sketch", "keys"])
+            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "node", "sketch", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(sketch, SETS)
 
 
-def prefixes(x: np.ndarray, pivot: np.ndarray, linked: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the difference of x and the pivot by which x meets what it may link with: first other members that
-    aren't linked to the pivot, then members of the other kind. 0 stands for a partner without a common shingle."""
-    added, removed = np.setdiff1d(x, pivot, assume_unique=True), np.setdiff1d(pivot, x, assume_unique=True)
-    own = np.concatenate([added, removed])
-    n, c, a = len(x), len(pivot), len(own)
+def texts_of(nodes: DataFrame, docs: DataFrame, canon: DataFrame, label: str) -> DataFrame:
+    """node and one text for each of the nodes (a written table of distinct ones)."""
+    owners = written(canon.join(small_side(nodes), "node", "left_semi").select("node", "doc_id", "th"), "owners")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").join(small_side(owners), ["doc_id", "th"])
+    out = written(rows.groupBy("node").agg(F.first("text").alias("text")), label)
+    discard(owners)
+    return out
+
+
+def prefixes(own: np.ndarray, n: int, c: int, pivot: tuple[int, int], linked: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles by which a set of size n meets what it may link with, of `own`, its difference from a reference of size
+    c: first members that don't link to the pivot, like itself, then members of the other kind. 0 stands for a partner
+    without a common shingle. pivot: its size and its difference from the reference, which no member's is under."""
+    a, (m, p) = len(own), pivot
     size = np.arange(-(-n * num // den), n * den // num + 1)  # of a partner
-    apart = (den - num) * (n + size) // (den + num)  # most shingles it may differ from x in
-    most = (den - num) * (size + c) // (den + num)  # and from the pivot, if linked to it
+    apart = (den - num) * (n + size) // (den + num)  # most shingles it may differ from this set in
+    most = (den - num) * (size + m) // (den + num)  # and from the pivot, if it links to it
 
     def first(partner_linked: bool) -> np.ndarray:
-        away = np.maximum(np.maximum(np.abs(size - c), a - apart), 1 if partner_linked else most + 1)
-        common = -(-(a + away - apart) // 2)
+        away = np.maximum.reduce([np.abs(size - c), a - apart, np.full(len(size), p), np.zeros(len(size), int) if partner_linked else most + 1 - p])
+        common = -((apart - a - away) // 2)
         if partner_linked:
-            common = common[away <= most]
+            common = common[away <= most + p]
         if not len(common):
             return own[:0]
         least = int(common.min())
@@ -150,11 +159,10 @@ def prefixes(x: np.ndarray, pivot: np.ndarray, linked: bool, num: int, den: int)
 
 
 def possible(pairs: DataFrame, canon: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b, crowd; a written table) without those, not of crowds, whose sketches differ in too many bits."""
-    rest = pairs.where("not crowd")
-    wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """pairs (a, b; a written table) without those whose sketches differ in too many bits."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     marks = written(canon.join(wanted, "node", "left_semi").select("node", "n_shingles", "sketch"), "marks")
-    marks = small_side(marks, BROADCAST_SKETCHES)
+    marks = small_side(marks)
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -164,95 +172,150 @@ def possible(pairs: DataFrame, canon: DataFrame, num: int, den: int) -> DataFram
     left = marks.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
     right = marks.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
     allowed = (F.col("n") + F.col("m")) * (den - num)
-    near = rest.join(left, "a").join(right, "b").where(F.abs(F.col("n") - F.col("m")) * (den + num) <= allowed)
-    near = near.where(apart("x", "y") * (den + num) <= allowed)
-    return pairs.where("crowd").unionByName(near.select("a", "b", "crowd"))
+    near = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("n") - F.col("m")) * (den + num) <= allowed)
+    return near.where(apart("x", "y") * (den + num) <= allowed).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b, crowd) of sets with `linked`, by their texts, and for crowds the prefixes of a's difference from b.
-
-    Pairs that their sketches tell apart are left out."""
-    pairs = written(pairs.where("a != b").groupBy("a", "b").agg(F.max("crowd").alias("crowd")), "pairs")
-    pairs = written(possible(pairs, canon, num, den), "possible")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = written(canon.join(wanted, "node", "left_semi").select("node", "doc_id"), "owners")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(owners, BROADCAST_ROWS), "doc_id")
-    texts = written(texts.select("node", "text"), "texts")
-
-    @F.pandas_udf("linked boolean, same array<long>, other array<long>")
-    def judged(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series, crowd: pd.Series) -> pd.DataFrame:
-        out, last, t = [], None, None
-        for na, nb, tx, ty, many in zip(a, b, x, y, crowd):
-            s = shingle_set(tx, width)
-            if last is not ty and last != ty:
-                last, t = ty, shingle_set(ty, width)
-            if node_of(s) != na or node_of(t) != nb:  # a repeated doc_id has other texts
-                out.append((None, None, None))
-                continue
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            near = den * both >= num * (len(s) + len(t) - both)
-            same, other = prefixes(s, t, near, num, den) if many else (s[:0], s[:0])
-            out.append((near, same.view(np.int64), other.view(np.int64)))
-        return pd.DataFrame(out, columns=["linked", "same", "other"])
+    """The linked ones of pairs (a, b) of sets, by their sketches and then by their texts."""
+    pairs = written(pairs.distinct(), "pairs")
+    near = written(possible(pairs, canon, num, den), "possible")
+    wanted = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "wanted")
+    texts = texts_of(wanted, docs, canon, "texts")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            kept, last, t = [], None, None
+            for tx, ty in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                s = shingle_set(tx, width, hashes)
+                if last != ty:
+                    last, t = ty, shingle_set(ty, width, hashes)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                kept.append(den * both >= num * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "crowd", judged("a", "b", "x", "y", "crowd").alias("j"))
-    return written(checked.select("a", "b", "crowd", "j.*").where("linked is not null"), "links")
+    out = written(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judged, "a long, b long"), "links")
+    discard(pairs, near, wanted, texts)
+    return out
+
+
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The hashes of each row."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+
+
+def references(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """key and reference (its shingles and their name) of each crowd (key, node), by sets (node, s)."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
+    some = crowds.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "node").join(sets, "node")
+
+    def common(group: pd.DataFrame) -> pd.DataFrame:
+        s, n = np.unique(np.concatenate([v.view(np.uint64) for v in group["s"]]), return_counts=True)
+        c = s[2 * n > len(group)]
+        return pd.DataFrame({"key": group["key"].iloc[:1], "ref": [node_of(c)], "c": [c.view(np.int64)]})
+
+    return some.groupBy("key").applyInPandas(common, "key long, ref long, c array<long>")
+
+
+def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of members of crowds (key, node; a written table) to their pivots, and the groups (key, node, linked) that
+    hold all other pairs that may link."""
+    nodes = written(crowds.select("node").distinct(), "nodes")
+    texts = texts_of(nodes, docs, canon, "crowd-texts")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    sets = written(texts.mapInArrow(shingled, "node long, s array<long>"), "crowd-sets")
+    refs = written(references(crowds, sets), "references")
+    known = written(refs.groupBy("ref").agg(F.first("c").alias("c")), "distinct-references")
+    members = crowds.join(small_side(written(refs.select("key", "ref"), "keys")), "key").select("ref", "node").distinct()
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sizes = [], []
+            for s, c in zip(arrays(batch.column(2)), arrays(batch.column(3))):
+                own.append(np.concatenate([np.setdiff1d(s, c, assume_unique=True), np.setdiff1d(c, s, assume_unique=True)]).view(np.int64))
+                sizes.append((len(s), len(c), len(own[-1])))
+            n, c, a = (pa.array(list(v), pa.int64()) for v in (zip(*sizes) if sizes else ([], [], [])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, c, a, pa.array(own, pa.list_(pa.int64()))], names=["ref", "node", "n", "c", "a", "own"])
+
+    both = members.join(small_side(sets), "node").join(small_side(known), "ref").select("ref", "node", "s", "c")
+    diffs = written(both.mapInArrow(differences, "ref long, node long, n long, c long, a long, own array<long>"), "differences")
+    nearest = diffs.groupBy("ref").agg(F.min(F.struct("a", "node")).alias("p")).select("ref", F.col("p.node").alias("node"))
+    pivots = diffs.join(nearest, ["ref", "node"]).select("ref", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+    pivots = written(pivots, "pivots")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            numbers = (batch.column(k).to_pylist() for k in (1, 2, 3, 5, 6))
+            for node, n, c, pivot, m, x, y in zip(*numbers, arrays(batch.column(4)), arrays(batch.column(7))):
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                linked = apart * (den + num) <= (n + m) * (den - num)
+                same, other = prefixes(x, n, c, (m, len(y)), linked, num, den)
+                out.append((node, pivot, linked, same.view(np.int64), other.view(np.int64)))
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(v), k) for v, k in zip(cols, kinds))], names=["ref", "node", "pivot", "linked", "same", "other"])
+
+    joined = diffs.join(small_side(pivots), "ref").select("ref", "node", "n", "c", "own", "pivot", "m", "theirs")
+    judged = written(joined.mapInArrow(met, "ref long, node long, pivot long, linked boolean, same array<long>, other array<long>"), "judged")
+    found = written(judged.where("linked and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pivot-links")
+
+    def keyed(by: str, role: int) -> DataFrame:
+        return judged.select("ref", "node", "linked", F.explode(by).alias("s")).select(F.xxhash64("ref", "s", F.lit(role)).alias("key"), "node", "linked")
+
+    rows = written(keyed("same", 0).unionByName(keyed("other", 1)), "met")
+    discard(nodes, texts, sets, refs, known, diffs, pivots, judged)
+    return found, rows
 
 
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Verified pairs of sets that connect all sets which links connect."""
-    one = sets.join(small_side(canon.select("node", "doc_id"), BROADCAST_ROWS), ["node", "doc_id"], "left_semi")
-    rows = one.select("node", F.explode("keys").alias("key"))
-    found = None
+    """Pairs of sets that connect all sets which links connect."""
+    one = sets.join(small_side(written(canon.select("node", "doc_id", "th"), "names")), ["node", "doc_id", "th"], "left_semi")
+    rows = one.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("linked"))
+    found, pairs, last = None, None, None
     for n in range(ROUNDS + 1):
-        shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-        shared = written(shared, "shared")
+        shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("linked").alias("all"))
+        shared = written(shared.where("a < b and not all"), "shared")  # members that all link to a pivot are connected
         more = written(shared.where("m > 2").select("key", (F.col("m") > SMALL).alias("crowd")), "more")
-        members = written(rows.join(small_side(more, BROADCAST_ROWS), "key").distinct(), "members")
+        members = written(rows.join(small_side(more), "key").distinct(), "members")
         few = members if n == ROUNDS else members.where("not crowd")
-        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
-        pairs = pairs.select("a", "b").unionByName(shared.where("m = 2").select("a", "b")).withColumn("crowd", F.lit(False))
-        if n < ROUNDS:
-            members = members.where("crowd")
-            degree = written(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-            ranked = members.join(small_side(degree, BROADCAST_ROWS), "node")
-            pivot = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot")).select("key", F.col("pivot.node").alias("b"))
-            pairs = pairs.unionByName(members.join(pivot, "key").select(F.col("node").alias("a"), "b", F.lit(True).alias("crowd")))
-        judged = verified(pairs, docs, canon, width, num, den)
-        near = judged.where("linked").select("a", "b")
-        found = near if found is None else found.unionByName(near)
-        crowd = judged.where("crowd")
-        if crowd.isEmpty():
-            break
-
-        def met(side: DataFrame, by: str, role: int) -> DataFrame:
-            return side.select(F.col("a").alias("node"), "b", F.explode(by).alias("s")).select("node", F.xxhash64("b", "s", F.lit(role)).alias("key"))
-
-        apart, close = crowd.where("not linked"), crowd.where("linked")
-        across = met(apart, "other", 1).withColumnRenamed("node", "a").join(met(close, "other", 1).withColumnRenamed("node", "b"), "key")
-        across = verified(across.select("a", "b", F.lit(False).alias("crowd")), docs, canon, width, num, den)
-        found = found.unionByName(across.where("linked").select("a", "b"))
-        rows = written(met(apart, "same", 0).distinct(), "rows")
-        if rows.isEmpty():
+        left, right = (few.select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
+        now = left.join(right, "key").where("a < b and not (la and lb)").select("a", "b").unionByName(shared.where("m = 2").select("a", "b"))
+        now = written(now.distinct(), "candidates")
+        pairs = now if pairs is None else pairs.unionByName(now)
+        crowds = written(members.where("crowd").select("key", "node").distinct(), "crowds")
+        discard(shared, more, members, *([last] if last is not None else []))
+        if n == ROUNDS or crowds.isEmpty():
             break
-    return found
+        near, rows = split(crowds, docs, canon, width, num, den)
+        found, last = near if found is None else found.unionByName(near), rows
+        discard(crowds)
+    near = verified(pairs, docs, canon, width, num, den)
+    return near if found is None else found.unionByName(near)
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
     sets = written(sketches(docs, width, num, den), "sets")
     canon = sets.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
-    )
+        F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+    ).select("node", "at.*", "n_shingles", "sketch")
     canon = written(canon, "canon")
     label = components(links(docs, sets, canon, width, num, den))
     named = canon.select("node", "doc_id").join(label, "node", "left")
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "label", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    rows = sets.select("doc_id", "n_shingles", "node").join(small_side(written(named, "named"), BROADCAST_ROWS), "node", "left")
+    rows = sets.select("doc_id", "n_shingles", "node").join(small_side(written(named, "named")), "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -264,12 +327,12 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     """
     groups = written(jaccard_groups(docs, width, num, den), "groups")
     gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small_side(gone, BROADCAST_ROWS), "doc_id", "left_anti")
+    kept = docs.join(small_side(gone), "doc_id", "left_anti")
     twice = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    many = kept.join(small_side(twice, BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small_side(twice, BROADCAST_ROWS), "doc_id", "left_anti").unionByName(many).select(*docs.columns)
+    many = kept.join(small_side(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small_side(twice), "doc_id", "left_anti").unionByName(many).select(*docs.columns)
 
 
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import read, small_side, written
 
 NEAR_CHARS = 24
-BROADCAST_ROWS = 500_000
 
 
 def _name(line: Column) -> Column:
@@ -62,16 +61,16 @@ def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     halves = lines.where("halves is not null").select("name", "at", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a < b").select("half")
     shared = written(shared, "halves")
-    able = halves.join(small_side(shared, BROADCAST_ROWS), "half", "left_semi").select("at", "name").distinct()
+    able = halves.join(small_side(shared), "half", "left_semi").select("at", "name").distinct()
     able = written(able.select("at.*", "name"), "able")
-    texts = _occurrences(docs).where(near).join(small_side(able, BROADCAST_ROWS), ["doc_id", "th", "no"])
+    texts = _occurrences(docs).where(near).join(small_side(able), ["doc_id", "th", "no"])
     texts = written(texts.select("name", first.alias("at"), "line").dropDuplicates(["name"]), "able-texts")
 
     near_lines = written(_near(texts), "near").select("name")
     again = each.select("doc_id", "th", "no", "name")
-    again = again.join(small_side(near_lines.withColumn("is_near", F.lit(True)), BROADCAST_ROWS), "name", "left")
+    again = again.join(small_side(near_lines.withColumn("is_near", F.lit(True))), "name", "left")
     repeated = written(lines.where("n > 1").select("name", F.col("at").alias("first")), "repeated")
-    again = again.join(small_side(repeated, BROADCAST_ROWS), "name", "left").where("is_near or first is not null")
+    again = again.join(small_side(repeated), "name", "left").where("is_near or first is not null")
     kind = F.when(F.coalesce(F.col("first") != first, F.lit(False)), "exact").when(F.col("is_near"), "near")
     return again.select("doc_id", "th", "no", kind.alias("kind")).where("kind is not null")
 
@@ -110,7 +109,7 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "kind")).alias("gone")), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("hash"))
     on = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))
-    both = rows.join(small_side(gone, BROADCAST_ROWS), on, "left")
+    both = rows.join(small_side(gone), on, "left")
     lines = F.split("row.text", "\n")
     numbers = F.transform("gone", lambda g: g["no"])
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")

@@ -5,23 +5,21 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KEPT_WORDS = 500_000
+#: Words whose hashes a task keeps; beyond, it starts anew.
+KEPT_WORDS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
+class Hashes(dict):
+    """64-bit hashes of words; each task has its own, so they go with it."""
 
     def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = found
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-hashes = _Hashes()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over all."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -42,7 +40,7 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
     return mixed(h + np.uint64(width))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, hashes: Hashes) -> np.ndarray:
     """Distinct shingles, ascending; the whole sequence as one if it is shorter, none without words."""
     words = words_of(text) if text else []
     codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
