@@ -2,52 +2,55 @@
 
 Texts become template tokens: numbers, units and names (capitalised words inside a sentence) are typed placeholders,
 all else is the lower-cased word. A text with names on end, numbers before units or groups of three digits has a second
-template where each of these is one placeholder, and each template is searched for each. A capitalised word that opens a
-sentence may be a name or not: windows are cut for both readings, on both sides. Windows of WIDTH template tokens of benchmark items, with at least half of their
-tokens literal, are looked up by hash in every document. Hits on one diagonal (equal distance between places in item
-and document) belong together, and so do those on diagonals that an item's length holds, for words put in or left out
-move what follows. A place is judged if its hits are LEAST_COVER of an item's windows, or hold LEAST_COVER of its tokens
-and LEAST_RUN at least (a changed word takes WIDTH windows away, but one token), or if LEAST_RUN words on end are
-verbatim, whatever share of the item they are. Then the slots of the aligned part are compared: each value of the item
-must stand for one value of the document, and the other way round; where they do not, the windows that read no opening
-word as a name are judged alone. If all are equal the passage is verbatim, else
-re-parameterised; if they contradict each other it is no leak. Each diagonal is judged alone too.
-
-The benchmark is looked up in blocks of bounded text, so its windows may be broadcast at any size.
+template where each of these is one placeholder, and each template is searched for each. A capitalised word that opens
+a sentence may be a name or not: windows are cut for both readings, on both sides.
+
+Windows of WIDTH template tokens of benchmark items, with at least half of their tokens literal, are a table of hashes.
+A bit sieve made of it, of bounded size, passes the windows of documents that may be in it; those are joined with the
+table by hash, so what is looked up grows with what is found. For each document and item found, its hits are gathered
+and judged. Hits on one diagonal (equal distance between places in item and document) belong together, and so do those
+on diagonals that an item's length holds, for words put in or left out move what follows. A place is judged if its
+hits are LEAST_COVER of an item's windows, or hold LEAST_COVER of its tokens and LEAST_RUN at least (a changed word
+takes WIDTH windows away, but one token), or if LEAST_RUN words on end are verbatim, whatever share of the item they
+are. Then the slots of the aligned part are compared: each value of the item must stand for one value of the document,
+and the other way round; where they do not, the windows that read no opening word as a name are judged alone. If all
+are equal the passage is verbatim, else re-parameterised; if they contradict each other it is no leak. Each diagonal is
+judged alone too.
 
 Defined cases: null and empty texts and items have no windows; items of fewer than LEAST_WORDS tokens, or without any
 window that is literal enough, are too short to tell and are not searched; shorter ones than WIDTH are one window;
-repeated rows are each reported; equal items are each reported; a null doc_id or item_id is reported as null; empty
-tables give no rows; other columns of the inputs are ignored.
+repeated rows are each reported; equal items are each reported; of equally good places the one on the first diagonal
+counts; a null doc_id or item_id is reported as null; empty tables give no rows; other columns of the inputs are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_id
+from .common import discard, read, small_side, written
 from .shingles import mixed
 
 WIDTH = 8
 LEAST_WORDS = 5
 LEAST_COVER = 0.5
 LEAST_RUN = 13
-BLOCK_CHARS = 8_000_000
-KEPT_WORDS = 500_000
+#: Words that a task keeps; beyond, it starts anew.
+KEPT_WORDS = 100_000
 #: Windows read at a time: each opening word among its tokens doubles the readings of a window.
 PIECE = 20_000
-SIEVE_BITS = 22
+#: Bits of the sieve for each window, and at most, as powers of two.
+SIEVE_SHARE, SIEVE_MOST = 4, 26
 LITERAL, NUMBER, UNIT, NAME = range(4)
 #: Units.
 UNITS = frozenset("kg g mg lb lbs oz ton tons km m cm mm mile miles ft feet foot inch inches yard yards l ml liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degrees degree mph kph watt watts volt volts".split())
@@ -57,7 +60,7 @@ _LEAD = re.compile(r"[$€£]?[+-]?[0-9]{1,3}")
 _GROUP = re.compile(r"[0-9]{3}")
 _PARTS = re.compile(r"(.*?)-?([a-z]*)", re.DOTALL)
 _EDGE = "\"'`.,;:!?()[]{}*#&%$|<>"
-LEAKS = "doc_id string, item_id string, n_windows long, n_item_windows long, cover double, kind string, n_slots long, n_changed long"
+LEAKS = "th long, item long, n_windows long, n_item_windows long, cover double, kind string, n_slots long, n_changed long"
 
 
 def _placeholder(kind: int) -> int:
@@ -174,63 +177,38 @@ def _window_width(n: int) -> int:
     return min(WIDTH, n)
 
 
-class Benchmark:
-    """Windows of a block of items, by hash."""
+def usable_windows(t: Template) -> np.ndarray:
+    """Whether each window of an item is literal enough."""
+    if len(t.words) < LEAST_WORDS:
+        return np.zeros(0, bool)
+    width = _window_width(len(t))
+    return np.convolve(t.kinds == LITERAL, np.ones(width), "valid") * 2 >= width
 
-    def __init__(self, items: list[tuple[str | None, str | None]]):
-        self.words = Words()
-        found = templates([t for _, t in items], self.words)
-        self.items = [t for ts in found for t in ts]
-        self.rows = [n for n, ts in enumerate(found) for _ in ts]
-        self.ids = [items[n][0] for n in self.rows]
-        self.values = self.words.value
-        self.counts: dict[int, int] = {}
-        at: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for n, t in enumerate(self.items):
-            if len(t.words) < LEAST_WORDS:
-                continue
-            width = _window_width(len(t))
-            literal = np.convolve(t.kinds == LITERAL, np.ones(width), "valid")
-            usable = literal * 2 >= width
-            for place, hashed in readings(t, width):
-                kept = usable[place]
-                at.setdefault(width, []).append((hashed[kept], np.full(kept.sum(), n), place[kept]))
-            if usable.any():
-                self.counts[n] = int(usable.sum())
-        self.at: dict[int, tuple[np.ndarray, ...]] = {}
-        self.sieve: dict[int, np.ndarray] = {}
-        for width, parts in at.items():
-            hashed, item, place = map(np.concatenate, zip(*parts))
-            order = np.argsort(hashed, kind="stable")
-            self.at[width] = hashed[order], item[order], place[order]
-            self.sieve[width] = np.zeros(1 << SIEVE_BITS, bool)
-            self.sieve[width][hashed >> np.uint64(64 - SIEVE_BITS)] = True
-
-    def leaks(self, docs: list[Template], values: list[str]) -> list[tuple]:
-        """item id, windows found, windows of the item, cover, kind, slots, changed slots; the best place of each item."""
-        best: dict[int, tuple] = {}
-        for doc in docs:
-            lines = self._lines(doc)
-            for n in sorted(lines):
-                one = self._best(n, lines[n], doc, values)
-                if one and (self.rows[n] not in best or best[self.rows[n]][3] < one[3]):
-                    best[self.rows[n]] = one
-        return [best[n] for n in sorted(best)]
-
-    def _lines(self, doc: Template) -> dict[int, dict[int, set[int]]]:
-        """For each item template found, the windows found by diagonal."""
-        lines: dict[int, dict[int, set[int]]] = {}
-        for width, (known, item, place) in self.at.items():
-            for at, hashed in readings(doc, width) if len(known) else ():
-                some = np.flatnonzero(self.sieve[width][hashed >> np.uint64(64 - SIEVE_BITS)])
-                if not len(some):
-                    continue
-                low, high = np.searchsorted(known, hashed[some]), np.searchsorted(known, hashed[some], "right")
-                for k in np.flatnonzero(low < high).tolist():
-                    p = int(at[some[k]])
-                    for n, q in zip(item[low[k] : high[k]].tolist(), place[low[k] : high[k]].tolist()):
-                        lines.setdefault(n, {}).setdefault(p - q, set()).add(q)
-        return lines
+
+def widened(hashed: np.ndarray, width: int) -> np.ndarray:
+    """The hash of a window with its width in it."""
+    return mixed(hashed ^ np.uint64(width * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+class Pair:
+    """An item and a document that share windows, and whether that is a leak."""
+
+    def __init__(self, item: list[Template], values: list[str]):
+        self.items, self.values = item, values
+        self.counts = [int(usable_windows(t).sum()) for t in item]
+
+    def leak(self, docs: list[Template], values: list[str], hits: Iterable[tuple[int, int, int, int]]) -> tuple | None:
+        """Windows found, windows of the item, cover, kind, slots and changed slots of the best place. hits: template of
+        the item, place there, template of the document, place there."""
+        lines: dict[tuple[int, int], dict[int, set[int]]] = {}
+        for n, q, d, p in hits:
+            lines.setdefault((d, n), {}).setdefault(p - q, set()).add(q)
+        best = None
+        for d, n in sorted(lines):
+            one = self._best(n, lines[d, n], docs[d], values)
+            if one and (best is None or best[2] < one[2]):
+                best = one
+        return best
 
     def _best(self, n: int, lines: dict[int, set[int]], doc: Template, values: list[str]) -> tuple | None:
         """The place of an item with the most windows whose slots agree; lines has the windows found by diagonal."""
@@ -248,8 +226,7 @@ class Benchmark:
                     break
                 slots = self._slots(item, doc, values, at)
                 if slots is not None:
-                    kind = "re-parameterised" if slots[1] else "verbatim"
-                    return self.ids[n], found, self.counts[n], found / self.counts[n], kind, *slots
+                    return found, self.counts[n], found / self.counts[n], "re-parameterised" if slots[1] else "verbatim", *slots
         return None
 
     def _named(self, item: Template, doc: Template, values: list[str], p: int, d: int) -> bool:
@@ -312,69 +289,130 @@ class Benchmark:
         return total, changed
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items in blocks of about block_chars of text each, one block on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = math.ceil(chars / block_chars)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text")
-        yield [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in part.collect()]
+class _Task:
+    """Templates with a task's own numbers of words, which start anew beyond a bound."""
 
+    def __init__(self) -> None:
+        self.words = Words()
 
-_worker_words = [Words()]
+    def templates(self, texts: list[str | None]) -> tuple[list[list[Template]], list[str]]:
+        if len(self.words) > KEPT_WORDS:
+            self.words = Words()
+        return templates(texts, self.words), self.words.value
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """item (a hash of its text), template, place and hash of each window of an item that is literal enough."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task()
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+            found, _ = task.templates(batch.column(1).to_pylist())
+            for item, ts in zip(batch.column(0).to_pylist(), found):
+                for n, t in enumerate(ts):
+                    usable = usable_windows(t)
+                    width = _window_width(len(t))
+                    for place, hashed in readings(t, width) if usable.any() else ():
+                        kept = usable[place]
+                        out.append((np.full(kept.sum(), item), np.full(kept.sum(), n), place[kept], widened(hashed[kept], width).view(np.int64)))
+            cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item", "ti", "q", "window"])
+
+    return items.select("item", "text").mapInArrow(cut, "item long, ti long, q long, window long")
+
+
+def sieve_of(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """A power of two and as many bits, set where the table has a window; of bounded size."""
+    bits = min(SIEVE_MOST, max(12, SIEVE_SHARE + windows.count().bit_length()))
+    place = F.shiftrightunsigned("window", 64 - bits)
+    word = F.shiftright(place, 6).alias("word")
+    rows = windows.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(window, {64 - bits}) & 63 as int))")).alias("set")).collect()
+    out = np.zeros(1 << max(0, bits - 6), np.uint64)
+    for r in rows:
+        out[r["word"]] = np.int64(r["set"]).view(np.uint64)
+    return bits, np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def hits_of(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """th (hash of a text), template and place of each window of a text that a benchmark item has, with the item's."""
+    held = docs.sparkSession.sparkContext.broadcast(sieve_of(windows))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, (bits, sieve) = _Task(), held.value
+        for batch in batches:
+            ths, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 500):
+                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+                found, _ = task.templates(texts[at : at + 500])
+                for th, ts in zip(ths[at : at + 500], found):
+                    for n, t in enumerate(ts):
+                        for width in widths:
+                            for place, hashed in readings(t, width):
+                                hashed = widened(hashed, width)
+                                some = np.flatnonzero(sieve[hashed >> np.uint64(64 - bits)])
+                                if len(some):
+                                    out.append((np.full(len(some), th), np.full(len(some), n), place[some], hashed[some].view(np.int64)))
+                cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["th", "td", "p", "window"])
+
+    sieved = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(search, "th long, td long, p long, window long")
+    return sieved.join(small_side(windows), "window").select("th", "td", "p", "item", "ti", "q")
+
+
+def leaks_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each text (th, its hash) and item (a hash of its text) that leaked into it."""
+    items = benchmark.where("text is not null").select(F.xxhash64("text").alias("item"), "text").distinct()
+    items = written(items, "items")
+    windows = written(benchmark_windows(items), "windows")
+    sizes = written(items.mapInPandas(_widths, "width int"), "widths").distinct().collect()  # at most WIDTH rows
+    hits = hits_of(docs, windows, sorted(r["width"] for r in sizes))
+    hits = written(hits.groupBy("th", "item").agg(F.collect_set(F.struct("ti", "q", "td", "p")).alias("hits")), "hits")
+    ths = written(hits.select("th").distinct(), "ths")
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(small_side(ths), "th").groupBy("th").agg(F.first("text").alias("text"))
+    rows = hits.join(small_side(items.select("item", F.col("text").alias("question"))), "item").join(written(texts, "found-texts"), "th")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            task, last, out = _Task(), None, []
+            for th, item, hits, question, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                words = Words()
+                pair = Pair(templates([question], words)[0], words.value)
+                if last is None or last[0] != th:
+                    found, values = task.templates([text])
+                    last = th, found[0], values
+                one = pair.leak(last[1], last[2], ((h["ti"], h["q"], h["td"], h["p"]) for h in hits))
+                if one:
+                    out.append((th, item, *one))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+            cols = list(zip(*out)) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
+
+    out = written(rows.select("th", "item", "hits", "question", "text").mapInArrow(judge, LEAKS), "leaks")
+    discard(windows, hits, ths)
+    return out
 
 
-def _templates(texts: list[str | None]) -> tuple[list[list[Template]], list[str]]:
-    """Templates with this worker's numbers of words, which start anew beyond a bound."""
-    if len(_worker_words[0]) > KEPT_WORDS:
-        _worker_words[0] = Words()
-    return templates(texts, _worker_words[0]), _worker_words[0].value
+def _widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    task = _Task()
+    for batch in batches:
+        found, _ = task.templates(batch["text"].tolist())
+        yield pd.DataFrame({"width": sorted({_window_width(len(t)) for ts in found for t in ts if usable_windows(t).any()})})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that leaked into it."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], LEAKS)
-    for items in blocks(benchmark):
-        held = spark.sparkContext.broadcast(items)
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            known = Benchmark(held.value)
-            for batch in batches:
-                rows = []
-                for at in range(0, len(batch), 500):
-                    some = batch.iloc[at : at + 500]
-                    docs, values = _templates(some["text"].tolist())
-                    rows += [(i, *leak) for i, t in zip(some["doc_id"], docs) for leak in known.leaks(t, values)]
-                names = [c.split()[0] for c in LEAKS.split(", ")]
-                yield pd.DataFrame(rows, columns=names)
-
-        out = out.unionByName(docs.select(text_id("doc_id"), "text").mapInPandas(search, LEAKS))
-    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
-
-
-def _clean(held: Broadcast) -> Callable:
-    """Whether a text holds no item of a block."""
-
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Benchmark(held.value)
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 500):
-                found, values = _templates(texts.iloc[at : at + 500].tolist())
-                out += [not known.leaks(t, values) for t in found]
-            yield pd.Series(out, dtype=bool)
-
-    return clean
+    found = leaks_by_text(docs, benchmark)
+    ids = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item")).distinct()
+    named = written(found.join(ids, "item"), "named-leaks")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).join(small_side(named), "th")
+    return rows.select("doc_id", "item_id", "n_windows", "n_item_windows", "cover", "kind", "n_slots", "n_changed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
-    for items in blocks(benchmark):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(items))("text"))
-    return docs
+    gone = written(leaks_by_text(docs, benchmark).select(F.col("th").alias("_th")).distinct(), "gone")
+    return docs.join(small_side(gone), F.xxhash64(docs["text"]) == gone["_th"], "left_anti")
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
