@@ -209,14 +209,15 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def references(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """key and reference (its shingles and their name) of each crowd (key, node), by sets (node, s)."""
+    """key and reference of each crowd (key, node), by sets (node, s): shingles, and the least of them as its name. References
+    of one name, which are much alike, then count as one."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
     some = crowds.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "node").join(sets, "node")
 
     def common(group: pd.DataFrame) -> pd.DataFrame:
         s, n = np.unique(np.concatenate([v.view(np.uint64) for v in group["s"]]), return_counts=True)
         c = s[2 * n > len(group)]
-        return pd.DataFrame({"key": group["key"].iloc[:1], "ref": [node_of(c)], "c": [c.view(np.int64)]})
+        return pd.DataFrame({"key": group["key"].iloc[:1], "ref": [int(c[0].astype(np.int64)) if len(c) else 0], "c": [c.view(np.int64)]})
 
     return some.groupBy("key").applyInPandas(common, "key long, ref long, c array<long>")
 
@@ -224,6 +225,9 @@ def references(crowds: DataFrame, sets: DataFrame) -> DataFrame:
 def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Links of members of crowds (key, node; a written table) to their pivots, and the groups (key, node, linked) that
     hold all other pairs that may link."""
+    # crowds with the same member first are parts of one family and become one
+    first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("r")).select("key", F.col("r.node").alias("first"))
+    crowds = written(crowds.join(small_side(written(first, "firsts")), "key").select(F.col("first").alias("key"), "node").distinct(), "families")
     nodes = written(crowds.select("node").distinct(), "nodes")
     texts = texts_of(nodes, docs, canon, "crowd-texts")
 

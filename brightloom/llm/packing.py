@@ -35,9 +35,9 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 8192
 #: Words whose ids a task keeps from batch to batch, at most; beyond, those that the last batch has once go.
-KEPT_WORDS = 200_000
-#: Words encoded by one call.
-CALL_WORDS = 20_000
+KEPT_WORDS = 600_000
+#: Texts read at a time, and words encoded by one call.
+TEXTS, CALL_WORDS = 500, 5_000
 #: Bins with less room than this share of a sequence aren't packed again.
 TIGHT = 1 / 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,33 +58,55 @@ class Encoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Ids of words that end before `ends`, with a gap behind each."""
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = raw[4 * start : 4 * end]
+            start = end + gap
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words joined by a special token, which the tokenizer cuts out first, and cuts the ids at it."""
         mark, number = next(iter(self.special.items()))
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            ids = self._encode(mark.join(some))
-            ends = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(some, ends):
-                self.known[word] = raw[4 * start : 4 * end]
-                start = end + 1
+        chunks = [words[at : at + CALL_WORDS] for at in range(0, len(words), CALL_WORDS)]
+        for some, ids in zip(chunks, self._encode([mark.join(c) for c in chunks])):
+            self._keep(some, ids, np.append(np.flatnonzero(ids == number), len(ids)), 1)
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Encodes words of letters joined by spaces: the last id of each ends a word, and no other one does."""
+        chunks = [words[at : at + CALL_WORDS] for at in range(0, len(words), CALL_WORDS)]
+        for some, ids in zip(chunks, self._encode([" ".join(c) for c in chunks])):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self._keep(some, ids, ends, 0)
+            else:  # letters of which the tokenizer makes more
+                self._learn(some)
 
     def _meet(self, words: Iterable[str]) -> None:
         """Makes words known. The tokenizer lower-cases, and letters never join with full stops and commas behind them, so
         words of letters are encoded in lower case and without these. (A capital sigma has two small ones.)"""
         new = [w for w in words if w not in self.known]
+        letters: dict[str, None] = {}
+        rest: dict[str, None] = {}
         stems = {}
         for word in new:
             stem = word.rstrip(".,")
-            if stem.isalpha() and "\u03a3" not in stem and len(low := stem.lower()) == len(stem) and word != low:
-                stems[word] = low, word[len(stem) :]
-        own = set(new).difference(stems)
-        own.update(x for pair in stems.values() for x in pair)
-        self._learn([w for w in own if w not in self.known])
+            if stem.isalpha() and "\u03a3" not in stem and len(low := stem.lower()) == len(stem):
+                letters[low] = None
+                if word != low:
+                    stems[word] = low, word[len(stem) :]
+                    rest[word[len(stem) :]] = None
+            else:
+                rest[word] = None
+        self._learn_letters([w for w in letters if w not in self.known])
+        self._learn([w for w in rest if w not in self.known])
         for word, (low, end) in stems.items():
             self.known[word] = self.known[low] + self.known[end]
 
@@ -95,7 +117,7 @@ class Encoder:
         for p in parts:
             counts.update(p)
         self._meet(counts)
-        out = [self._encode(t).tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole)]
+        out = [self._encode([t])[0].tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole)]
         if len(self.known) > KEPT_WORDS:
             self.known = {w: self.known[w] for w, n in counts.items() if n > 1}
         return out
@@ -106,12 +128,14 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         encode, end = Encoder(tokenizer), END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                ids += end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(texts)):
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = zip(*out) if out else ([] for _ in range(5))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
