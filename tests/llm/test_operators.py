@@ -363,13 +363,61 @@ def test_secrets(docs):
     assert secret_scan.scan_documents(docs([])).count() == 0
 
 
-def test_known_text_is_not_novel():
-    import zstandard
+def brute_secrets(text, cuts, raw):
+    """Spans by the plain rules: every string against every sensitive word and every base span."""
+    base = secret_scan.base_spans(text)
+    pack, more = secret_scan.compressor(raw), []
+    words = [m.span() for m in re.finditer("|".join(map(re.escape, secret_scan.SENSITIVE)), text, re.IGNORECASE)]
+    for m in re.finditer(r"[A-Za-z0-9+/_.=~-]+", text):
+        a, b = m.start(), m.start() + len(m[0].rstrip(".-=~+/"))
+        near = any(x - secret_scan.REACH <= b and a <= y + secret_scan.REACH for x, y in words)
+        if b - a < 8 or not near or any(a < y and x < b for _, x, y in base) or text[a:b].lower() in secret_scan.SENSITIVE:
+            continue
+        around = text[max(0, a - secret_scan.AROUND) : a] + text[b : b + secret_scan.AROUND]
+        if secret_scan.novelty(text[a:b], around, pack) > cuts[secret_scan.length_class(b - a)]:
+            more.append(("novel", a, b))
+    return secret_scan.listed(base + more, secret_scan.KINDS)
+
+
+def test_planted_secrets_are_found_and_equal_brute_force(docs):
+    draw = np.random.default_rng(7)
+    words = ["".join(draw.choice(list("abcdeilmnorst"), 9)) for _ in range(300)]
+    keys = ["".join(draw.choice(list("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"), 24)) for _ in range(40)]
+
+    def prose(n):
+        return " ".join(draw.choice(words, n))
+
+    shapes = ["{p} bearer {k} {p}", "{p}\nprivate_key:\n{k}\n{p}", "{p} {k} is the credential {p}", "{p} token = {k} {p}"]
+    texts = [shapes[i % 4].format(p=prose(60), k=k) for i, k in enumerate(keys)] + [f"{prose(60)} credential {prose(60)}" for _ in range(20)]
+    out = {r.doc_id: r for r in secret_scan.scan_documents(docs(list(enumerate(texts)))).collect()}
+    cuts = secret_scan.LEAST_NOVELTY
+    raw = " ".join(secret_scan.CODE_WORDS + ["token", "private_key"]).encode()
+    assert {i: out[i].spans for i in out} == {i: brute_secrets(t, cuts, raw) for i, t in enumerate(texts)}
+    found = [i for i, k in enumerate(keys) if any(s.split(":")[1] == str(texts[i].index(k)) for s in out[i].spans.split(",") if s.startswith("novel"))]
+    assert len([i for i in found if i % 4 != 3]) == 30
+
+
+def test_cuts_leave_ordinary_strings_alone():
+    counts = {(3, 80): 5000, (3, 95): 4, (3, 110): 2, (4, 30): 9000}
+    assert secret_scan.cuts_of(counts) == [1.3, 1.2, 1.0, 0.96, 0.62, 0.55]
+
+
+def test_long_texts_of_sensitive_words_take_linear_time(docs):
+    import time
+
+    began = time.time()
+    for text in ("token " * 100_000, "token=" * 100_000, "a" * 400_000 + " token"):
+        secret_scan.strings(text, secret_scan.Cover(secret_scan.base_spans(text)))
+    for text in ("9" * 200_000, "9.9." * 50_000, "a" * 200_000, "a@" * 100_000, "+" + "(" * 200_000, "a." * 100_000 + "[at]"):
+        personal_data.found_in(text)
+    assert time.time() - began < 20
+
 
-    primed = zstandard.ZstdCompressionDict(b"config settings database connection string", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def test_known_text_is_not_novel():
+    primed = secret_scan.compressor(b"config settings database connection string")
     around = "the database connection string of the config settings is read " * 4
-    assert secret_scan.novelty("database_connection_string", around, primed) < secret_scan.LEAST_NOVELTY
-    assert secret_scan.novelty("q8Zx1LmP0vR7tYb3Kd9W", around, primed) > secret_scan.LEAST_NOVELTY
+    assert secret_scan.novelty("database_connection_string", around, primed) < secret_scan.LEAST_NOVELTY[4]
+    assert secret_scan.novelty("q8Zx1LmP0vR7tYb3Kd9W", around, primed) > secret_scan.LEAST_NOVELTY[3]
 
 
 # --- 3
@@ -400,6 +448,38 @@ def test_personal_data(docs):
     assert personal_data.label_documents(docs([])).count() == 0
 
 
+def test_base_spans_equal_the_plain_patterns():
+    draw = np.random.default_rng(4)
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def holds(kind, t):
+        digits = [int(d) for d in t if d in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in t.split("."))
+        if kind == "card":
+            odd = [sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(odd) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    for _ in range(3000):
+        text = "".join(draw.choice(list("0123456789019.. -+()@ab"), int(draw.integers(1, 60))))
+        want = {(k, m.start(), m.end()) for k, p in plain.items() for m in re.finditer(p, text) if holds(k, m[0])}
+        assert {s for s, is_base in personal_data.found_in(text) if is_base} == want
+
+
+def test_names_and_swallowed_numbers_are_added(docs):
+    filler = [(100 + i, f"the card 4111 1111 1111 1111 of Mr. Smith{chr(97 + i % 26)} and phone +1 (415) 555-{i:04d} are known") for i in range(80)]
+    text = "he paid by card 99 4111111111111111 and wrote to Mary Jones, phone +1 (415) 555-0134 4111111111111111 now"
+    row = {r.doc_id: r for r in personal_data.label_documents(docs([*filler, (6, text)])).collect()}[6]
+    spans = set(row.spans.split(","))
+    for kind, part in (("phone", "+1 (415) 555-0134"), ("name", "Mary Jones")):
+        a = text.index(part)
+        assert f"{kind}:{a}:{a + len(part)}" in spans
+
+
 def test_reliable_labelers_are_found():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4
