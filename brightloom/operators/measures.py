@@ -205,3 +205,35 @@ def repeated_calls(calls: DataFrame, by: list[str], tool: str, arguments: str, o
 def top_code(rows: DataFrame, by: list[str], code: str, mentions: str, position: str) -> DataFrame:
     """The code with most mentions, of equal ones the first in order."""
     return rows.groupBy(*by).agg(F.max_by(code, F.struct(F.col(mentions), -F.col(position))).alias(code))
+
+
+def weekly_agreement(rows: DataFrame, week: str, code: str, truth: str, predicted: str) -> DataFrame:
+    """Per week and code F1 and support, and the week's assessable macro F1."""
+    each = confusion(rows, [week, code], truth, predicted).withColumn("support", F.col("tp") + F.col("fn"))
+    some = F.when(F.col("support") > 0, F.col("f1"))
+    return each.select(week, code, "f1", "support", F.avg(some).over(Window.partitionBy(week)).alias("macro_f1"))
+
+
+def model_differences(rows: DataFrame, case: str, model: str, value: str) -> DataFrame:
+    """Mean paired difference of every two models over the cases that both have a value for."""
+    each = rows.where(F.col(value).isNotNull())
+    a = each.select(case, F.col(model).alias("model_a"), F.col(value).alias("_a"))
+    b = each.select(case, F.col(model).alias("model_b"), F.col(value).alias("_b"))
+    both = a.join(b, case).where("model_a < model_b")
+    return both.groupBy("model_a", "model_b").agg(F.avg(F.col("_a") - F.col("_b")).alias("difference"), F.count("*").alias("cases"))
+
+
+def chosen(candidates: DataFrame, mean: str, floor: float, margin: float, cost: str) -> DataFrame:
+    """The best candidate at or over the floor; of those within the margin of the best, the cheapest."""
+    fit = candidates.where(F.col(mean) >= floor)
+    best = fit.agg(F.max(mean).alias("_best"))  # one row
+    tied = fit.crossJoin(F.broadcast(best)).where(F.col(mean) >= F.col("_best") - margin).drop("_best")
+    return tied.orderBy(cost, F.col(mean).desc()).limit(1)
+
+
+def cross_validated_f1(rows: DataFrame, fold: str, folds: int, code: str, truth: str, p: str) -> DataFrame:
+    """F1 of each code at cuts chosen on the other folds, pooled over all folds."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col(fold))
+    cuts = best_cut(rows.withColumn("_k", F.explode(others)), ["_k", code], truth, p).withColumnRenamed("_k", fold)
+    judged = rows.join(cuts, [fold, code]).withColumn("_said", F.col(p) >= F.col("cut"))
+    return confusion(judged, [code], truth, "_said").select(code, "f1")

@@ -82,3 +82,14 @@ def promoted(gain: float, gain_low: float, margin: float, worst_drop: float, mos
         if bad
     ]
     return not failed, failed
+
+
+def last_failure(runs: DataFrame, start: str, end: str, status: str, failed: str = "failed") -> DataFrame:
+    """The latest finished run, if it failed."""
+    last = runs.where(F.col(end).isNotNull()).agg(F.max_by(F.struct("*"), start).alias("r")).select("r.*")
+    return last.where(F.col(status) == failed)
+
+
+def run_log(starts: DataFrame, ends: DataFrame, run: str) -> DataFrame:
+    """A row for each run; those without an end are still open."""
+    return starts.join(ends, run, "left")

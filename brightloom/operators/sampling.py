@@ -81,3 +81,9 @@ def packed(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
         out[-1].append(name)
         room -= n
     return out
+
+
+def most_of_each(rows: DataFrame, group: str, order: list[Column], each: int) -> DataFrame:
+    """Up to `each` rows of every group, the first in order."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")

@@ -148,3 +148,14 @@ def markers(events: DataFrame, keys: list[str], day: str, treatment: str, title:
 def weeks_from(series: DataFrame, keys: list[str], day: str, start: Column, sums: list[str]) -> DataFrame:
     """Seven-day steps from the requested start; the last may be cut."""
     return series.withColumn("week", F.floor(F.datediff(F.col(day), start) / 7)).groupBy(*keys, "week").agg(F.min(day).alias("start"), *[F.sum(c).alias(c) for c in sums])
+
+
+def estimation_plan(bundles: DataFrame, outcomes: list[tuple[str, str]], methods: list[str], last_day: Column, short: int = JOIN_DAYS, long: int = LONG_HORIZON) -> DataFrame:
+    """Units of estimation: each bundle by outcome and sample, horizon and method, of windows that are complete.
+
+    bundles: bundle_id, start, allow_long; the long horizon is for bundles that no other one follows within it.
+    """
+    horizons = F.when(F.col("allow_long"), F.array(F.lit(short), F.lit(long))).otherwise(F.array(F.lit(short)))
+    kinds = F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(s).alias("sample")) for o, s in outcomes])
+    units = bundles.withColumn("horizon", F.explode(horizons)).where(F.date_add("start", F.col("horizon") - 1) <= last_day)
+    return units.withColumn("_o", F.explode(kinds)).withColumn("method", F.explode(F.array(*map(F.lit, methods)))).select("bundle_id", "start", "horizon", "_o.outcome", "_o.sample", "method")

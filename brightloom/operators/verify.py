@@ -80,3 +80,14 @@ def predicted_category(statuses: Column | str) -> Column:
     s = F.col(statuses) if isinstance(statuses, str) else statuses
     named = (("H1", "patch"), ("H3", "review_bomb"), ("H2", "price"), ("H4", "composition"))
     return cascade([(F.try_element_at(s, F.lit(h)) == "supported", F.lit(n)) for h, n in named], F.lit("none"))
+
+
+def basis(result: str, path: str) -> Column:
+    """The number of rows behind a figure: the field `n` beside the one that the path names."""
+    return F.expr(f"try_cast(get_json_object({result}, regexp_replace({path}, '[.][^.]+$', '.n')) as long)")
+
+
+def blame_counts(judged_claims: DataFrame, by: list[str], names: str) -> DataFrame:
+    """Claims that are causal and name a treatment, as drafted and as shipped."""
+    blames = F.col("text").rlike(CAUSE) & F.col("text").rlike(names)
+    return judged_claims.groupBy(*by).agg(F.count_if(blames).alias("drafted"), F.count_if(blames & (F.col("decision") == "shipped")).alias("shipped"))

@@ -144,3 +144,38 @@ def round_robin(cases: DataFrame, hosts: DataFrame, order: str, host_order: str)
     n = hosts.count()
     numbered = cases.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1) % n)
     return numbered.join(hosts.withColumn("_i", F.row_number().over(Window.orderBy(host_order)) - 1), "_i").drop("_i")
+
+
+def aligned_labels(labels: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Labels with the current row of their key beside them; `missing` marks those without one, which callers count."""
+    return labels.join(current.withColumn("_there", F.lit(True)), key, "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
+
+
+def retrain_set(silver: DataFrame, spot: DataFrame, current: DataFrame, key: str, day: str, newest: Column, held_out_weeks: int = 8) -> DataFrame:
+    """Training labels: spot labels win over silver ones, joined to current texts; the last weeks are held out."""
+    rows = aligned_labels(overlaid(silver, spot, [key]), current, key).where(~F.col("missing")).drop("missing")
+    return rows.withColumn("held_out", F.datediff(newest, F.col(day)) < 7 * held_out_weeks)
+
+
+def to_reclassify(items: DataFrame, labels: DataFrame, key: str, version: str, current: str) -> DataFrame:
+    """Items that the current version of the rules has not labelled."""
+    return missing(items, labels.where(F.col(version) == current), [key])
+
+
+def with_watermark(rows: DataFrame, source: DataFrame, run: str, name: str = "watermark") -> DataFrame:
+    """rows stamped with the highest run that the build has read (one row)."""
+    return rows.crossJoin(F.broadcast(source.agg(F.max(run).alias(name))))
+
+
+def last_mismatches(log: DataFrame, run: str, before: int, keys: list[str]) -> DataFrame:
+    """Keys that the latest run before this one found unequal."""
+    earlier = log.where(F.col(run) < before)
+    last = earlier.agg(F.max(run).alias("_last"))  # one row
+    return earlier.join(F.broadcast(last), F.col(run) == F.col("_last")).where("mismatched").select(*keys).distinct()
+
+
+def decision_changes(stored: DataFrame, fresh: DataFrame, keys: list[str], decision: str) -> DataFrame:
+    """Claims whose decision is another one now, also those that only one side has."""
+    a = stored.select(*keys, F.col(decision).alias("before"))
+    b = fresh.select(*keys, F.col(decision).alias("after"))
+    return a.join(b, keys, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))

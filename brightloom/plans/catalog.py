@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, reports, warehouse
+from . import analysis, ledger, reports, warehouse
 
-QUERIES = warehouse.QUERIES | analysis.QUERIES | reports.QUERIES
-SQL = warehouse.SQL | analysis.SQL | reports.SQL
+QUERIES = warehouse.QUERIES | analysis.QUERIES | reports.QUERIES | ledger.QUERIES
+SQL = warehouse.SQL | analysis.SQL | reports.SQL | ledger.SQL

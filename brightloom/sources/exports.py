@@ -42,3 +42,13 @@ def durations(runs: DataFrame, stages: str) -> DataFrame:
     pairs = F.map_entries(F.coalesce(F.from_json(stages, "map<string, string>"), F.create_map().cast("map<string,string>")))
     numeric = F.filter(pairs, lambda e: e["value"].rlike(r"^-?\d+(\.\d+)?$"))
     return runs.withColumn("durations", F.map_from_entries(F.transform(numeric, lambda e: F.struct(e["key"], e["value"].cast("double")))))
+
+
+def ranking_rows(runs: DataFrame) -> DataFrame:
+    """system, variant, query, rank, item and score with six places, as the files of a run have them."""
+    return runs.select("system", "variant", "query_id", "rank", "item_id", F.format_string("%.6f", "score").alias("score"))
+
+
+def write_rankings(runs: DataFrame, path: str) -> None:
+    """A folder of CSV for each system and variant."""
+    ranking_rows(runs).repartition("system", "variant").sortWithinPartitions("query_id", "rank").write.partitionBy("system", "variant").option("header", True).csv(path)

@@ -111,3 +111,8 @@ def catch_up(spine: DataFrame, held: DataFrame, per_run: int = 4) -> DataFrame:
 
     gap = spine.join(held.select("entity", "day").distinct(), ["entity", "day"], "left_anti")
     return gap.withColumn("_n", F.row_number().over(Window.partitionBy("entity").orderBy("day"))).where(F.col("_n") <= per_run).drop("_n")
+
+
+def recomputed_coverage(rows: DataFrame, entity: str, at: str) -> DataFrame:
+    """How far back each entity's rows reach."""
+    return rows.groupBy(entity).agg(F.min(at).alias("covered_from"), F.max(at).alias("covered_to"))
