@@ -11,8 +11,10 @@ verified by edit distance on the texts.
 Only lines that can have a neighbour send variants: two lines within one edit share their first or their last half,
 so lines whose halves, as hashed keys, occur in no other line are left out before.
 
-Defined cases: null and empty texts stay as they are; blank lines are never dropped; lines shorter than `near_chars`
-are compared for equality only, where one edit is another word; of rows repeated with the same doc_id and text each
+The edit bound is one edit for `near_chars` characters of a line, and one at most: in a shorter line one edit makes
+another word or number, so such lines are within the bound of equal ones alone.
+
+Defined cases: null and empty texts stay as they are; blank lines are never dropped; of rows repeated with the same doc_id and text each
 keeps the same lines; null doc_ids come first in the order; an empty table gives no rows. Line hashes have 96 bits.
 """
 
@@ -63,7 +65,10 @@ def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     shared = written(shared, "halves")
     able = halves.join(small_side(shared), "half", "left_semi").select("at", "name").distinct()
     able = written(able.select("at.*", "name"), "able")
-    texts = _occurrences(docs).where(near).join(small_side(able), ["doc_id", "th", "no"])
+    spots = able.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("no").alias("_no"), "name")
+    rows = _occurrences(docs).where(near)
+    same = rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")) & (F.col("no") == F.col("_no"))
+    texts = rows.join(small_side(spots), same)
     texts = written(texts.select("name", first.alias("at"), "line").dropDuplicates(["name"]), "able-texts")
 
     near_lines = written(_near(texts), "near").select("name")

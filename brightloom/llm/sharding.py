@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import read, written
 
 ROUNDS = 6
+#: Copies of a row that one task spells out at a time.
+COPIES = 65_536
 #: More steps than a cycle can need for N below 500; beyond that the odds of needing them are under 1e-40.
 WALK = 48
 
@@ -67,10 +69,11 @@ def numbered(rows: DataFrame, by: list[str], buckets: int = 4096) -> DataFrame:
     inside = Window.partitionBy("_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
     placed = placed.join(F.broadcast(offsets), "_bucket")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy")
-    return placed.select(*by, "total", "_offset", "_before", copy).select(
-        *by, "total", (F.col("_offset") + F.col("_before") + F.col("_copy")).alias("number")
-    )
+    # very many copies of a row become ranges first, which other tasks then spell out
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES))).alias("_from")
+    parts = placed.select(*by, "total", (F.col("_offset") + F.col("_before")).alias("_at"), "_copies", "_bucket", ranges).repartition("_bucket", "_from")
+    copy = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_copies")) - 1)).alias("_copy")
+    return parts.select(*by, "total", "_at", copy).select(*by, "total", (F.col("_at") + F.col("_copy")).alias("number"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: int = 0) -> DataFrame:

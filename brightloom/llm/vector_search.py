@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,7 +145,7 @@ def indexed(rows: DataFrame, book: Codebooks) -> DataFrame:
 
 
 def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int, candidates: int) -> DataFrame:
-    """The k nearest of each query in each partition of the index."""
+    """The k nearest of each query of a block, as a written table: first in each partition of the index, then of all."""
     held = index.sparkSession.sparkContext.broadcast((book, ids, queries))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +202,11 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
         q, r = np.nonzero(np.isfinite(best_s))
         yield pd.DataFrame({"query_id": ids[q], "vec_id": best_v[q, r], "score": best_s[q, r]})
 
-    return index.mapInPandas(scan, FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = index.mapInPandas(scan, FOUND).withColumn("rank", rank).where(F.col("rank") <= k)
+    out = written(found.select("query_id", "rank", "vec_id", "score"), "nearest")
+    held.unpersist()
+    return out
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
@@ -216,17 +221,15 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, candidates: int =
     index = written(indexed(rows, book), "index")
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
     blocks = math.ceil(asked.count() / QUERY_BLOCK)
-    found = None
+    parts = []
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # QUERY_BLOCK rows or so
         if block:
             ids, queries = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-            one = _scan(index, book, ids, queries, k, candidates)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+            parts.append(_scan(index, book, ids, queries, k, candidates))
+    if not parts:
         return empty
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,36 @@ def test_permutation_is_a_bijection(spark, n):
     assert sorted(r.p for r in out) == list(range(n))
 
 
+def plain_place(x, total, key):
+    """The permutation by plain loops, with Spark's hash for the round function."""
+    side = math.isqrt(total - 1) + 1 if total > 1 else 1
+    while True:
+        l, r = divmod(x, side)
+        for i in range(1, sharding.ROUNDS + 1):
+            l, r = r, (l + HASHED[r, i, key] % side) % side
+        x = l * side + r
+        if x < total:
+            return x
+
+
+HASHED = {}
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 333])
+def test_permutation_equals_plain_loops(spark, n):
+    side = math.isqrt(n - 1) + 1 if n > 1 else 1
+    grid = spark.range(side).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(sharding.ROUNDS)))).select("id", "i", F.xxhash64("id", "i", F.lit(5)).alias("h"))
+    HASHED.update({(r.id, r.i, 5): r.h for r in grid.collect()})
+    out = spark.range(n).select("id", sharding.permuted(F.col("id"), F.lit(n).cast("long"), 5).alias("p")).collect()
+    assert {r.id: r.p for r in out} == {i: plain_place(i, n, 5) for i in range(n)}
+
+
+def test_many_copies_of_a_row(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    out = sharding.shard_documents(docs([(1, "t")] * 100 + [(2, "u")] * 3), 4, 7).collect()
+    assert len(out) == 103 and len({(r.shard, r.slot) for r in out}) == 103
+
+
 def test_sharding_of_nothing(docs):
     assert sharding.shard_documents(docs([])).count() == 0
 
@@ -194,6 +224,17 @@ def test_a_large_group_of_near_copies(docs):
     assert out == brute_components(pairs, 4, 85, 100)
 
 
+def test_repeated_rows_of_linked_sets_count_once(docs, spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    pairs = [(1, text)] * 60 + [(2, text + " z")] * 60 + [(1, "a text of other words under the same id here")] * 3
+    df = docs(pairs)
+    sets = jaccard_join.written(jaccard_join.sketches(df, 4, 85, 100), "sets")
+    canon = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("node", "at.*", "n_shingles", "sketch")
+    assert jaccard_join.links(df, sets, jaccard_join.written(canon, "canon"), 4, 85, 100).count() == 1
+    out = Counter(r.component_id for r in jaccard_join.jaccard_groups(df).collect())
+    assert out == {1: 123}
+
+
 def test_odd_rows_of_the_join(docs):
     out = Counter(rows_of(jaccard_join.jaccard_groups(docs(ODD))))
     assert out[(1, 0, 1)] == out[(2, 0, 2)] == out[(3, 0, 3)] == 1
@@ -209,6 +250,37 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 7]
 
 
+def test_leaks_equal_brute_force(spark, docs):
+    draw = np.random.default_rng(12)
+    words = [w + x for w in "abcdefghij" for x in ("on", "er", "ing", "ly")] + ["12", "7", "kg", "Tom", "Mary"]
+    items = [" ".join(draw.choice(words, int(draw.integers(3, 40)))) for _ in range(25)]
+    texts = []
+    for k in range(60):
+        t = list(draw.choice(words, 30))
+        own = items[k % 25].split()
+        for _ in range(k % 4):
+            own[int(draw.integers(0, len(own)))] = str(draw.choice(words))
+        texts.append(" ".join(t[:15] + own[: len(own) - k % 3] + t[15:]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = {(r.doc_id, r.item_id): (r.n_windows, r.n_item_windows, r.kind) for r in decontamination.leaks(docs(list(enumerate(texts))), bench).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for n, item in enumerate(items):
+            ours, theirs = decontamination.Words(), decontamination.Words()
+            its, ts = decontamination.templates([item], ours)[0], decontamination.templates([text], theirs)[0]
+            hits = []
+            for i, a in enumerate(its):
+                usable = decontamination.usable_windows(a)
+                width = decontamination._window_width(len(a))
+                for q, h in ((int(q), h) for place, hashed in decontamination.readings(a, width) for q, h in zip(place, hashed) if usable.any()):
+                    for j, b in enumerate(ts):
+                        hits += [(i, q, j, int(p)) for place, hashed in decontamination.readings(b, width) for p, g in zip(place, hashed) if usable[q] and g == h]
+            one = decontamination.Pair(its, ours.value).leak(ts, theirs.value, sorted(set(hits))) if hits else None
+            if one:
+                want[d, n] = one[0], one[1], one[3]
+    assert out == want and len(want) > 10
+
+
 def test_leaks_of_edited_and_of_partly_quoted_items(spark, docs):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
     bench = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[::-1]))], "item_id long, text string")
@@ -253,6 +325,12 @@ def test_lines_repeated_exactly_or_nearly(docs):
     assert out[4] == (None, 0, 0, 0) and out[5] == ("", 1, 0, 0)
 
 
+def test_a_null_id_s_line_has_near_copies(docs):
+    line = "this is a line that is long enough to compare"
+    out = {r.row.doc_id: r.row.text for r in line_dedup.dedup_lines(docs([(None, line), (1, line.replace("long", "lang")), (2, "x" * 50_000 + "\n" + line)])).collect()}
+    assert out == {None: line, 1: "", 2: "x" * 50_000}
+
+
 def test_repeated_rows_keep_the_same_lines(docs):
     df = docs([(1, "a line\nb line"), (1, "a line\nb line"), (2, "b line\nc line")])
     out = line_dedup.without_repeated_lines(df)
