@@ -150,6 +150,64 @@ def test_synthetic_control():
     assert ends[0] <= found["effect"] <= ends[1]
 
 
+def test_effects_over_dataframes(spark):
+    rows = []
+    for k in range(5):
+        s, start = planted(-0.1 if k == 0 else 0.0, seed=30 + k)
+        rows += [(f"u{k}", D(1970, 1, 1) + dt.timedelta(days=s.first + i), int(x), int(n), True) for i, (x, n) in enumerate(zip(s.positives, s.totals))]
+    daily = spark.createDataFrame(rows, "unit string, day date, x int, n int, observed boolean")
+    arrays = estimators.series_arrays(daily, "unit", "day", "x", "n")
+    assert sorted((r.unit, len(r.positives)) for r in arrays.collect()) == [(f"u{k}", 190) for k in range(5)]
+    units = arrays.withColumns({"start": F.lit(start), "horizon": F.lit(14), "kind": F.lit("share")})
+    out = {r.unit: r for r in estimators.its_effects(units.withColumns({"earlier": F.array().cast("array<int>"), "busy": F.lit(None).cast("array<int>")})).collect()}
+    alone = estimators.its(planted(-0.1, seed=30)[0], start, 14, [], "share")
+    assert abs(out["u0"].effect - alone["effect"]) < 1e-9 and out["u0"].hi90 < 0
+    counts = ["first", "positives", "totals", "observed"]
+    members = arrays.select(F.lit("u0").alias("unit"), F.col("unit").alias("name"), (F.col("unit") == "u0").alias("treated"), *counts)
+    got = estimators.synth_effects(units.where("unit = 'u0'").select("unit", "start", "horizon", "kind"), members).first()
+    pool = {f"u{k}": planted(0.0, seed=30 + k)[0] for k in range(1, 5)}
+    want = estimators.synth(planted(-0.1, seed=30)[0], pool, start, 14, "share")
+    assert abs(got.effect - want["effect"]) < 1e-9 and got.lo90 <= got.effect <= got.hi90
+    ratios = [estimators.error_ratio(estimators.synth(pool[k], {j: v for j, v in pool.items() if j != k}, start, 14, "share")) for k in pool]
+    assert got.p_value == (1 + sum(r >= estimators.error_ratio(want) for r in ratios)) / (1 + len(ratios))
+
+
+def test_covariance_equals_the_sum_over_lags():
+    draw = np.random.default_rng(1)
+    x, e = draw.normal(size=(30, 3)), draw.normal(size=30)
+    s = x * e[:, None]
+    middle = sum((1 - abs(d) / 4) * sum(np.outer(s[i], s[i + d]) for i in range(30) if 0 <= i + d < 30) for d in range(-3, 4))
+    inverse = np.linalg.inv(x.T @ x)
+    assert np.allclose(estimators.newey_west(x, e, 3), inverse @ middle @ inverse * 30 / 27)
+
+
+def test_injected_shares_move_by_points():
+    s, start = planted(0.0)
+    for points in (-10.0, 8.0):
+        moved = estimators.injected(s, start, points, "step", 4)
+        at = start - s.first
+        assert (moved.positives[:at] == s.positives[:at]).all() and (moved.positives <= s.totals).all() and (moved.positives >= 0).all()
+        assert abs((moved.positives - s.positives)[at:].sum() / s.totals[at:].sum() - points / 100) < 0.02
+    ramp = estimators.injected(s, start, -10.0, "ramp", 4)
+    assert (ramp.positives[: start - s.first] == s.positives[: start - s.first]).all() and ramp.positives.sum() < s.positives.sum()
+
+
+def test_queries_over_former_limits(spark):
+    items = spark.range(60).select(F.col("id").alias("item"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    asked = items.select(F.col("item").alias("query"), "v").where("item % 2 = 0")
+    from brightloom.operators import retrieval
+
+    whole = retrieval.dense_search(items, asked, "item", "query", "v", 5, 9)
+    blocks = retrieval.dense_search(items, asked, "item", "query", "v", 5, 9, block=7)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect())) and whole.count() == 150
+    with pytest.raises(Exception, match="out of range"):
+        measures.weighted_kappa(spark.createDataFrame([(0, 1), (1, 5)], "a int, b int"), "a", "b", 3).collect()
+    sets = versions.field_updates(spark.range(1000).withColumn("f", F.lit(1)), "id", ["f"], most=100).collect()
+    assert sum(len(r["keys"]) for r in sets) == 1000 and max(len(r["keys"]) for r in sets) < 200
+    text = " ".join(f"w{i}" for i in range(20_000))
+    assert spark.createDataFrame([(text,)], "t string").select(F.size(c.shingles(c.words("t")))).first()[0] == 19_993
+
+
 def test_simplex_weights_meet_the_conditions():
     draw = np.random.default_rng(0)
     for _ in range(20):
@@ -204,9 +262,9 @@ def test_incremental_nights_equal_one_full_night(spark, tmp_path):
 
 
 def test_landed_pages(spark, tmp_path):
-    (tmp_path / "p.json").write_text('{"success": 1, "cursor": "c", "reviews": [{"recommendationid": "7", "author": {"steamid": "x", "num_reviews": 3}, "review": "hi", "timestamp_created": 5, "timestamp_updated": 6, "voted_up": true}, {"recommendationid": null}]}')
+    (tmp_path / "p.json").write_text('{"success": 1, "cursor": "c", "reviews": [{"recommendationid": "7", "author": {"account": "x", "num_reviews": 3}, "review": "hi", "timestamp_created": 5, "timestamp_updated": 6, "voted_up": true}, {"recommendationid": null}]}')
     out = landing.review_pages(spark, str(tmp_path / "p.json"))
-    assert "steamid" not in out.columns
+    assert "account" not in out.columns
     assert [(r.recommendationid, r.num_reviews, r.voted_up) for r in out.collect()] == [("7", 3, True)]
 
 
