@@ -528,4 +528,11 @@ SQL = {
     "acceptance_picks": "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 5",
     "ranking_files": "SELECT 'bm25' AS system, 'base' AS variant, user_id AS query_id, CAST(k AS INT) AS rank, event_id AS item_id, printf('%.6f', value) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 10",
     "equal_parts": "WITH l AS (SELECT DISTINCT lang FROM documents), n AS (SELECT lang, row_number() OVER (ORDER BY lang) AS k, count(*) OVER () AS c FROM l) SELECT lang, CAST(least(25, 90 // c + CASE WHEN k <= 90 % c THEN 1 ELSE 0 END) AS BIGINT) AS n FROM n",
+    "plain_pages": r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\{[A-Z_]+\}\S*', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)
+      SELECT page_id, sha256(substr(t, 1, 400)) AS text, length(t) > 400 AS cut FROM p""",
+    "clean_text": r"""WITH a AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+      b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\[/?(?:h1|h2|h3|list|olist|\*|quote|code|table|tr|th|td|hr|previewyoutube)(?:=[^\]]*)?\]', chr(10), 'g'), '(?i)\[/?(?:b|i|u|strike|spoiler|noparse|url|img)(?:=[^\]]*)?\]', '', 'g'), '(?i)(?:https?://|www\.)\S+', '<url>', 'g'), '[^\S\n]+', ' ', 'g') AS t FROM a),
+      c AS (SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS t FROM b),
+      h AS (SELECT doc_id, t, substr(t, 1, 2000) AS head, replace(substr(t, 1, 2000), chr(10), ' ') AS flat FROM c)
+      SELECT doc_id, sha256(CASE WHEN length(t) <= 2000 THEN t WHEN strpos(flat, ' ') > 0 AND 2000 - strpos(reverse(flat), ' ') >= 1000 THEN rtrim(substr(head, 1, 2000 - strpos(reverse(flat), ' '))) ELSE head END) AS clean FROM h""",
 }
