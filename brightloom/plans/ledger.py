@@ -317,7 +317,7 @@ def evidence_fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 def asked_questions(s: SparkSession, d: str) -> DataFrame:
     q = read(s, d, "conversations").where("role = 'user'")
-    return q.groupBy(c.normalised_question(F.concat(F.lit("  "), F.substring("text", 1, 400), F.lit(" "))).alias("q")).agg(F.count("*").alias("n")).select(F.sha2("q", 256).alias("q"), "n")
+    return q.groupBy(c.normalised_question(F.concat(F.lit("  "), "text", F.lit(" "))).alias("q")).agg(F.count("*").alias("n")).select(F.sha2("q", 256).alias("q"), "n")
 
 
 def sigmoids(s: SparkSession, d: str) -> DataFrame:
@@ -501,7 +501,7 @@ SQL = {
     "local_midnights": "SELECT event_id, strftime(CAST(ts - INTERVAL 8 HOUR AS DATE) + INTERVAL 32 HOUR, '%Y-%m-%d %H:%M:%S') AS midnight, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
     "row_fingerprints": "SELECT c_custkey, sha256(c_custkey || '|' || c_mktsegment || '|' || c_nationkey) AS fp FROM customer",
     "evidence_fingerprints": """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS fp FROM customer""",
-    "asked_questions": r"SELECT sha256(q) AS q, count(*) AS n FROM (SELECT trim(regexp_replace(lower(substr(text, 1, 400)), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user') GROUP BY 1",
+    "asked_questions": r"SELECT sha256(q) AS q, count(*) AS n FROM (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user') GROUP BY 1",
     "sigmoids": "SELECT event_id, round(1 / (1 + exp(-(value - 30) / 10)), 9) AS p FROM events",
     "pooled_vectors": """WITH v AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE + embedding[len(embedding) + 1 - i]::DOUBLE) / 2) AS m FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(m, m)) AS z FROM v)
       SELECT vec_id, round(m[1] / greatest(z, 1e-12), 6) AS first, round(m[len(m)] / greatest(z, 1e-12), 6) AS last FROM n""",
