@@ -11,8 +11,9 @@ verified by edit distance on the texts.
 Only lines that can have a neighbour send variants: two lines within one edit share their first or their last half,
 so lines whose halves, as hashed keys, occur in no other line are left out before.
 
-The edit bound is one edit for `near_chars` characters of a line, and one at most: in a shorter line one edit makes
-another word or number, so such lines are within the bound of equal ones alone.
+The edit bound is one edit, for two lines whose similarity, 1 less the share of characters edited of the longer one, is
+then 0.8 or more: that is for a longer line of `near_chars` = 5 characters. A line one short of that can only be the
+shorter of two, so it sends itself alone.
 
 Defined cases: null and empty texts stay as they are; blank lines are never dropped; of rows repeated with the same doc_id and text each
 keeps the same lines; null doc_ids come first in the order; an empty table gives no rows. Line hashes have 96 bits.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_side, written
 
-NEAR_CHARS = 24
+#: One edit in so many characters leaves a similarity of 0.8.
+NEAR_CHARS = 5
 
 
 def _name(line: Column) -> Column:
@@ -56,7 +58,7 @@ def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id, th, no and kind (exact or near) of each line occurrence that goes."""
     each = _occurrences(docs).select("doc_id", "th", "no", "line", _name(F.col("line")).alias("name"))
     first = F.struct("doc_id", "th", "no")
-    near = F.char_length("line") >= near_chars
+    near = F.char_length("line") >= near_chars - 1
     keyed = each.select("name", first.alias("at"), F.when(near, _half_keys(F.col("line"))).alias("halves"))
     lines = written(keyed.groupBy("name").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines")
 
@@ -71,7 +73,7 @@ def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     texts = rows.join(small_side(spots), same)
     texts = written(texts.select("name", first.alias("at"), "line").dropDuplicates(["name"]), "able-texts")
 
-    near_lines = written(_near(texts), "near").select("name")
+    near_lines = written(_near(texts, near_chars), "near").select("name")
     again = each.select("doc_id", "th", "no", "name")
     again = again.join(small_side(near_lines.withColumn("is_near", F.lit(True))), "name", "left")
     repeated = written(lines.where("n > 1").select("name", F.col("at").alias("first")), "repeated")
@@ -80,11 +82,12 @@ def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     return again.select("doc_id", "th", "no", kind.alias("kind")).where("kind is not null")
 
 
-def _near(texts: DataFrame) -> DataFrame:
+def _near(texts: DataFrame, near_chars: int) -> DataFrame:
     """name of each line that has an earlier one within one edit."""
     size = F.char_length("line")
+    cuts = F.when(size >= near_chars, size).otherwise(0)
     parts = F.transform(
-        F.sequence(F.lit(0), size),
+        F.sequence(F.lit(0), cuts),
         # position 0 deletes nothing: the line itself
         lambda i: F.xxhash64(F.concat(F.substr("line", F.lit(1), i - F.when(i > 0, 1).otherwise(0)), F.substr("line", i + 1, size))),
     )
@@ -151,8 +154,8 @@ WITH each AS (
   SELECT line, min((doc_id, no)) AS spot FROM each GROUP BY line
 ), sent AS (
   SELECT line, spot, t.cut, CASE WHEN t.cut = 0 THEN line ELSE left(line, t.cut - 1) || substr(line, t.cut + 1) END AS variant
-  FROM firsts, unnest(range(0, length(line) + 1)) AS t(cut)
-  WHERE length(line) >= {NEAR_CHARS}
+  FROM firsts, unnest(range(0, CASE WHEN length(line) >= {NEAR_CHARS} THEN length(line) ELSE 0 END + 1)) AS t(cut)
+  WHERE length(line) >= {NEAR_CHARS} - 1
 ), seen AS (
   SELECT line, spot,
     CASE WHEN cut > 0 THEN min(CASE WHEN cut > 0 THEN spot END) OVER (PARTITION BY variant, cut) END AS s,

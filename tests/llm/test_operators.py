@@ -316,12 +316,12 @@ def test_leaks_with_other_names_at_sentence_starts_and_of_other_lengths(spark, d
 def test_lines_repeated_exactly_or_nearly(docs):
     long, changed = "this is a line that is long enough to compare", "this is a line that is lang enough to compare"
     shorter, far = long[:-1], "this is b line that is lang enough to compare"
-    df = docs([(1, f"{long}\nshort\n\nkept"), (2, f"{changed}\nshort\n\n{far}"), (3, f"{shorter}\nshart"), (4, None), (5, ""), (None, "first\nkept")])
+    df = docs([(1, f"{long}\nshort\n\nkept"), (2, f"{changed}\nshort\n\n{far}"), (3, f"{shorter}\nshart\nkemt"), (4, None), (5, ""), (None, "first\nkept")])
     out = {r.row.doc_id: (r.row.text, r.n_lines, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(df).collect()}
     assert out[None] == ("first\nkept", 2, 0, 0)
     assert out[1] == (f"{long}\nshort\n", 4, 1, 0)
     assert out[2] == ("", 4, 1, 2)  # far is one edit from changed, which itself is near
-    assert out[3] == ("shart", 2, 0, 1)
+    assert out[3] == ("kemt", 3, 0, 2)  # one edit of 5 characters is within the bound, one of 4 is not
     assert out[4] == (None, 0, 0, 0) and out[5] == ("", 1, 0, 0)
 
 
@@ -332,10 +332,10 @@ def test_a_null_id_s_line_has_near_copies(docs):
 
 
 def test_repeated_rows_keep_the_same_lines(docs):
-    df = docs([(1, "a line\nb line"), (1, "a line\nb line"), (2, "b line\nc line")])
+    df = docs([(1, "one line\nanother"), (1, "one line\nanother"), (2, "another\nthird")])
     out = line_dedup.without_repeated_lines(df)
     assert out.columns == df.columns
-    assert sorted(r.text for r in out.collect()) == ["a line\nb line", "a line\nb line", "c line"]
+    assert sorted(r.text for r in out.collect()) == ["one line\nanother", "one line\nanother", "third"]
     assert line_dedup.dedup_lines(docs([])).count() == 0
 
 
@@ -345,10 +345,12 @@ def test_near_lines_equal_brute_force(spark, docs):
     for k in range(12):
         base = "".join(rng.choice(list("abé "), 30)).replace("  ", "ab").strip() + "end"
         lines += [base, base[:9] + base[10:], base[:9] + "z" + base[9:], base[:5] + "q" + base[6:], base[:5] + "qq" + base[7:]]
+    for n in range(1, 8):  # lines around the least length
+        lines += ["".join(rng.choice(list("ab"), n)) for _ in range(4)] + ["".join(rng.choice(list("cdefgh"), n)) for _ in range(6)]
     rng.shuffle(lines)
 
     def near(a, b):
-        if abs(len(a) - len(b)) > 1 or a == b:
+        if abs(len(a) - len(b)) > 1 or a == b or max(len(a), len(b)) < 5:
             return a == b
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
@@ -356,7 +358,7 @@ def test_near_lines_equal_brute_force(spark, docs):
         return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
     want = {i for i, x in enumerate(lines) if any(near(x, y) for y in lines[:i])}
-    gone = line_dedup.dropped_lines(docs(list(enumerate(lines))), near_chars=5)
+    gone = line_dedup.dropped_lines(docs(list(enumerate(lines))))
     assert {r.doc_id for r in gone.collect()} == want
 
 
