@@ -86,9 +86,10 @@ class Words(dict):
         word = raw.decode()
         bare = word.strip(_EDGE) or word
         kind, low = LITERAL, bare.lower()
-        if _NUMBER.fullmatch(bare):
+        digits = not bare.isalpha()  # may have some; each pattern asks for one
+        if digits and _NUMBER.fullmatch(bare):
             kind = NUMBER
-        elif (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS:
+        elif digits and (m := _NUMBER_UNIT.fullmatch(bare)) and m[1].lower() in UNITS:
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
@@ -98,8 +99,8 @@ class Words(dict):
         self.ends.append(word.rstrip("\"')]")[-1:] in (".", "!", "?", ":"))
         self.joins.append(word[-1:] not in _EDGE or word[-1:] in "$%#&")
         self.plain.append(kind == NUMBER and not bare[-1:].isalpha())
-        self.lead.append(bool(_LEAD.fullmatch(bare)))
-        self.group.append(bool(_GROUP.fullmatch(bare)))
+        self.lead.append(digits and bool(_LEAD.fullmatch(bare)))
+        self.group.append(digits and bool(_GROUP.fullmatch(bare)))
         self.value.append(low)
         self[raw] = len(self)
         return self[raw]
