@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op11_byte_bpe
+from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .decontamination import op10_template_decontamination
+from .fill_middle import op12_fill_middle
 from .jaccard_join import op6_parity_sketch_join
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op4_best_fit_packing
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_anisotropic_search": op9_anisotropic_search,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op13_conversation_trie": OP13_SQL}
