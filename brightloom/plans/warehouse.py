@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -28,18 +28,25 @@ def latest_score_long(s: SparkSession, d: str) -> DataFrame:
     return joins.unpivoted(top, ["l_orderkey"], {"discount": ("l_discount", "d_on"), "tax": ("l_tax", "t_on")}, ("p", "label"), "code")
 
 
-def classify_first_match(s: SparkSession, d: str) -> DataFrame:
-    docs = read(s, d, "documents").select("doc_id", "source", F.col("text").alias("title"))
-    kind = rules.cascade(
-        [
-            (F.col("source") == "src0", F.lit("not_official")),
-            (F.col("title").rlike("(?i)\\bhot-?fix"), F.lit("hotfix")),
-            (F.col("title").rlike("\\d+\\.\\d+\\.\\d+"), F.lit("build")),
-            (F.col("title").rlike("(?i)\\bthe\\b"), F.lit("the")),
-        ],
-        F.lit("no_rule"),
-    )
-    return docs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+#: Beginnings of titles, so that versions, counts and words of every rule meet the texts and pages behind them.
+OPENERS = (
+    "", "Deep Harbour: 7.1.0", "Deep Harbour: 7.0.0", "Patch 1.2.0 ", "0.1.0", "Version 1.0.0.5", "v1.0 launch", "Farming 2.0 -", "3.0 million players",
+    "1.5x rewards", "(7.0)", "1.0f1 -", "5.00c", "Ver.1.030", "Hot-fix", "Beta 0.8.110", "coming soon", "River update out now", "50% off", "Festival", "2.0 – 3.1.0",
+)
+
+
+def announcement_classes(s: SparkSession, d: str) -> DataFrame:
+    """Classes of the first lines of documents and of the titles of pages, each behind one of the openers."""
+    k = F.array(*map(F.lit, OPENERS))
+
+    def titled(key: str, text: str) -> Column:
+        return F.concat_ws(" ", F.element_at(k, (F.pmod(F.col(key), F.lit(len(OPENERS))) + 1).cast("int")), text)
+
+    docs = read(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), titled("doc_id", F.regexp_extract("text", r"^[^\n]*", 0)).alias("title"), F.when(F.col("source") != "src0", "official").alias("feed"))
+    pages = read(s, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), titled("page_id", F.regexp_extract("html", r"<title>([^<\n]*)", 1)).alias("title"), F.when(F.col("page_id") % 9 == 0, "press").otherwise("official").alias("feed"))
+    rows = docs.unionByName(pages).withColumns({"tags": F.when(F.col("id") % 8 == 3, F.array(F.lit("patchnotes"))).when(F.col("id") % 8 != 5, F.array(F.lit("news"))), "entity": (F.col("id") % 10).cast("int")})
+    c = rules.announcement_class("title", "feed", "tags", "entity", {4: r"(?i)^river\b"})
+    return rows.select("kind", "id", c.alias("c")).select("kind", "id", "c.*")
 
 
 def playtime_bucket(s: SparkSession, d: str) -> DataFrame:
@@ -266,7 +273,7 @@ def recent_per_entity(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_version, seen_runs, latest_score_long, classify_first_match, playtime_bucket, length_eligibility, hash_holdout, date_dimension,
+    latest_version, seen_runs, latest_score_long, announcement_classes, playtime_bucket, length_eligibility, hash_holdout, date_dimension,
     daily_sentiment, bucket_sentiment, daily_label_share, event_window, comparison_counts, index_membership, sync_plan, sync_applied,
     upsert_result, changed_days, incremental_equals_full, as_of_event, newest_beside, existence_flag, in_sale, field_updates, clean_text,
     plain_pages, json_payload, stated_numbers, quality_report, totals_reconcile, reconcile_counts, strays, outranked_scores, recent_per_entity,
@@ -285,8 +292,18 @@ SQL = {
     "seen_runs": f"WITH {REVIEWS_SQL} SELECT l.review_id, l.version, s.a AS first_run, s.b AS last_run FROM latest l JOIN (SELECT review_id, min(run_id) a, max(run_id) b FROM reviews GROUP BY 1) s ON l.review_id = s.review_id",
     "latest_score_long": """WITH top AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
       SELECT l_orderkey, 'discount' AS code, l_discount AS p, l_discount >= 0.05::DOUBLE AS label FROM top UNION ALL SELECT l_orderkey, 'tax', l_tax, l_tax >= 0.05::DOUBLE FROM top""",
-    "classify_first_match": r"""SELECT CASE WHEN source = 'src0' THEN 'not_official' WHEN regexp_matches(title, '(?i)\bhot-?fix') THEN 'hotfix' WHEN regexp_matches(title, '\d+\.\d+\.\d+') THEN 'build' WHEN regexp_matches(title, '(?i)\bthe\b') THEN 'the' ELSE 'no_rule' END AS kind, count(*) AS n
-      FROM (SELECT source, text AS title FROM documents) d GROUP BY 1""",
+    "announcement_classes": rf"""WITH o AS (SELECT {list(OPENERS)!r} AS k), t AS (
+        SELECT 'document' AS kind, doc_id AS id, concat_ws(' ', k[CAST(doc_id % len(k) AS INT) + 1], regexp_extract(text, '^[^\n]*')) AS title, CASE WHEN source <> 'src0' THEN 'official' END AS feed FROM documents, o
+        UNION ALL SELECT 'page', page_id, concat_ws(' ', k[CAST(page_id % len(k) AS INT) + 1], regexp_extract(html, '<title>([^<\n]*)', 1)), CASE WHEN page_id % 9 = 0 THEN 'press' ELSE 'official' END FROM pages, o
+      ), b AS (SELECT *, lower(title) AS l, coalesce(feed, '') = 'official' AS official, regexp_extract_all(regexp_replace(title, '(\d[a-z]?\d*)\s*(?i:million|thousand|billion)\b', '\1%', 'g'),
+        '((^|[:(\[]\s*|[-–—]\s*|\b(?i:version|ver\.?|v|update|patch)\s*)[vV]?\d+(\.\d+)+([a-z]\d+|[a-jln-wyz])?|\b\d+(\.\d+){{2,}}([a-z]\d+|[a-jln-wyz])?|\b\d+\.\d+([a-z]\d+|[a-jln-wyz]))([^\w%]|$)') AS builds FROM t
+      ), v AS (SELECT *, len(list_filter(builds, lambda x: regexp_matches(regexp_extract(x, '\b[vV]?\d+\.\d+(\.\d+)?([a-z]\d+)?\b'), '^[vV]?0*[1-9]\d*\.0+(\.0+)?([a-z]\d+)?$'))) > 0 AS major FROM b
+      ), r AS (SELECT kind, id, CASE WHEN NOT official THEN 'not_official' WHEN regexp_matches(l, '\bbeta\b|\bexperimental\b|\bstress test|\bplaytest|\bpublic test|\btest server|\btest branch') THEN 'test_build' WHEN regexp_matches(l, '\bhot-?fix') THEN 'hotfix_keyword'
+        WHEN regexp_matches(l, '\b(coming|upcoming|incoming|preview|showcase|maintenance|releasing|plans|roadmap)\b|\bannounc|\bdelay|\bpostpone|\bdev diary|\bdeveloper diary|\blivestream|\ban update (on|regarding|about)\b|\b(available|launches|arrives)\s+(on\s+)?(monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|september|october|november|december)\b') THEN 'announcement'
+        WHEN id % 10 = 4 AND regexp_matches(l, '^river\b') THEN 'studio_release_title' WHEN major OR regexp_matches(l, '\bmajor update\b|\bremaster|\bupdate\b.*\b(out now|is live|now live|available now)\b') THEN 'major_update_signal'
+        WHEN id % 8 = 3 OR len(builds) > 0 OR regexp_matches(l, '\bpatch\b') THEN 'patch_signal' WHEN regexp_matches(l, '\b(sale|awards?|vote|trailer|bundle)\b|\bsave \d+%|\d+% off|\bdiscount|\bmerch|\bwishlist|\bpre-?order|copies sold') THEN 'marketing_keyword'
+        WHEN regexp_matches(l, '\b(anniversary|festival|event|expedition|tournament)\b|\bcelebrat') THEN 'event_keyword' ELSE 'no_rule' END AS rule FROM v)
+      SELECT kind, id, rule, rule = 'no_rule' AS ambiguous, CASE rule WHEN 'hotfix_keyword' THEN 'hotfix' WHEN 'studio_release_title' THEN 'major_update' WHEN 'major_update_signal' THEN 'major_update' WHEN 'patch_signal' THEN 'patch' WHEN 'marketing_keyword' THEN 'marketing' WHEN 'event_keyword' THEN 'event' ELSE 'other' END AS type FROM r""",
     "playtime_bucket": f"WITH {REVIEWS_SQL} SELECT {_BUCKET} AS bucket, count(*) AS n FROM reviews GROUP BY 1",
     "length_eligibility": f"SELECT lang, count(*) FILTER (CASE WHEN lang = 'de' THEN length(text) >= 400 ELSE {_WORDS} >= 60 END) AS eligible, sum({_WORDS})::BIGINT AS words FROM documents GROUP BY lang",
     "hash_holdout": "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) < '33' AS held_out FROM documents",

@@ -57,14 +57,40 @@ def test_text_functions(spark):
     ("title", "tags", "feed", "want"),
     [
         ("Update 2.0 is here", [], "official", ("major_update", "major_update_signal")),
-        ("Patch 1.2.3", [], "official", ("patch", "patch_signal")),
+        ("Deep Harbour: 7.1.1", ["patchnotes"], "official", ("patch", "patch_signal")),
+        ("Deep Harbour: 7.1.0", [], "official", ("patch", "patch_signal")),
+        ("Deep Harbour: 7.0.0", [], "official", ("major_update", "major_update_signal")),
+        ("Patch 1.2.0", [], "official", ("patch", "patch_signal")),
+        ("0.1.0 notes", [], "official", ("patch", "patch_signal")),
+        ("3.10.0", [], "official", ("patch", "patch_signal")),
+        ("Version 1.0.0.5", [], "official", ("major_update", "major_update_signal")),
+        ("1.2.0 and 2.0.0 in one", [], "official", ("major_update", "major_update_signal")),
+        ("v1.0 launch", [], "official", ("major_update", "major_update_signal")),
+        ("The sky opens (7.0)", [], "official", ("major_update", "major_update_signal")),
+        ("1.0f1 - first snow", [], "official", ("major_update", "major_update_signal")),
+        ("01.002.105", [], "official", ("patch", "patch_signal")),
+        ("Notes (Ver.1.030)", [], "official", ("patch", "patch_signal")),
+        ("5.00c", [], "official", ("patch", "patch_signal")),
+        ("Farming 2.0 - part 1", [], "official", ("other", "no_rule")),
+        ("Challenge 3.0", [], "official", ("other", "no_rule")),
+        ("3.0 million players", [], "official", ("other", "no_rule")),
+        ("Weekend: 1.5x rewards", [], "official", ("other", "no_rule")),
+        ("1.5 million copies sold", [], "official", ("marketing", "marketing_keyword")),
+        ("River update out now", [], "official", ("major_update", "major_update_signal")),
+        ("Major Update #8: wells", [], "official", ("major_update", "major_update_signal")),
         ("Hotfix 1.0.1", [], "official", ("hotfix", "hotfix_keyword")),
-        ("Beta 2.0", [], "official", ("other", "test_build")),
+        ("Small beta hotfix 0.8.090", [], "official", ("other", "test_build")),
+        ("Playtests are open", [], "official", ("other", "test_build")),
         ("Update coming Friday", [], "official", ("other", "announcement")),
+        ("v1.0 available on Wednesday", [], "official", ("other", "announcement")),
+        ("An update regarding Farming 2.0", [], "official", ("other", "announcement")),
         ("Now 4.5k players and 50% off", [], "official", ("marketing", "marketing_keyword")),
         ("Anniversary celebration", [], "official", ("event", "event_keyword")),
         ("Notes", ["patchnotes"], "official", ("patch", "patch_signal")),
+        ("Notes", None, "official", ("other", "no_rule")),
+        (None, [], "official", ("other", "no_rule")),
         ("Patch 1.2.3", [], "press", ("other", "not_official")),
+        ("Patch 1.2.3", [], None, ("other", "not_official")),
         ("Hello", [], "official", ("other", "no_rule")),
     ],
 )
