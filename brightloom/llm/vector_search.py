@@ -11,9 +11,12 @@ indexed. Queries go in blocks of bounded size against all index rows: sums of ta
 chunk, and their exact distances on the original vectors, in double precision, decide. So do those of every other row
 whose table score, with the error that quantisation can make, reaches the k-th best: the result is that of brute force.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; nor do those of another
-length than the most common one (of equally common lengths, the largest); a query is no candidate of its own, nor is
-another row with its vec_id; repeated rows are candidates each for itself; with fewer candidates all are returned; ties
+All sums are in double precision, on vectors scaled by a power of two, which is exact, so that the largest component is
+near one: squares of large components don't overflow, and distances are scaled back.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of each length
+are searched among themselves, as others have no distance to them; a query is no candidate of its own, nor is another
+row with its vec_id; repeated rows are candidates each for itself; with fewer candidates all are returned; ties
 go to the smaller vec_id; an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import discard, read, written
 
 SAMPLE = 20_000
 CENTRES = 16
@@ -40,6 +43,7 @@ CANDIDATES = 100
 CHUNK = 8192
 QUERY_BLOCK = 2048
 FOUND = "query_id long, vec_id long, score double"
+TINY = np.finfo(np.float64).tiny
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,7 @@ class Codebooks:
     def codes(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """A code for each row and subspace, by coordinate descent on the anisotropic loss."""
         parts = self.split(x)
-        along = parts / np.maximum(np.linalg.norm(x, axis=1), 1e-30)[:, None, None]
+        along = parts / np.maximum(np.linalg.norm(x, axis=1), TINY)[:, None, None]
         chosen = np.empty(parts.shape[:2], np.int64)
         for m in range(parts.shape[1]):
             chosen[:, m] = ((parts[:, m, None] - self.centres[m]) ** 2).sum(2).argmin(1)
@@ -74,7 +78,7 @@ class Codebooks:
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all centres: queries x subspaces x 16."""
-        return np.einsum("qmw,mkw->qmk", self.split(queries), self.centres).astype(np.float32)
+        return np.einsum("qmw,mkw->qmk", self.split(queries), self.centres)
 
 
 def fitted(sample: np.ndarray, seed: int = 9) -> Codebooks:
@@ -91,7 +95,7 @@ def fitted(sample: np.ndarray, seed: int = 9) -> Codebooks:
             count = np.bincount(near, minlength=CENTRES)
             sums = np.stack([np.bincount(near, parts[:, m, w], CENTRES) for w in range(SUBSPACE)], 1)
             centres[m] = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres[m])
-    along = parts / np.maximum(np.linalg.norm(sample, axis=1), 1e-30)[:, None, None]
+    along = parts / np.maximum(np.linalg.norm(sample, axis=1), TINY)[:, None, None]
     for _ in range(ROUNDS):
         book = Codebooks(centres, eta)
         codes = book.codes(sample, 1)
@@ -124,28 +128,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count()
-    top = sizes.orderBy(F.col("count").desc(), F.col("size").desc()).first()
-    return rows.where(F.size("embedding") == (top["size"] if top else -1))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.vstack(col.to_numpy()).astype(np.float64)
+def _matrix(col: pd.Series, power: int) -> np.ndarray:
+    return np.ldexp(np.vstack(col.to_numpy()).astype(np.float64), -power)
 
 
-def indexed(rows: DataFrame, book: Codebooks) -> DataFrame:
+def indexed(rows: DataFrame, book: Codebooks, power: int = 0) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                raw = packed(book.codes(_matrix(b["embedding"])))
+                raw = packed(book.codes(_matrix(b["embedding"], power)))
                 yield b.assign(codes=[r.tobytes() for r in raw])
 
     return rows.mapInPandas(encode, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, codes binary")
 
 
-def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int, candidates: int) -> DataFrame:
-    """The k nearest of each query of a block, as a written table: first in each partition of the index, then of all."""
+def _scan(index: DataFrame, book: Codebooks, power: int, ids: np.ndarray, queries: np.ndarray, k: int, candidates: int) -> DataFrame:
+    """The k nearest of each (scaled) query of a block, as a written table: first in each partition of the index, then of all."""
     held = index.sparkSession.sparkContext.broadcast((book, ids, queries))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +168,10 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
         for chunk in chunks(batches):
             if not len(chunk):
                 continue
-            names, x = chunk["vec_id"].to_numpy(np.int64), _matrix(chunk["embedding"])
+            names, x = chunk["vec_id"].to_numpy(np.int64), _matrix(chunk["embedding"], power)
             codes = unpacked(np.frombuffer(b"".join(chunk["codes"]), np.uint8).reshape(len(chunk), -1), spaces)
             norms = np.linalg.norm(x, axis=1)
-            half = (0.5 * (x**2).sum(1)).astype(np.float32)
+            half = 0.5 * (x**2).sum(1)
             gap = np.linalg.norm((book.split(x) - book.centres[np.arange(spaces), codes]).reshape(len(x), -1), axis=1)
             most = min(len(chunk), candidates + 1)
             for at in range(0, len(ids), 128):
@@ -189,9 +190,9 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
                     continue
                 size = np.linalg.norm(queries[part], axis=1)[:, None]
                 least = 0.5 * (size**2 - best_s[part, -1:] ** 2)
-                loose = 1e-4 * (size * (norms + gap) + 0.5 * norms**2 + 0.5 * size**2)  # rounding of the single-precision sums
+                loose = 1e-11 * (size * (norms + gap) + 0.5 * norms**2 + 0.5 * size**2)  # rounding of the sums
                 may = score + size * gap + loose >= least
-                may &= queries[part] @ x.T - 0.5 * norms**2 + 1e-5 * loose >= least
+                may &= queries[part] @ x.T - 0.5 * norms**2 + loose >= least
                 np.put_along_axis(may, near, False, 1)
                 for i in np.flatnonzero(may.any(1)).tolist():
                     rows = np.flatnonzero(may[i] & (names != ids[at + i]))
@@ -200,7 +201,7 @@ def _scan(index: DataFrame, book: Codebooks, ids: np.ndarray, queries: np.ndarra
                     order = np.lexsort((v, s))[:k]
                     best_s[at + i], best_v[at + i] = s[order], v[order]
         q, r = np.nonzero(np.isfinite(best_s))
-        yield pd.DataFrame({"query_id": ids[q], "vec_id": best_v[q, r], "score": best_s[q, r]})
+        yield pd.DataFrame({"query_id": ids[q], "vec_id": best_v[q, r], "score": np.ldexp(best_s[q, r], power)})
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     found = index.mapInPandas(scan, FOUND).withColumn("rank", rank).where(F.col("rank") <= k)
@@ -213,23 +214,24 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, candidates: int =
     """query_id, rank, vec_id and score of the k nearest of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
-        return empty
-    book = fitted(np.array([r[0] for r in sample], np.float64))
-    index = written(indexed(rows, book), "index")
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    blocks = math.ceil(asked.count() / QUERY_BLOCK)
+    most = F.max(F.array_max(F.transform("embedding", lambda v: F.abs(v).cast("double"))))
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(most.alias("most")).orderBy("size").collect()  # a row for each length
     parts = []
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # QUERY_BLOCK rows or so
-        if block:
-            ids, queries = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-            parts.append(_scan(index, book, ids, queries, k, candidates))
-    if not parts:
-        return empty
-    return reduce(DataFrame.unionByName, parts)
+    for size, largest in sizes:
+        same, power = rows.where(F.size("embedding") == size), math.frexp(largest)[1]
+        sample = same.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+        book = fitted(np.ldexp(np.array([r[0] for r in sample], np.float64), -power))
+        index = written(indexed(same, book, power), "index")
+        asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+        blocks = math.ceil(asked.count() / QUERY_BLOCK)
+        for b in range(blocks):
+            block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # QUERY_BLOCK rows or so
+            if block:
+                ids, queries = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
+                parts.append(_scan(index, book, power, ids, np.ldexp(queries, -power), k, candidates))
+        discard(index)
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

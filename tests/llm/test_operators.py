@@ -422,6 +422,27 @@ def test_search_in_large_groups_equals_brute_force(spark):
         assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == want
 
 
+@pytest.mark.parametrize(("kind", "scale"), [("float", 1e-20), ("float", 1e25), ("float", 1e30), ("double", 1e200)])
+def test_search_of_large_and_small_values_equals_brute_force(spark, kind, scale):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(450, 8)) * scale
+    x[:40] *= 1e-3  # some are much smaller than others
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    others = rng.normal(size=(60, 5)) * scale  # of another length
+    rows = [(i, v.tolist(), 9, 0.5, 1) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), 9, 0.5, 1) for i, v in enumerate(others)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, rank int, score double, query_id int")
+    others = others.astype(np.float32).astype(float) if kind == "float" else others
+    out = vector_search.nearest(df).collect()
+    for base, part in ((0, x), (1000, others)):
+        for q in range(0, len(part), 100):
+            d = np.ldexp(np.sqrt((np.ldexp(part - part[q], -600 if scale > 1e100 else 0) ** 2).sum(1)), 600 if scale > 1e100 else 0)
+            d[q] = np.inf
+            want = np.lexsort((np.arange(len(part)), d))[:10]
+            got = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == base + q)
+            assert [g[1] - base for g in got] == want.tolist()
+            assert np.allclose([g[2] for g in got], d[want], rtol=1e-12, atol=0)
+
+
 def test_four_bit_codes_come_back():
     codes = np.arange(35).reshape(5, 7) % 16
     assert (vector_search.unpacked(vector_search.packed(codes), 7) == codes).all()
