@@ -156,11 +156,19 @@ def holds_quote(quote: Column | str, text: Column | str) -> Column:
     return F.contains(squeezed(text), squeezed(quote))
 
 
+# What names things and states no value, and what stands behind a number that is a length of time.
+LABELS = (
+    r"(?i)\b\d{4}-\d{2}-\d{2}\b|\bhorizons?\s+\d+\b|\b(?:v|ver\.?|version)\s*\d+(?:\.\d+)*[a-z0-9]*|\b\d+(?:\.\d+){2,}[a-z0-9]*|\bs\d+\.\d+\b"
+    r"|\b(?:patch|update|hotfix|season)\s+\d+(?:\.\d+)?\b(?!\s*(?:%|percent|points?|pp\b|reviews?))|\b\d+(?:\.\d+)?(?=\s*(?:patch|update|hotfix)\b)"
+    r"|\b\d+\s*(?:-|to|and)\s*\d+\s*\+?\s*(?:h|hrs?|hours?)\b|\b\d+\s*\+?\s*(?:h|hrs?|hours?)\b(?:\s*plus)?"
+)
+SPANS = r"\s*-?\s*(?:days?\b|weeks?\b|%\s(?:range|interval)\b|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b)"
+NUMBER = rf"(?<![\w.])((?>\d{{1,3}}(?:,\d{{3}})+|\d++)(?:\.\d++)?+)(?!(?i:{SPANS}))"
+
+
 def stated_numbers(text: Column | str) -> Column:
-    """Numbers a sentence states, as (value, decimals): not dates, years 1990 to 2100, durations or versions."""
-    t = F.regexp_replace(col(text), r"\b\d{4}-\d{2}-\d{2}\b|\bv?\d+\.\d+\.\d+\S*|\bv\d+\.\d+\S*", " ")
-    t = F.regexp_replace(t, r"(?i)\b\d+(?:\.\d+)?[\s-]*(?:days?|weeks?|months?|years?|hours?|minutes?|h\b)", " ")
-    found = F.regexp_extract_all(t, F.lit(r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"), 1)
+    """Numbers a sentence states, as (value, decimals): not dates, years 1990 to 2100, lengths of time or versions."""
+    found = F.regexp_extract_all(F.regexp_replace(col(text), LABELS, " "), F.lit(NUMBER), 1)
     each = F.transform(
         found,
         lambda x: F.struct(

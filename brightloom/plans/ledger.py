@@ -339,12 +339,29 @@ def directions(s: SparkSession, d: str) -> DataFrame:
 
 
 def verified_claims(s: SparkSession, d: str) -> DataFrame:
-    """Claims about orders against a cited result."""
-    p = F.round(F.col("o_totalprice") / 1000, 1)
-    text = F.concat(F.lit("The total rose "), F.format_string("%.1f", F.when(F.col("o_orderkey") % 4 == 0, p + 7).otherwise(p)), F.lit(" points"), F.when(F.col("o_orderkey") % 5 == 0, " because of it").otherwise(""))
-    claims = _orders(s, d).select("o_orderkey", text.alias("text"), F.format_string('{"a": {"v": %.4f, "n": 12}}', F.col("o_totalprice") / 1000).alias("result"), F.when(F.col("o_orderkey") % 7 == 0, "$.a.w").otherwise("$.a.v").alias("path"), F.lit(1.0).alias("change"), F.lit(False).alias("negative"), F.lit(None).cast("string").alias("quote"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("causal_allowed"))
-    out = verify.judged(claims)
-    return out.groupBy("decision").agg(F.count("*").alias("n"), F.sum(verify.basis("result", "path")).alias("basis"))
+    """A claim of each order about its customer's change from finished to open orders, with every kind of fault."""
+    urgent, k = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")
+    sides = {x: F.col("o_orderstatus") == y for x, y in (("window", "O"), ("baseline", "F"))}
+    share = lambda x: 100 * F.count_if(sides[x] & urgent) / F.nullif(F.count_if(sides[x]), F.lit(0))
+    change = (share("window") - share("baseline")).alias("change")
+    seen = _orders(s, d).groupBy("o_custkey").agg(change, *[F.count_if(c).alias(x) for x, c in sides.items()])
+    result = F.to_json(F.struct(F.round("change", 4).alias("total"), F.col("window").alias("window_reviews"), F.col("baseline").alias("baseline_reviews"), F.lit("9 of 9").alias("note")))
+    about = F.coalesce(F.round("change", 1), F.lit(0.0))
+    word = F.when(k % 3 == 2, "moved").when((k % 3 == 1) | (F.col("change") > 0), "rose").otherwise("fell")
+    text = F.concat(F.lit("The "), F.when(k % 7 == 0, "negative ").otherwise(""), F.lit("share "), word, F.format_string(" %.1f points over 14 days", F.abs(about) + F.when(k % 8 == 4, 2.2).otherwise(0.0)), F.when(k % 13 == 0, " of two").otherwise(""), F.when(k % 5 == 0, " because of it").otherwise(""))
+    effect = F.round(F.col("o_totalprice") / 50000 - 4, 2)
+    estimate = F.struct(
+        F.when(k % 20 != 0, effect).alias("effect"), (effect - 1).alias("lo90"), (effect + 1).alias("hi90"), F.when(k % 15 == 0, "synth").otherwise("its").alias("method"), F.when(k % 2 == 0, 0.05).otherwise(0.3).alias("p_value"),
+        F.lit("positive_share").alias("outcome"), F.lit("all").alias("sample"), F.when(k % 35 == 0, F.array(F.lit("confounded"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.lit(14).alias("horizon"),
+    )
+    source = F.concat(F.lit("Order "), F.col("o_orderpriority"), F.lit(" of "), F.col("o_orderstatus"))
+    quote = F.when(k % 6 == 0, F.concat(F.lit(" of   "), F.col("o_orderstatus"))).when(k % 6 == 1, F.lit("5-LOW of"))
+    claims = _orders(s, d).join(seen, "o_custkey").select(
+        text.alias("text"), F.when(k % 10 == 0, "causal").otherwise("comparative").alias("claim_type"), (about + F.when(k % 4 == 0, 3.0).otherwise(0.0)).alias("value"), F.lit("pp").alias("unit"), F.lit("decomposition").alias("tool"),
+        F.lit(None).cast("string").alias("outcome"), F.lit("$.total").alias("path"), F.when(k % 17 != 0, result).alias("result"), verify.numbers_in(result).alias("pool"), F.when(quote.isNotNull(), F.array(F.struct(quote.alias("text"), source.alias("source")))).otherwise(F.array()).alias("quotes"),
+        (k % 19 != 0).alias("reviews_found"), F.when(k % 11 == 0, F.array(F.upper(text))).otherwise(F.array(source)).alias("retrieved"), F.when(k % 25 != 0, estimate).alias("estimate"), (k % 4 == 2).alias("review_bomb"),
+    )
+    return verify.judged(claims).groupBy("decision", "blocked_by").agg(F.count("*").alias("n"), F.sum("based_on").alias("basis"), F.count_if(F.col("final_text").contains("credit the release")).alias("hedged"))
 
 
 def blame_counts(s: SparkSession, d: str) -> DataFrame:
@@ -506,8 +523,16 @@ SQL = {
     "pooled_vectors": """WITH v AS (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE + embedding[len(embedding) + 1 - i]::DOUBLE) / 2) AS m FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(m, m)) AS z FROM v)
       SELECT vec_id, round(m[1] / greatest(z, 1e-12), 6) AS first, round(m[len(m)] / greatest(z, 1e-12), 6) AS last FROM n""",
     "directions": "WITH k AS (SELECT o_orderkey % 3 AS k, CASE WHEN o_orderstatus = 'F' THEN 200000 - o_totalprice ELSE o_totalprice - 200000 END AS s FROM orders) SELECT CASE k WHEN 0 THEN s > 0 WHEN 1 THEN s < 0 ELSE true END AS holds, count(*) AS n FROM k GROUP BY 1",
-    "verified_claims": """WITH k AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'withheld:V2' WHEN o_orderkey % 4 = 0 THEN 'withheld:V1' WHEN o_orderkey % 5 = 0 THEN 'reworded:V4' ELSE 'shipped' END AS decision FROM orders)
-      SELECT decision, count(*) AS n, 12 * count(*) AS basis FROM k GROUP BY 1""",
+    "verified_claims": r"""WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS w, count(*) FILTER (o_orderstatus = 'F') AS b,
+        100.0 * count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') / nullif(count(*) FILTER (o_orderstatus = 'O'), 0) - 100.0 * count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS change FROM orders GROUP BY 1
+      ), k AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS st, round(change, 4) AS actual, coalesce(round(change, 1), 0) AS about, change, w, b, round(o_totalprice / 50000 - 4, 2) AS e FROM orders JOIN c USING (o_custkey)
+      ), v AS (SELECT *, about + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END AS value, abs(about) + CASE WHEN k % 8 = 4 THEN 2.2 ELSE 0 END AS stated, CASE WHEN k % 3 = 2 THEN 0 WHEN k % 3 = 1 OR change > 0 THEN 1 ELSE -1 END AS way, k % 5 = 0 OR k % 10 = 0 AS causal FROM k
+      ), r AS (SELECT *, CASE WHEN NOT causal THEN NULL WHEN k % 25 = 0 THEN 'no_estimate_cited' WHEN k % 20 = 0 THEN 'no_estimate' WHEN e - 1 <= 0 AND e + 1 >= 0 THEN 'range_includes_zero' WHEN k % 15 = 0 AND k % 2 = 1 THEN 'placebo_failed' WHEN k % 35 = 0 THEN 'confounded' WHEN k % 4 = 2 THEN 'review_bomb' END AS blocked_by,
+          change IS NOT NULL AND abs(value - actual) <= 0.5 + 1e-9 AND k % 13 <> 0 AND (abs(stated - abs(value)) <= 0.5 + 1e-9 OR least(abs(stated - abs(value)), abs(stated - abs(coalesce(actual, 1e9))), abs(stated - w), abs(stated - b)) <= 0.05 + 1e-9)
+          AND (value = 0 OR way = 0 OR sign(way) = sign(CASE WHEN k % 7 = 0 THEN -value ELSE value END)) AS v2 FROM v
+      ), f AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'withheld:V1' WHEN NOT v2 THEN 'withheld:V2' WHEN k % 19 = 0 OR (k % 6 = 1 AND p <> '5-LOW') THEN 'withheld:V3' WHEN blocked_by LIKE 'no_estimate%' THEN 'withheld:V4'
+          WHEN blocked_by IS NULL AND k % 10 <> 0 AND k % 5 = 0 THEN 'withheld:V5' WHEN k % 11 = 0 AND blocked_by IS NULL THEN 'withheld:V7' WHEN blocked_by IS NOT NULL THEN 'reworded:V4' ELSE 'shipped' END AS decision FROM r)
+      SELECT decision, blocked_by, count(*) AS n, sum(w + b) FILTER (decision NOT LIKE 'withheld%')::BIGINT AS basis, count(*) FILTER (decision = 'reworded:V4') AS hedged FROM f GROUP BY 1, 2""",
     "blame_counts": "SELECT o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) AS drafted, count(*) FILTER (o_orderkey % 6 = 0) AS shipped FROM orders GROUP BY 1",
     "summaries": "SELECT o_orderkey % 2 = 0 OR o_orderkey = 1 OR o_orderkey BETWEEN 1990 AND 2100 AS holds, count(*) AS n FROM orders GROUP BY 1",
     "supported_categories": "SELECT CASE WHEN o_totalprice > 250000 THEN 'price' WHEN o_orderkey % 2 = 0 THEN 'composition' ELSE 'none' END AS category, count(*) AS n FROM orders GROUP BY 1",

@@ -251,18 +251,77 @@ def test_allocations():
     assert sampling.packed([("a", 3), ("b", 3), ("c", 2)], 5) == [["a"], ["b", "c"]]
 
 
+CLAIM = (
+    "text string, claim_type string, value double, unit string, tool string, outcome string, path string, result string, pool array<double>, quotes array<struct<text: string, source: string>>,"
+    " reviews_found boolean, retrieved array<string>, estimate struct<effect: double, lo90: double, hi90: double, method: string, p_value: double, outcome: string, sample: string, flags: array<string>, horizon: int>, review_bomb boolean"
+)
+
+
+def claim(text, **own):
+    base = {
+        "claim_type": "comparative", "value": -3.46, "unit": "pp", "tool": "estimate", "outcome": None, "path": "$.a.effect", "result": '{"a": {"effect": -3.46}}', "pool": None,
+        "quotes": [], "reviews_found": True, "retrieved": [], "estimate": None, "review_bomb": False,
+    }
+    return (text, *(base | own).values())
+
+
 def test_claims(spark):
-    rows = [
-        ("The share fell 3.5 points", '{"a": -3.46}', "$.a", -3.46, False, None, None, False, "shipped"),
-        ("The share fell 4.5 points", '{"a": -3.46}', "$.a", -3.46, False, None, None, False, "withheld:V1"),
-        ("The share rose 3.5 points", '{"a": -3.46}', "$.a", -3.46, False, None, None, False, "withheld:V3"),
-        ("The share fell 3.5 points", '{"a": -3.46}', "$.b", -3.46, False, None, None, False, "withheld:V2"),
-        ("The share fell 3.5 points because of it", '{"a": -3.46}', "$.a", -3.46, False, None, None, False, "reworded:V4"),
-        ("It fell 3.5", '{"a": -3.46}', "$.a", -3.46, False, "not there", "some text", False, "withheld:V5"),
+    good = (-3.46, -5.0, -1.0, "its", None, "positive_share", "all", [], 14)
+    cases = [
+        (claim("The share fell 3.5 points"), "shipped"),
+        (claim("The share fell 3.5 points", result=None), "withheld:V1"),
+        (claim("The share fell", path=None), "withheld:V1"),
+        (claim("Players say so", path=None, value=None, result=None, quotes=[("b  c", "a b c")]), "shipped"),
+        (claim("Players say so", path=None, value=None, result=None), "withheld:V1"),
+        (claim("The share fell 4.5 points"), "withheld:V2"),
+        (claim("The share fell 4.5 points", pool=[4.46]), "shipped"),
+        (claim("The share fell 3.5 points", path="$.b"), "withheld:V2"),
+        (claim("The share fell 3.5 points", result='{"a": {"effect": "-3.46"}}', value=-3.46), "shipped"),
+        (claim("The share fell 3.5 points", result='{"a": {"effect": true}}'), "withheld:V2"),
+        (claim("The share fell 3.5 points", value=-4.0), "withheld:V2"),
+        (claim("It fell 3.5", value=-3.46, unit="hours", result='{"a": {"effect": -3.3}}'), "withheld:V2"),
+        (claim("It fell three points"), "withheld:V2"),
+        (claim("No one fell 3.5 points over 14 days since 2024-05-01 in v1.2"), "shipped"),
+        (claim("It fell 3.5", value=None), "withheld:V2"),
+        (claim("The share rose 3.5 points"), "withheld:V2"),
+        (claim("The negative share rose 3.5 points"), "shipped"),
+        (claim("The level rose to 3.5", path="$.a.share", result='{"a": {"share": -3.46}}'), "shipped"),
+        (claim("It fell 3.5 points", quotes=[("not there", "some text")]), "withheld:V3"),
+        (claim("It fell 3.5 points", quotes=[("  ", "some text")]), "withheld:V3"),
+        (claim("It fell 3.5 points", quotes=[("some", None)]), "withheld:V3"),
+        (claim("It fell 3.5 points", reviews_found=False), "withheld:V3"),
+        (claim("It fell 3.5 points because of it"), "withheld:V4"),
+        (claim("It fell 3.5 points because of it", estimate=(None, *good[1:])), "withheld:V4"),
+        (claim("It fell 3.5 points because of it", estimate=good, claim_type="causal"), "shipped"),
+        (claim("It fell 3.5 points because of it", estimate=good), "withheld:V5"),
+        (claim("It fell 3.5 points", estimate=good, claim_type="causal"), "shipped"),
+        (claim("It fell 3.5 points because of it", estimate=good, claim_type="causal", review_bomb=True), "reworded:V4"),
+        (claim("It fell 3.5 points because of it", estimate=(-3.46, -5.0, 1.0, *good[3:]), claim_type="causal"), "reworded:V4"),
+        (claim("It fell 3.5 points because of it", estimate=(*good[:3], "synth", 0.4, *good[5:])), "reworded:V4"),
+        (claim("It fell 3.5 points as a, b c d e f g", retrieved=["x points as a b c d e f"]), "withheld:V7"),
+        (claim("It fell 3.5 points", unit="a b c d e f g h", value=-3.46, retrieved=["a b c d e f g h i"]), "withheld:V7"),
     ]
-    df = spark.createDataFrame(rows, "text string, result string, path string, change double, negative boolean, quote string, source string, causal_allowed boolean, want string")
-    out = verify.judged(df).collect()
-    assert [r.decision for r in out] == [r.want for r in out]
+    rows = spark.createDataFrame([(*c, w, i) for i, (c, w) in enumerate(cases)], CLAIM + ", want string, i int")
+    out = verify.judged(rows, reasons={"range_includes_zero": "zero is in it"}, methods={"its": "time series"}).orderBy("i").collect()
+    assert [(r.i, r.decision) for r in out] == [(r.i, r.want) for r in out]
+    hedged = "Over the 14 days from the release, positive_share was -3.5 points against the time series estimate of what it would have been without the release (90% range -5.0 to +1.0). That isn't enough to credit the release: zero is in it."
+    assert out[28].final_text == hedged and out[28].blocked_by == "range_includes_zero" and out[5].final_text is None
+    noted = verify.judged(rows.where("i = 24").withColumn("estimate", F.col("estimate").withField("flags", F.array(F.lit("volume_spike")))), caveats={"volume_spike": "A burst."}).first()
+    assert noted.final_text == "It fell 3.5 points because of it A burst." and noted.decision == "shipped"
+
+
+def test_rows_behind_a_figure(spark):
+    overview = '{"total": {"reviews": 12, "share": 5}, "points": [{"reviews": 3, "share": 1}]}'
+    aspects = '{"aspects": {"x": {"negative": {"window_scored": 4, "baseline_scored": 6}}}}'
+    parts = '{"window_reviews": 10, "baseline_reviews": 20, "buckets": {"new": {"window_reviews": 2, "baseline_reviews": 3}}}'
+    cases = [
+        ("overview", overview, "$.total.share", 12), ("timeseries", overview, "$.points[0].share", 3), ("overview", overview, "$.total.price", None), ("estimate", overview, "$.total.share", None),
+        ("aspects", aspects, "$.aspects.x.negative.change", 10), ("aspects", aspects, "$.aspects.x.negative.window_share", 4), ("aspects", aspects, "$.aspects.x.negative.other", None),
+        ("aspects", aspects, "$.aspects.x.change", None), ("decomposition", parts, "$.composition", 30), ("decomposition", parts, "$.intervals.within.lo90", 30), ("decomposition", parts, "$.window_reviews", 10),
+        ("decomposition", parts, "$.buckets.new.baseline_share", 3), ("decomposition", parts, "$.buckets.new.window_mix", 10), ("decomposition", parts, "$.buckets.new.other", None), ("overview", "no json", "$.total.share", None),
+    ]
+    out = spark.createDataFrame(cases, "tool string, result string, path string, want long").withColumn("got", verify.basis("tool", "result", "path")).collect()
+    assert [(r.path, r.got) for r in out] == [(r.path, r.want) for r in out]
 
 
 def test_checks(spark):
