@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import rules
-from ..operators import estimators, joins, measures, retrieval, sampling, series
+from ..operators import estimators, joins, measures, retrieval, sampling, series, text_model
 from .tables import GUESS_SQL, REVIEWS_SQL, guess, read, reviews
 
 
@@ -275,6 +275,25 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return estimators.bootstrap_means(g, "lang", "right", 400)
 
 
+def gram_weights(s: SparkSession, d: str) -> DataFrame:
+    """For each document and kind of gram: grams, different ones, and the length of the vector of their weights."""
+    docs = read(s, d, "documents").select("doc_id", "text")
+    each = [docs.select("doc_id", F.lit(k).alias("kind"), F.explode(g).alias("gram")) for k, g in text_model.grams("text").items()]
+    counts = each[0].unionByName(each[1]).groupBy("doc_id", "kind", "gram").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("kind", "gram").agg(F.count("*").alias("df"))
+    weight = (1 + F.log("tf")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
+    out = counts.join(df, ["kind", "gram"]).crossJoin(F.broadcast(docs.agg(F.count("*").alias("docs")))).groupBy("doc_id", "kind")
+    return out.agg(F.sum("tf").alias("grams"), F.count("*").alias("different"), F.round(F.sqrt(F.sum(weight * weight)), 6).alias("length"))
+
+
+def score_texts(s: SparkSession, d: str) -> DataFrame:
+    """Every document scored for two labels by models of the labelled ones with an even id."""
+    docs = read(s, d, "documents").select("doc_id", c.clean_text("text", 1 << 30).alias("text"))
+    known = read(s, d, "labels").where("doc_id % 2 = 0").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    model = text_model.trained(docs.join(known, "doc_id"), ["good", "toxic"])
+    return text_model.scored(docs, model, {"good": 0.5, "toxic": 0.5}).drop("text")
+
+
 def gate_decisions(s: SparkSession, d: str) -> DataFrame:
     """Gate over rows made of line items."""
     l = read(s, d, "lineitem")
@@ -298,7 +317,7 @@ QUERIES = {f.__name__: f for f in (
     anchored_bundles, sale_islands, rolling_share, volume_anomaly, trailing_stats, binned_series, volume_gates, week_totals, quiet_windows, event_markers,
     donor_eligibility, decompose_parts, newcombe_change, psi_language, psi_length, prf, f1_summary, kappa, weighted_kappa, calibration, best_cut, uncertain_share,
     prevalence_pivot, class_weights, percentile_thresholds, latencies, repeated_calls, pooled_rate, top_code, trial_metrics, dense_topk, lsh_recall, bm25_topk,
-    hybrid_rrf, ranking_metrics, shingle_leak, stratified_sample, its_effects, synth_effects, bootstrap_ci, gate_decisions, paired_difference,
+    hybrid_rrf, ranking_metrics, shingle_leak, stratified_sample, its_effects, synth_effects, bootstrap_ci, gate_decisions, paired_difference, gram_weights, score_texts,
 )}
 
 _VEC = "v AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score, a.label AS la, b.label AS lb FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM v)"
@@ -315,6 +334,12 @@ def _wilson(x: str, n: str, sign: str) -> str:
 
 
 SQL = {
+    "gram_weights": r"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) AS w, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents),
+      c AS (SELECT doc_id, ' ' || unnest(t) || ' ' AS x FROM w),
+      g AS (SELECT doc_id, 'words' AS kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w
+        UNION ALL SELECT doc_id, 'chars', substr(x, i.i, n.n) FROM c, (SELECT unnest([3, 4, 5]) AS n) n, LATERAL (SELECT unnest(range(1, length(x) - n.n + 2)) AS i) i WHERE n.n <= length(x)),
+      k AS (SELECT doc_id, kind, gram, count(*) AS tf FROM g GROUP BY 1, 2, 3), f AS (SELECT kind, gram, count(*) AS df FROM k GROUP BY 1, 2), n AS (SELECT count(*) AS docs FROM documents)
+      SELECT doc_id, kind, sum(tf)::BIGINT AS grams, count(*) AS different, round(sqrt(sum(pow((1 + ln(tf)) * (ln((1 + docs) / (1 + df)) + 1), 2))), 6) AS length FROM k JOIN f USING (kind, gram), n GROUP BY 1, 2""",
     "anchored_bundles": """WITH RECURSIVE e AS (SELECT o_orderstatus AS entity, CAST(o_orderdate AS DATE) AS day, printf('%010d', o_orderkey) AS event FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000),
       b(entity, start) AS (SELECT entity, min(day) FROM e GROUP BY 1 UNION ALL SELECT b.entity, (SELECT min(day) FROM e WHERE e.entity = b.entity AND e.day >= b.start + 7) FROM b WHERE EXISTS (SELECT 1 FROM e WHERE e.entity = b.entity AND e.day >= b.start + 7)),
       g AS (SELECT b.entity, b.start, count(*) AS n, (arg_min(event, (day, event))) AS bundle_id FROM b JOIN e ON e.entity = b.entity AND e.day >= b.start AND e.day < b.start + 7 GROUP BY 1, 2)

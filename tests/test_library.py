@@ -1,6 +1,9 @@
 """Hand-worked values for the library's columns and operators."""
 
+import collections
 import datetime as dt
+import math
+import re
 
 import numpy as np
 import pytest
@@ -368,6 +371,58 @@ def test_drift(spark):
     assert len(out) == 4 and all(abs(r.value) < 0.1 for r in out)
 
 
+def word_and_char_grams(text):
+    """By plain loops."""
+    words = [w for w in re.findall(r"\w+", text.lower()) if len(w) > 1]
+    chars = []
+    for w in text.lower().split():
+        w = f" {w} "
+        for n in (3, 4, 5):
+            chars += [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+            if len(w) <= n:
+                break
+    return words + [" ".join(p) for p in zip(words, words[1:])], chars
+
+
+def test_grams_equal_plain_loops(spark):
+    texts = ["", None, "a", "ab", "Ab cd, x ef", "été  über\nab_1", "日本語のテキスト", "x" * 9, "  two  words "]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text_model.word_grams("t").alias("w"), text_model.char_grams("t").alias("c")).collect()
+    for r in got:
+        words, chars = word_and_char_grams(texts[r.i] or "")
+        assert (sorted(r.w), sorted(r.c)) == (sorted(words), sorted(chars)), texts[r.i]
+
+
+def test_scores_equal_the_sum_over_weighted_grams(spark):
+    rows = [(i, t, i % 2 == 0) for i, t in enumerate(["crash crash freeze", "lovely music", "it crashed", "music music", "", "the freeze"] * 4)]
+    df = spark.createDataFrame(rows, "id int, text string, bad boolean")
+    model = text_model.trained(df, ["bad"], buckets=4096)
+    place = {g: b for r in text_model.prepared(df, "text", 4096).select(text_model.word_grams("text").alias("w"), "_words").collect() for g, b in zip(r.w, r._words)}
+
+    def places(text):
+        """Buckets of both kinds; those of a character gram are taken alone, in a word of its own."""
+        words, chars = word_and_char_grams(text)
+        alone = [text_model.char_places([g], 4096)[1] for g in chars]
+        return [place[g] for g in words], [4096 + int(a[-1]) for a in alone]
+
+    df_of = collections.Counter(b for _, t, _ in rows for kind in places(t) for b in set(kind))
+    for r in text_model.scored(df, model, {"bad": 0.5}).collect():
+        total = model.intercepts["bad"]
+        for kind in places(r.text):
+            weights = {b: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df_of[b])) + 1) for b, n in collections.Counter(kind).items()}
+            size = math.sqrt(sum(w * w for w in weights.values())) or 1
+            total += sum(model.coefficients["bad"][b] * w / size for b, w in weights.items())
+        assert abs(r.p_bad - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_character_grams_of_many_texts_at_once():
+    texts = ["", "Ab cd, x ef", "été  über\nab_1", "日本語のテキスト", "x", "a " * 40]
+    padded = ["".join(f" {w} " for w in t.lower().split()) for t in texts]
+    row, place = text_model.char_places(padded, 1 << 40)
+    for i, t in enumerate(texts):
+        want = collections.Counter(int(text_model.char_places([g], 1 << 40)[1][-1]) for g in word_and_char_grams(t)[1])
+        assert collections.Counter(place[row == i].tolist()) == want
+
+
 def test_text_model_tells_classes_apart(spark):
     rows = [(i, "crash and freeze" if i % 2 else "lovely music", i % 2 == 1) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, text string, stability boolean")
