@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import rules
-from ..operators import estimators, joins, measures, retrieval, sampling, series, text_model
+from ..operators import estimators, intervals, joins, measures, retrieval, sampling, series, text_model
 from .tables import GUESS_SQL, REVIEWS_SQL, guess, read, reviews
 
 
@@ -270,6 +270,59 @@ def synth_effects(s: SparkSession, d: str) -> DataFrame:
     return estimators.synth_effects(u.select("unit", "start", "horizon", "kind"), members, interval=False)
 
 
+def _shipments(s: SparkSession, d: str, start: int, horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Units, one for each way of shipping and kind of outcome, and their own series with those of their clean donors. A
+    day of these series is a week of the table, so that days have rows enough at any scale."""
+    week = F.date_add(F.lit("1990-01-01").cast("date"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7).cast("int"))
+    e = read(s, d, "lineitem").groupBy(F.col("l_shipmode").alias("name"), week.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("x"))
+    daily = series.dense(e, ["name"], "day", ["n", "x"])
+    begin = F.date_add(F.lit("1990-01-01").cast("date"), start)
+    bundles = daily.select("name").distinct().select(F.col("name").alias("bundle_id"), "name", F.lit("ship").alias("group"), begin.alias("start"))
+    none = daily.limit(0).select("name", "day")
+    chosen = series.clean_donors(bundles, bundles.select("name", "group"), none, daily, "name", "group", "day", "n", pre=estimators.PRE_DAYS, post=horizon, median=10.0)
+    arrays = estimators.series_arrays(daily, "name", "day", "x", "n")
+    counts = ["first", "positives", "totals", "observed"]
+    own = arrays.select(F.col("name").alias("bundle_id"), "name", F.lit(True).alias("treated"), *counts)
+    donors = chosen.select("bundle_id", F.col("donor").alias("name")).join(arrays, "name").select("bundle_id", "name", F.lit(False).alias("treated"), *counts)
+    kinds = F.explode(F.array(F.lit("share"), F.lit("volume"))).alias("kind")
+    units = bundles.select(F.col("bundle_id"), F.datediff("start", F.lit("1970-01-01").cast("date")).alias("start"), F.lit(horizon).alias("horizon"), kinds)
+    unit = F.concat_ws("/", "bundle_id", "kind").alias("unit")
+    members = own.unionByName(donors).join(units.select("bundle_id", "kind"), "bundle_id").select(unit, "name", "treated", *counts)
+    return units.select(unit, "start", "horizon", "kind", F.array().cast("array<int>").alias("earlier")), members
+
+
+def conformal_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Ranges of effects at a date without any, by cyclic shifts."""
+    units, members = _shipments(s, d, 300, 14)
+    return intervals.conformal_intervals(units.drop("earlier"), members)
+
+
+def trial_cells(s: SparkSession, d: str) -> DataFrame:
+    """Both methods on planted effects: coverage, false alarms, power and error of each cell."""
+    units, members = _shipments(s, d, 300, 14)
+    found = [intervals.paired_trials(units.where(F.col("kind") == k).drop("kind"), members, {k: v}, ["step", "ramp"], 1, 7) for k, v in (("share", [0.0, -10.0]), ("volume", [0.0, -30.0]))]
+    out = intervals.trial_report(found[0].unionByName(found[1]))
+    return out.select("kind", "shape", "planted", "method", "trials", "estimated", "fallbacks", *[F.round(c, 6).alias(c) for c in ("coverage", "false_alarms", "power", "rmse")])
+
+
+def ratio_intervals(s: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the guess for each language, and their difference, over clusters of ten documents."""
+    hit = F.col("truth") & F.col("predicted")
+    rows = guess(s, d).select("lang", F.floor(F.col("doc_id") / 10).alias("cluster"), *[F.when(c, 1).otherwise(0).alias(n) for n, c in (("hit", hit), ("said", F.col("predicted")), ("true", F.col("truth")))])
+    out = intervals.bootstrap_ratios(rows, ["lang"], "cluster", {"precision": ("hit", "said"), "recall": ("hit", "true")}, [("precision", "recall")], samples=200)
+    return out.select("lang", "name", "clusters", *[F.round(c, 9).alias(c) for c in ("value", "lo", "hi")])
+
+
+def decomposition_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Ranges of the shift-share parts of each priority's orders by size, from the first half to the second."""
+    o = read(s, d, "orders").withColumn("late", F.col("o_orderdate").cast("date") >= F.lit("1995-01-01").cast("date"))
+    won = F.col("o_orderstatus") == "F"
+    cells = o.groupBy("o_orderpriority", F.least(F.floor(F.col("o_totalprice") / 100_000), F.lit(3)).alias("size")).agg(
+        F.count_if(~F.col("late") & won).alias("p0"), F.count_if(~F.col("late")).alias("n0"), F.count_if(F.col("late") & won).alias("p1"), F.count_if("late").alias("n1")
+    )
+    return intervals.decomposition_intervals(cells, ["o_orderpriority"], "size", resamples=500)
+
+
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     g = guess(s, d).withColumn("right", (F.col("truth") == F.col("predicted")).cast("double"))
     return estimators.bootstrap_means(g, "lang", "right", 400)
@@ -317,7 +370,8 @@ QUERIES = {f.__name__: f for f in (
     anchored_bundles, sale_islands, rolling_share, volume_anomaly, trailing_stats, binned_series, volume_gates, week_totals, quiet_windows, event_markers,
     donor_eligibility, decompose_parts, newcombe_change, psi_language, psi_length, prf, f1_summary, kappa, weighted_kappa, calibration, best_cut, uncertain_share,
     prevalence_pivot, class_weights, percentile_thresholds, latencies, repeated_calls, pooled_rate, top_code, trial_metrics, dense_topk, lsh_recall, bm25_topk,
-    hybrid_rrf, ranking_metrics, shingle_leak, stratified_sample, its_effects, synth_effects, bootstrap_ci, gate_decisions, paired_difference, gram_weights, score_texts,
+    hybrid_rrf, ranking_metrics, shingle_leak, stratified_sample, its_effects, synth_effects, bootstrap_ci, gate_decisions, paired_difference, gram_weights, score_texts, conformal_ranges, trial_cells, ratio_intervals,
+    decomposition_ranges,
 )}
 
 _VEC = "v AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score, a.label AS la, b.label AS lb FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM v)"
@@ -333,7 +387,16 @@ def _wilson(x: str, n: str, sign: str) -> str:
     return f"(({x} / {n} + z * z / (2 * {n}) {sign} z * sqrt({x} / {n} * (1 - {x} / {n}) / {n} + z * z / (4 * {n} * {n}))) / (1 + z * z / {n}))"
 
 
+_STEPS = "[" + ", ".join(repr(x) for x in intervals.poisson_steps()) + "]"
 SQL = {
+    "ratio_intervals": f"""WITH {GUESS_SQL}, k AS (SELECT lang, doc_id // 10 AS cluster, count(*) FILTER (truth AND predicted) AS hit, count(*) FILTER (predicted) AS said, count(*) FILTER (truth) AS yes FROM guess GROUP BY 1, 2),
+      w AS (SELECT k.*, b.b * 4 + j.j AS replicate, len(list_filter({_STEPS}, lambda x: x <= ('0x' || substr(md5('20261021:' || cluster || ':' || b.b), CAST(8 * j.j + 1 AS INT), 8))::BIGINT / 4294967296.0)) AS w
+        FROM k, (SELECT unnest(range(0, 50)) AS b) b, (SELECT unnest(range(0, 4)) AS j) j),
+      r AS (SELECT lang, replicate, sum(w * hit) AS hit, sum(w * said) AS said, sum(w * yes) AS yes FROM w GROUP BY 1, 2),
+      a AS (SELECT lang, 'r' AS kind, hit, said, yes FROM r UNION ALL SELECT lang, 'p', sum(hit), sum(said), sum(yes) FROM k GROUP BY 1),
+      v AS (SELECT lang, kind, n.name, CASE n.name WHEN 'precision' THEN hit / nullif(said, 0) WHEN 'recall' THEN hit / nullif(yes, 0) ELSE hit / nullif(said, 0) - hit / nullif(yes, 0) END AS value FROM a, (VALUES ('precision'), ('recall'), ('precision - recall')) n(name)),
+      c AS (SELECT lang, count(*) AS clusters FROM k GROUP BY 1)
+      SELECT lang, name, any_value(clusters) AS clusters, round(max(value) FILTER (kind = 'p'), 9) AS value, round(quantile_cont(value, 0.025) FILTER (kind = 'r'), 9) AS lo, round(quantile_cont(value, 0.975) FILTER (kind = 'r'), 9) AS hi FROM v JOIN c USING (lang) GROUP BY 1, 2""",
     "gram_weights": r"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) AS w, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents),
       c AS (SELECT doc_id, ' ' || unnest(t) || ' ' AS x FROM w),
       g AS (SELECT doc_id, 'words' AS kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w
