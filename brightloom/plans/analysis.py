@@ -248,33 +248,11 @@ def stratified_sample(s: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(docs, "lang", "doc_id", sampling.proportional_allocation(100, sizes), 11)
 
 
-def _units(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("unit"), F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.03).alias("x"))
-    arrays = estimators.series_arrays(series.dense(e, ["unit"], "day", ["n", "x"]), "unit", "day", "x", "n")
-    start = F.datediff(F.lit("1998-03-02").cast("date"), F.lit("1970-01-01").cast("date"))
-    return arrays.withColumns({"start": start, "horizon": F.lit(14), "kind": F.lit("volume")})
-
-
-def its_effects(s: SparkSession, d: str) -> DataFrame:
-    u = _units(s, d).withColumns({"earlier": F.array().cast("array<int>"), "busy": F.array().cast("array<int>")})
-    return estimators.its_effects(u)
-
-
-def synth_effects(s: SparkSession, d: str) -> DataFrame:
-    """Return flags as donors of each other."""
-    u = _units(s, d)
-    counts = ["first", "positives", "totals", "observed"]
-    own = u.select("unit", F.col("unit").alias("name"), F.lit(True).alias("treated"), *counts)
-    pairs = u.select("unit", F.lit("all").alias("group")).join(u.select(F.col("unit").alias("name"), F.lit("all").alias("group"), *counts), "group").where("unit != name")
-    members = own.unionByName(pairs.select("unit", "name", F.lit(False).alias("treated"), *counts))
-    return estimators.synth_effects(u.select("unit", "start", "horizon", "kind"), members, interval=False)
-
-
 def _shipments(s: SparkSession, d: str, start: int, horizon: int) -> tuple[DataFrame, DataFrame]:
-    """Units, one for each way of shipping and kind of outcome, and their own series with those of their clean donors. A
+    """Units, one for each line number and kind of outcome, and their own series with those of their clean donors. A
     day of these series is a week of the table, so that days have rows enough at any scale."""
-    week = F.date_add(F.lit("1990-01-01").cast("date"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7).cast("int"))
-    e = read(s, d, "lineitem").groupBy(F.col("l_shipmode").alias("name"), week.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("x"))
+    week = F.date_add(F.lit("1990-01-01").cast("date"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-02").cast("date")) / 7).cast("int"))
+    e = read(s, d, "lineitem").groupBy(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"), week.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("x"))
     daily = series.dense(e, ["name"], "day", ["n", "x"])
     begin = F.date_add(F.lit("1990-01-01").cast("date"), start)
     bundles = daily.select("name").distinct().select(F.col("name").alias("bundle_id"), "name", F.lit("ship").alias("group"), begin.alias("start"))
@@ -291,6 +269,22 @@ def _shipments(s: SparkSession, d: str, start: int, horizon: int) -> tuple[DataF
     return units.select(unit, "start", "horizon", "kind", F.array().cast("array<int>").alias("earlier")), members
 
 
+def its_effects(s: SparkSession, d: str) -> DataFrame:
+    """Steps at a date, beside an earlier event and with a critical value from quiet dates of the past."""
+    units, members = _shipments(s, d, 300, 14)
+    own = members.where("treated").drop("name", "treated")
+    day = F.col("start")
+    return estimators.its_effects(units.drop("earlier").join(own, "unit").withColumns({"earlier": F.array(day - 30), "busy": F.array(day - 100, day - 30)}))
+
+
+def synth_effects(s: SparkSession, d: str) -> DataFrame:
+    """Effects by clean donors with placebo fits and fit checks, and their ranges."""
+    units, members = _shipments(s, d, 300, 14)
+    units = units.drop("earlier")
+    fits = estimators.synth_effects(units, members, interval=False).drop("lo90", "hi90", "reason")
+    return fits.join(intervals.conformal_intervals(units, members).select("unit", "lo90", "hi90", "reason"), "unit")
+
+
 def conformal_ranges(s: SparkSession, d: str) -> DataFrame:
     """Ranges of effects at a date without any, by cyclic shifts."""
     units, members = _shipments(s, d, 300, 14)
@@ -315,7 +309,7 @@ def ratio_intervals(s: SparkSession, d: str) -> DataFrame:
 
 def decomposition_ranges(s: SparkSession, d: str) -> DataFrame:
     """Ranges of the shift-share parts of each priority's orders by size, from the first half to the second."""
-    o = read(s, d, "orders").withColumn("late", F.col("o_orderdate").cast("date") >= F.lit("1995-01-01").cast("date"))
+    o = read(s, d, "orders").withColumn("late", F.col("o_orderdate").cast("date") >= F.lit("1998-06-01").cast("date"))
     won = F.col("o_orderstatus") == "F"
     cells = o.groupBy("o_orderpriority", F.least(F.floor(F.col("o_totalprice") / 100_000), F.lit(3)).alias("size")).agg(
         F.count_if(~F.col("late") & won).alias("p0"), F.count_if(~F.col("late")).alias("n0"), F.count_if(F.col("late") & won).alias("p1"), F.count_if("late").alias("n1")
