@@ -26,16 +26,47 @@ def keyed_hash(salt: bytes):
     return keyed
 
 
-@F.pandas_udf(IntegerType())
-def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words in the longest run that two texts share."""
+def longest_run(x: list[str], y: list[str]) -> int:
+    """Words in the longest run that two lists share, by a suffix automaton of the shorter one: linear in both."""
+    short, long = sorted((x, y), key=len)
+    following: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for word in short:
+        new = len(following)
+        following.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        at, last = last, new
+        while at >= 0 and word not in following[at]:
+            following[at][word] = new
+            at = link[at]
+        if at < 0:
+            continue
+        met = following[at][word]
+        if length[met] == length[at] + 1:
+            link[new] = met
+            continue
+        copy = len(following)
+        following.append(dict(following[met]))
+        length.append(length[at] + 1)
+        link.append(link[met])
+        while at >= 0 and following[at].get(word) == met:
+            following[at][word] = copy
+            at = link[at]
+        link[met] = link[new] = copy
+    best = run = state = 0
+    for word in long:
+        while state and word not in following[state]:
+            state = link[state]
+            run = length[state]
+        if word in following[state]:
+            state = following[state][word]
+            run += 1
+            best = max(best, run)
+    return best
 
-    def one(x: str | None, y: str | None) -> int:
-        best, last = 0, {}
-        right = (y or "").lower().split()
-        for w in (x or "").lower().split():
-            now = {j: last.get(j - 1, 0) + 1 for j, v in enumerate(right) if v == w}
-            best, last = max([best, *now.values()]), now
-        return best
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+@F.pandas_udf(IntegerType())
+def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words in the longest run that two texts share, in lower case; 0 with a null."""
+    return pd.Series([longest_run((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b)], dtype="int32")

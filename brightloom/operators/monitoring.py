@@ -45,13 +45,45 @@ def outcomes(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return metrics.join(thresholds.select("metric", "threshold"), "metric", "left").withColumn("breached", F.col("value") > F.col("threshold"))
 
 
+def latest_windows(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The two latest window ends (of each `by`) with their place, 1 the latest; as many rows as there are groups, twice."""
+    keys = by or []
+    ends = judged.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("window_end"), asc=False), 1, 2).alias("_e")) if keys else None
+    if ends is not None:
+        return ends.select(*keys, F.posexplode("_e").alias("_p", "window_end")).withColumn("_p", F.col("_p") + 1)
+    two = judged.select("window_end").distinct().orderBy(F.col("window_end").desc()).limit(2)
+    return two.select("window_end", F.row_number().over(Window.orderBy(F.col("window_end").desc())).alias("_p"))  # two rows
+
+
 def new_breaches(judged: DataFrame) -> DataFrame:
     """Metrics breached in the latest window and not in the one before."""
-    place = F.dense_rank().over(Window.orderBy(F.col("window_end").desc()))
-    last = judged.withColumn("_p", place).where("_p <= 2").groupBy("metric").agg(F.max(F.when(F.col("_p") == 1, F.col("breached"))).alias("now"), F.max(F.when(F.col("_p") == 2, F.col("breached"))).alias("before"))
+    last = judged.join(F.broadcast(latest_windows(judged)), "window_end")
+    last = last.groupBy("metric").agg(F.max(F.when(F.col("_p") == 1, F.col("breached"))).alias("now"), F.max(F.when(F.col("_p") == 2, F.col("breached"))).alias("before"))
     return last.where(F.col("now") & ~F.coalesce("before", F.lit(False))).select("metric")
 
 
+def drift_pending(judged: DataFrame, log: DataFrame, by: str) -> DataFrame:
+    """by and whether a retraining for drift is owed, for every group with a weekly metric.
+
+    judged: by, metric, window_end, breached (null: not measured). log: by, at (in order), kind (requested or decision),
+    window_end. Owed is one whose latest week has a breach that the week before had not, unless one was asked for since
+    that week ended; or whose latest week has a breach, while one request is without a decision: it is asked once more only.
+    """
+    two = judged.join(latest_windows(judged, [by]), [by, "window_end"]).groupBy(by, "metric").agg(
+        F.coalesce(F.max(F.when(F.col("_p") == 1, F.col("breached"))), F.lit(False)).alias("now"),
+        F.coalesce(F.max(F.when(F.col("_p") == 2, F.col("breached"))), F.lit(False)).alias("before"),
+    )
+    weeks = judged.groupBy(by).agg(F.max("window_end").alias("latest"))
+    state = two.groupBy(by).agg(F.max("now").alias("any"), F.max(F.col("now") & ~F.col("before")).alias("fresh")).join(weeks, by)
+    requested = F.col("kind") == "requested"
+    decided = log.groupBy(by).agg(F.max(F.when(F.col("kind") == "decision", F.col("at"))).alias("decided"), F.max(F.when(requested, F.col("window_end"))).alias("asked"))
+    open_ = log.where(requested).join(decided.select(by, "decided"), by).where(F.col("decided").isNull() | (F.col("at") > F.col("decided"))).groupBy(by).agg(F.count("*").alias("open"))
+    both = state.join(decided.select(by, "asked"), by, "left").join(open_, by, "left")
+    asked = F.coalesce(F.col("asked") >= F.col("latest"), F.lit(False))
+    owed = F.col("any") & ((F.col("fresh") & ~asked) | (F.coalesce("open", F.lit(0)) == 1))
+    return both.select(by, owed.alias("pending"))
+
+
 def alert_state(log: DataFrame) -> DataFrame:
     """Open alerts: the last measured outcome of a rule decides; drills open but never resolve."""
     counted = log.where(F.col("breached").isNotNull() & ~(F.col("drill") & ~F.col("breached")))

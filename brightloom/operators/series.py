@@ -73,26 +73,30 @@ def islands(days: DataFrame, keys: list[str], day: str) -> DataFrame:
     return runs.groupBy(*keys, "_run").agg(F.min(day).alias("start"), F.max(day).alias("end"), F.count("*").alias("days")).drop("_run")
 
 
+def bundle_starts(events: DataFrame, key: str, day: str, join_days: int = JOIN_DAYS) -> DataFrame:
+    """The start of the bundle of each key's days with events."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        starts: list = []
+        days = sorted(group[day])
+        for d in days:
+            starts.append(starts[-1] if starts and (d - starts[-1]).days < join_days else d)
+        return pd.DataFrame({key: [group[key].iloc[0]] * len(days), day: days, "start": starts})
+
+    return events.select(key, day).where(F.col(day).isNotNull()).distinct().groupBy(key).applyInPandas(fold, f"{key} {kind}, {day} date, start date")
+
+
 def anchored_bundles(events: DataFrame, key: str, day: str, event_id: str, join_days: int = JOIN_DAYS, long_horizon: int = LONG_HORIZON) -> DataFrame:
     """Events within join_days of the first of their group, by key.
 
-    The group's first event decides, so runs are not chained; this is a fold over a key's event days, which are far
-    fewer than its rows: days are grouped first.
+    The group's first event decides, so runs are not chained. The fold is over a key's different days alone, of which a
+    calendar has few, however many events there are; events then find their bundle by an equal day.
     """
-    kind = events.schema[key].dataType.simpleString()
-    by_day = events.groupBy(key, day).agg(F.sort_array(F.collect_list(F.col(event_id).cast("string"))).alias("ids"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        starts, ids = [], []
-        for d, some in sorted(zip(group[day], group["ids"]), key=lambda p: p[0]):
-            if starts and (d - starts[-1]).days < join_days:
-                ids[-1] += list(some)
-            else:
-                starts.append(d)
-                ids.append(list(some))
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(starts), "start": starts, "event_ids": ids})
-
-    bundles = by_day.groupBy(key).applyInPandas(fold, f"{key} {kind}, start date, event_ids array<string>")
+    starts = bundle_starts(events, key, day, join_days)
+    placed = events.select(key, F.col(day).alias("_day"), F.col(event_id).cast("string").alias("_id")).join(starts.withColumnRenamed(day, "_day"), [key, "_day"])
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("_day", "_id"))), lambda x: x["_id"])
+    bundles = placed.groupBy(key, "start").agg(ids.alias("event_ids"))
     after = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
     return bundles.withColumns({
         "bundle_id": F.col("event_ids")[0],

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions import rules
+from ..functions import rules, schemas, text_udfs
 from ..operators import checks, joins, measures, monitoring, retrieval, sampling, series, verify, versions
 from ..sources import exports, landing
+from ..streaming import limits
 from .analysis import _TOKENS
 from .tables import GUESS_SQL, REVIEWS_SQL, guess, latest_reviews, read, reviews
 
@@ -206,9 +207,59 @@ def new_breaches(s: SparkSession, d: str) -> DataFrame:
     return monitoring.new_breaches(e.withColumn("breached", F.col("v") > 20))
 
 
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["id", "status", "lines"],
+    "properties": {
+        "id": {"type": "integer"},
+        "status": {"type": "string", "enum": ["F", "O"]},
+        "price": {"type": ["number", "null"], "least": 1000, "most": 400_000},
+        "lines": {"type": "array", "least": 1, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "most": 6}, "flag": {"type": "string"}}}},
+    },
+}
+
+
+def schema_problems(s: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines as JSON, some of them broken, against a schema: a row for each problem."""
+    k = F.col("o_orderkey")
+    line = F.when(F.col("l_linenumber") % 5 == 4, F.lit('"x"')).otherwise(F.format_string('{"n": %d%s}', "l_linenumber", F.when(F.col("l_returnflag") == "R", ', "extra": 1').when(F.col("l_returnflag") == "A", ', "flag": null').otherwise(', "flag": "N"')))
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t"))))["t"], ", ").alias("t"))
+    price = F.when(k % 6 == 0, "null").when(k % 6 == 1, F.lit('"12"')).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    both = read(s, d, "orders").join(lines, "o_orderkey", "left")
+    text = F.concat(F.lit("{"), F.when(k % 9 != 0, F.format_string('"id": %s, ', F.when(k % 10 == 3, F.concat(k.cast("string"), F.lit(".5"))).otherwise(k.cast("string")))).otherwise(""), F.lit('"status": "'), F.col("o_orderstatus"), F.lit('", "price": '), price, F.lit(', "lines": ['), F.coalesce("t", F.lit("")), F.lit("]"), F.when(k % 21 == 0, ', "status": 1').otherwise(""), F.when(k % 23 != 0, "}").otherwise(""))
+    found = both.select("o_orderkey", F.explode(schemas.json_problems(text, ORDER_SCHEMA)).alias("p"))
+    return found.select("o_orderkey", "p.path", "p.problem")
+
+
+def longest_runs(s: SparkSession, d: str) -> DataFrame:
+    """Words in the longest run that each benchmark item shares with the next but two, with a part of that one put behind it."""
+    b = read(s, d, "benchmark")
+    part = F.array_join(F.slice(F.split("text", " "), F.lit(3), F.pmod(F.col("item_id"), F.lit(6)).cast("int")), " ")
+    other = b.select((F.col("item_id") - 3).alias("item_id"), F.col("text").alias("other"), part.alias("part"))
+    own = b.join(other, "item_id").withColumn("text", F.concat_ws(" ", "text", "part"))
+    return own.select("item_id", text_udfs.longest_shared_run("text", "other").cast("long").alias("run"))
+
+
+def limited_requests(s: SparkSession, d: str) -> DataFrame:
+    """Events as requests of their type, in a time that runs 400 times as fast, under limits of a minute and a day."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 400).cast("long")
+    rows = read(s, d, "events").select("event_type", "event_id", at.alias("at"), (F.floor(F.coalesce("value", F.lit(0.0))) + 1).cast("long").alias("tokens"))
+    return limits.limited(rows, "event_type", "event_id", limits.Limits(5, 150, 900, "Etc/GMT+8"))
+
+
+def drift_pending(s: SparkSession, d: str) -> DataFrame:
+    """Users as models: weekly means of a type of event as metrics, purchases as requests and errors as decisions."""
+    e = read(s, d, "events").select("user_id", "event_id", "event_type", "value", F.date_trunc("week", F.col("ts").cast("timestamp")).cast("date").alias("window_end"))
+    judged = e.groupBy("user_id", F.col("event_type").alias("metric"), "window_end").agg((F.avg("value") > 60).alias("breached"))
+    kind = F.when(F.col("event_id") % 29 == 0, "requested").when(F.col("event_id") % 31 == 0, "decision")
+    log = e.where(kind.isNotNull()).select("user_id", F.col("event_id").alias("at"), kind.alias("kind"), F.date_add("window_end", -7).alias("window_end"))
+    return monitoring.drift_pending(judged, log, "user_id")
+
+
 def last_failure(s: SparkSession, d: str) -> DataFrame:
-    o = _orders(s, d).select("o_orderkey", F.struct("day", "o_orderkey").alias("start"), F.when(F.col("o_orderkey") % 2 == 0, F.col("day")).alias("end"), F.when(F.col("o_orderkey") % 3 < 3, "failed").alias("status"))
-    return monitoring.last_failure(o, "start", "end", "status").select("o_orderkey", "status")
+    o = _orders(s, d).select("o_orderkey", F.struct("day", "o_orderkey").alias("start"), F.when(F.col("o_orderkey") % 2 == 0, F.col("day")).alias("end"), F.when(F.col("o_totalprice") > 200_000, "failed").otherwise("done").alias("status"), "o_orderstatus")
+    runs = [monitoring.last_failure(o.where(F.col("o_orderstatus") == x), "start", "end", "status") for x in ("F", "O", "P")]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("o_orderkey", "o_orderstatus", "status")
 
 
 def run_log(s: SparkSession, d: str) -> DataFrame:
@@ -449,7 +500,7 @@ def equal_parts(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     price_snapshots, day_counts, release_days, unknown_fields, coverage_plan, covered_span, history_gaps, missing_days, purged_pages, windows_done, table_age,
     inserted_if_absent, appended_if_changed, latest_as_of, last_chunk_wins, above_mark, stamped_rows, to_recompute, scoring_backlog, rolled_up, reclassify,
-    mismatched_days, labels_aligned, retrain_set, decision_changes, treatment_candidates, event_flags, complete_windows, estimation_plan, regressions, alert_states,
+    mismatched_days, labels_aligned, retrain_set, decision_changes, treatment_candidates, limited_requests, drift_pending, schema_problems, longest_runs, event_flags, complete_windows, estimation_plan, regressions, alert_states,
     new_breaches, last_failure, run_log, all_reasons, staleness, json_membership, round_robin, label_cells, parsed_cells, list_parts, index_filter, index_over_cap,
     quality_log, held_quotes, shared_runs, json_values, stage_times, local_midnights, row_fingerprints, evidence_fingerprints, asked_questions, sigmoids, pooled_vectors,
     directions, verified_claims, blame_counts, summaries, supported_categories, injected_cases, weekly_agreement, model_differences, chosen_model, cross_validated,
@@ -498,7 +549,41 @@ SQL = {
     "alert_states": "WITH k AS (SELECT *, CASE WHEN event_type <> 'view' THEN value > 50 END AS b FROM events) SELECT user_id AS rule, arg_max(b, (ts, event_id)) AS open FROM k WHERE b IS NOT NULL AND NOT (event_id % 5 = 0 AND NOT b) GROUP BY 1",
     "new_breaches": """WITH k AS (SELECT CAST(user_id AS VARCHAR) AS metric, CAST(ts AS DATE) AS d, avg(value) > 20 AS b FROM events GROUP BY 1, 2), l AS (SELECT *, dense_rank() OVER (ORDER BY d DESC) AS p FROM k)
       SELECT metric FROM l WHERE p <= 2 GROUP BY 1 HAVING bool_or(b) FILTER (p = 1) AND NOT coalesce(bool_or(b) FILTER (p = 2), false)""",
-    "last_failure": f"WITH {_O} SELECT o_orderkey, 'failed' AS status FROM o WHERE o_orderkey % 2 = 0 ORDER BY day DESC, o_orderkey DESC LIMIT 1",
+    "last_failure": """SELECT o_orderkey, o_orderstatus, 'failed' AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 2 = 0) WHERE n = 1 AND o_totalprice > 200000""",
+    "longest_runs": """WITH b AS (SELECT a.item_id, string_split_regex(trim(lower(concat_ws(' ', a.text, array_to_string(string_split(o.text, ' ')[3:2 + a.part], ' ')))), '\\s+') AS x, string_split_regex(trim(lower(o.text)), '\\s+') AS y
+        FROM (SELECT *, (item_id + 3) % 6 AS part FROM benchmark) a JOIN benchmark o ON o.item_id = a.item_id + 3),
+      x AS (SELECT item_id, unnest(x) AS w, unnest(range(0, len(x))) AS i FROM b), y AS (SELECT item_id, unnest(y) AS w, unnest(range(0, len(y))) AS j FROM b),
+      m AS (SELECT item_id, i - j AS d, i, i - row_number() OVER (PARTITION BY item_id, i - j ORDER BY i) AS g FROM x JOIN y USING (item_id, w)), r AS (SELECT item_id, count(*) AS n FROM m GROUP BY item_id, d, g)
+      SELECT b.item_id, coalesce(max(n), 0) AS run FROM b LEFT JOIN r USING (item_id) GROUP BY 1""",
+    "schema_problems": """WITH l AS (SELECT l_orderkey AS k, count(*) AS n, list(l_linenumber ORDER BY l_linenumber, t) AS ns, list(f ORDER BY l_linenumber, t) AS fs FROM (SELECT *, l_returnflag AS f, CASE WHEN l_linenumber % 5 = 4 THEN '"x"' ELSE '{"n": ' || l_linenumber || CASE l_returnflag WHEN 'R' THEN ', "extra": 1' WHEN 'A' THEN ', "flag": null' ELSE ', "flag": "N"' END || '}' END AS t FROM lineitem) GROUP BY 1),
+      o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_totalprice AS p, coalesce(n, 0) AS n, ns, fs, o_orderkey % 21 = 0 OR o_orderkey % 23 = 0 AS broken FROM orders LEFT JOIN l ON l.k = o_orderkey),
+      e AS (SELECT k, unnest(ns) AS ln, unnest(fs) AS f, unnest(range(0, len(ns))) AS i FROM o WHERE NOT broken AND n > 0)
+      SELECT k AS o_orderkey, '$' AS path, 'is no JSON or names a field twice' AS problem FROM o WHERE broken
+      UNION ALL SELECT k, '$.id', CASE WHEN k % 9 = 0 THEN 'is missing' ELSE 'is decimal, not integer' END FROM o WHERE NOT broken AND (k % 9 = 0 OR k % 10 = 3)
+      UNION ALL SELECT k, '$.status', 'is none of the values' FROM o WHERE NOT broken AND st NOT IN ('F', 'O')
+      UNION ALL SELECT k, '$.price', 'is string, not number or null' FROM o WHERE NOT broken AND k % 6 = 1
+      UNION ALL SELECT k, '$.price', 'is out of bounds' FROM o WHERE NOT broken AND k % 6 > 1 AND (p < 1000 OR p > 400000)
+      UNION ALL SELECT k, '$.lines', 'is out of bounds' FROM o WHERE NOT broken AND n = 0
+      UNION ALL SELECT k, '$.lines[' || i || ']', 'is string, not object' FROM e WHERE ln % 5 = 4
+      UNION ALL SELECT k, '$.lines[' || i || '].n', 'is out of bounds' FROM e WHERE ln % 5 <> 4 AND ln > 6
+      UNION ALL SELECT k, '$.lines[' || i || '].extra', 'is unknown' FROM e WHERE ln % 5 <> 4 AND f = 'R'
+      UNION ALL SELECT k, '$.lines[' || i || '].flag', 'is void, not string' FROM e WHERE ln % 5 <> 4 AND f = 'A'""",
+    "drift_pending": """WITH e AS (SELECT user_id, event_id, event_type, value, CAST(date_trunc('week', ts) AS DATE) AS w FROM events), j AS (SELECT user_id, event_type, w, avg(value) > 60 AS b FROM e GROUP BY 1, 2, 3),
+      k AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY w DESC) AS p FROM j), m AS (SELECT user_id, event_type, coalesce(bool_or(b) FILTER (p = 1), false) AS now, coalesce(bool_or(b) FILTER (p = 2), false) AS before FROM k GROUP BY 1, 2),
+      t AS (SELECT user_id, bool_or(now) AS any_, bool_or(now AND NOT before) AS fresh FROM m GROUP BY 1), l AS (SELECT user_id, max(w) AS latest FROM e GROUP BY 1),
+      g AS (SELECT user_id, event_id, CASE WHEN event_id % 29 = 0 THEN 'r' WHEN event_id % 31 = 0 THEN 'd' END AS kind, w - 7 AS w FROM e),
+      h AS (SELECT user_id, max(w) FILTER (kind = 'r') AS asked, max(event_id) FILTER (kind = 'd') AS decided FROM g GROUP BY 1), o AS (SELECT g.user_id, count(*) AS n FROM g JOIN h USING (user_id) WHERE kind = 'r' AND event_id > coalesce(decided, -1) GROUP BY 1)
+      SELECT t.user_id, any_ AND (fresh AND NOT coalesce(asked >= latest, false) OR coalesce(n, 0) = 1) AS pending FROM t JOIN l USING (user_id) LEFT JOIN h USING (user_id) LEFT JOIN o USING (user_id)""",
+    "limited_requests": """WITH RECURSIVE r AS (SELECT event_type AS k, event_id AS id, CAST(floor(epoch_us(ts) / 400.0) AS BIGINT) AS a, CAST(floor(coalesce(value, 0)) + 1 AS BIGINT) AS n FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, id) AS i FROM r),
+      w(k, i, id, a, sent_at, outcome, times, toks, day, used, clock) AS (
+        SELECT DISTINCT k, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::BIGINT[], []::BIGINT[], -1::BIGINT, 0::BIGINT, -1::BIGINT FROM q
+        UNION ALL SELECT k, i, id, a, CASE WHEN o = 'sent' THEN t END, o, CASE WHEN o = 'sent' THEN list_append(times, t) ELSE times END[-40:], CASE WHEN o = 'sent' THEN list_append(toks, n) ELSE toks END[-40:],
+          CASE WHEN o = 'sent' THEN (t // 1000000 - 28800) // 86400 ELSE day END, CASE WHEN o <> 'sent' THEN used WHEN (t // 1000000 - 28800) // 86400 = day THEN used + 1 ELSE 1 END, CASE WHEN o = 'sent' THEN t ELSE clock END
+        FROM (SELECT *, CASE WHEN n > 150 THEN 'never' WHEN day = (greatest(a, clock) // 1000000 - 28800) // 86400 AND used >= 900 THEN 'quota' ELSE 'sent' END AS o,
+            list_min(list_filter(list_prepend(greatest(a, clock), list_transform(times, lambda x: x + 60000000)), lambda c: c >= greatest(a, clock) AND len(list_filter(times, lambda x: x > c - 60000000)) < 5
+              AND n + coalesce(list_sum(list_transform(list_filter(list_zip(times, toks), lambda z: z[1] > c - 60000000), lambda z: z[2])), 0) <= 150)) AS t
+          FROM (SELECT q.k, q.i, q.id, q.a, q.n, w.times, w.toks, w.day, w.used, w.clock FROM w JOIN q ON q.k = w.k AND q.i = w.i + 1) x) y)
+      SELECT k AS event_type, id AS event_id, a AS "at", sent_at, outcome FROM w WHERE i > 0""",
     "run_log": "SELECT CASE WHEN o_orderkey % 4 <> 0 THEN 'ok' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "all_reasons": "SELECT concat_ws(',', CASE WHEN o_totalprice < 50000 THEN 'small' END, CASE WHEN o_orderstatus = 'F' THEN 'closed' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'low' END) AS reasons, count(*) AS n FROM orders GROUP BY 1",
     "staleness": "SELECT CASE WHEN event_type = 'error' THEN true WHEN event_type <> 'view' THEN value > 40 END AS stale, count(*) AS n FROM events GROUP BY 1",

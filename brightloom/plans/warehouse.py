@@ -63,7 +63,9 @@ def hash_holdout(s: SparkSession, d: str) -> DataFrame:
 
 
 def date_dimension(s: SparkSession, d: str) -> DataFrame:
-    days = s.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))).alias("day"))
+    """Every day from the first order to the last, whether or not it has orders, with its attributes."""
+    ends = read(s, d, "orders").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
     return days.select("day", *[v.alias(k) for k, v in c.calendar("day").items()])
 
 
@@ -108,10 +110,15 @@ def event_window(s: SparkSession, d: str) -> DataFrame:
     """Rows 14 days before to 13 after large urgent orders of a status."""
     anchors = _urgent(s, d).select(F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("status"), F.col("day").alias("start"))
     days = series.days_around(anchors.withColumn("day", F.col("start")), "day", 14, 13)
-    o = read(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    price = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total")
+    o = read(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), price)  # a row for each day
     both = days.join(o, ["status", "day"])
     after = F.col("day") >= F.col("start")
-    return both.groupBy("event").agg(F.count_if(~after).alias("n_pre"), F.count_if(after).alias("n_post"), F.sum(F.when(after, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("post_total"))
+
+    def of(side: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(side, F.col(name))), F.lit(0))
+
+    return both.groupBy("event").agg(of(~after, "n").alias("n_pre"), of(after, "n").alias("n_post"), F.sum(F.when(after, F.col("total"))).cast("double").alias("post_total"))
 
 
 def comparison_counts(s: SparkSession, d: str) -> DataFrame:
@@ -307,7 +314,7 @@ SQL = {
     "playtime_bucket": f"WITH {REVIEWS_SQL} SELECT {_BUCKET} AS bucket, count(*) AS n FROM reviews GROUP BY 1",
     "length_eligibility": f"SELECT lang, count(*) FILTER (CASE WHEN lang = 'de' THEN length(text) >= 400 ELSE {_WORDS} >= 60 END) AS eligible, sum({_WORDS})::BIGINT AS words FROM documents GROUP BY lang",
     "hash_holdout": "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) < '33' AS held_out FROM documents",
-    "date_dimension": "SELECT CAST(d AS DATE) AS day, CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, CAST(week(d) AS INT) AS iso_week, CAST(isodow(d) AS INT) AS day_of_week, CAST(month(d) AS INT) AS month, CAST(year(d) AS INT) AS year FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d)",
+    "date_dimension": "SELECT CAST(d AS DATE) AS day, CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, CAST(week(d) AS INT) AS iso_week, CAST(isodow(d) AS INT) AS day_of_week, CAST(month(d) AS INT) AS month, CAST(year(d) AS INT) AS year FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d FROM orders)",
     "daily_sentiment": f"""WITH {REVIEWS_SQL}, c AS (SELECT entity, version AS day, count(*) AS n, count(*) FILTER (positive) AS x, count(*) FILTER (minutes < 600) AS new FROM latest GROUP BY 1, 2),
       ends AS (SELECT entity, min(day) a, max(day) b FROM c GROUP BY 1), spine AS (SELECT entity, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM ends),
       f AS (SELECT s.entity, s.day, coalesce(n, 0) AS n, coalesce(x, 0) AS x, coalesce(new, 0) AS new, 1.6449::DOUBLE AS z FROM spine s LEFT JOIN c ON s.entity = c.entity AND s.day = c.day)
