@@ -9,6 +9,8 @@ import tempfile
 import uuid
 import weakref
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Arrow batches of what runs have so many rows at most: those of long texts and sets take room in the
+    executors and their Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more, as all that was made of them is written itself."""
     for df in tables:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, read, small_side, written
+from .common import discard, read, small_batches, small_side, written
 from .components import components
 from .shingles import Hashes, mixed, shingle_set
 
@@ -52,6 +52,10 @@ LARGE = 48
 BITS = 1024
 SMALL = 16
 ROUNDS = 5
+#: Bits of a chunk's key: what is shuffled most. Keys that are equal by chance make a pair to verify, no link.
+KEY_BITS = 48
+#: Rows of an Arrow batch, as rows hold texts and sets.
+BATCH = 1_000
 #: Members of a crowd that its reference is made of.
 SAMPLE = 31
 SETS = "doc_id long, th long, n_shingles long, node long, sketch binary, keys array<long>"
@@ -84,7 +88,7 @@ def chunk_keys(shingles: np.ndarray, band: int, chunks: int, slack: int) -> np.n
     keys = mixed(bits + mixed((full + (band << 32)).astype(np.uint64)))
     if chunks - len(full) > slack:
         keys = np.append(keys, mixed(np.array([~band], np.int64).view(np.uint64)))
-    return keys
+    return keys >> np.uint64(64 - KEY_BITS)
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -222,13 +226,8 @@ def references(crowds: DataFrame, sets: DataFrame) -> DataFrame:
     return some.groupBy("key").applyInPandas(common, "key long, ref long, c array<long>")
 
 
-def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links of members of crowds (key, node; a written table) to their pivots, and the groups (key, node, linked) that
-    hold all other pairs that may link."""
-    # crowds with the same member first are parts of one family and become one
-    first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("r")).select("key", F.col("r.node").alias("first"))
-    crowds = written(crowds.join(small_side(written(first, "firsts")), "key").select(F.col("first").alias("key"), "node").distinct(), "families")
-    nodes = written(crowds.select("node").distinct(), "nodes")
+def sets_of(nodes: DataFrame, docs: DataFrame, canon: DataFrame, width: int) -> DataFrame:
+    """node and its shingles, s, for each of the nodes (a written table of distinct ones)."""
     texts = texts_of(nodes, docs, canon, "crowd-texts")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +236,19 @@ def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num:
             sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    sets = written(texts.mapInArrow(shingled, "node long, s array<long>"), "crowd-sets")
+    out = written(texts.mapInArrow(shingled, "node long, s array<long>"), "crowd-sets")
+    discard(texts)
+    return out
+
+
+def split(crowds: DataFrame, every: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of members of crowds (key, node; a written table) to their pivots, and the groups (key, node, linked) that
+    hold all other pairs that may link. every: a table of sets_of that has all members."""
+    # crowds with the same member first are parts of one family and become one
+    first = crowds.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("r")).select("key", F.col("r.node").alias("first"))
+    crowds = written(crowds.join(small_side(written(first, "firsts")), "key").select(F.col("first").alias("key"), "node").distinct(), "families")
+    nodes = written(crowds.select("node").distinct(), "nodes")
+    sets = every.join(small_side(nodes), "node", "left_semi")
     refs = written(references(crowds, sets), "references")
     known = written(refs.groupBy("ref").agg(F.first("c").alias("c")), "distinct-references")
     members = crowds.join(small_side(written(refs.select("key", "ref"), "keys")), "key").select("ref", "node").distinct()
@@ -251,7 +262,7 @@ def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num:
             n, c, a = (pa.array(list(v), pa.int64()) for v in (zip(*sizes) if sizes else ([], [], [])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, c, a, pa.array(own, pa.list_(pa.int64()))], names=["ref", "node", "n", "c", "a", "own"])
 
-    both = members.join(small_side(sets), "node").join(small_side(known), "ref").select("ref", "node", "s", "c")
+    both = members.join(sets, "node").join(small_side(known), "ref").select("ref", "node", "s", "c")
     diffs = written(both.mapInArrow(differences, "ref long, node long, n long, c long, a long, own array<long>"), "differences")
     nearest = diffs.groupBy("ref").agg(F.min(F.struct("a", "node")).alias("p")).select("ref", F.col("p.node").alias("node"))
     pivots = diffs.join(nearest, ["ref", "node"]).select("ref", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("theirs"))
@@ -278,7 +289,7 @@ def split(crowds: DataFrame, docs: DataFrame, canon: DataFrame, width: int, num:
         return judged.select("ref", "node", "linked", F.explode(by).alias("s")).select(F.xxhash64("ref", "s", F.lit(role)).alias("key"), "node", "linked")
 
     rows = written(keyed("same", 0).unionByName(keyed("other", 1)), "met")
-    discard(nodes, texts, sets, refs, known, diffs, pivots, judged)
+    discard(nodes, refs, known, diffs, pivots, judged)
     return found, rows
 
 
@@ -286,7 +297,7 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
     """Pairs of sets that connect all sets which links connect."""
     one = sets.join(small_side(written(canon.select("node", "doc_id", "th"), "names")), ["node", "doc_id", "th"], "left_semi")
     rows = one.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("linked"))
-    found, pairs, last = None, None, None
+    found, pairs, last, every = None, None, None, None
     for n in range(ROUNDS + 1):
         shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("linked").alias("all"))
         shared = written(shared.where("a < b and not all"), "shared")  # members that all link to a pivot are connected
@@ -301,15 +312,26 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
         discard(shared, more, members, *([last] if last is not None else []))
         if n == ROUNDS or crowds.isEmpty():
             break
-        near, rows = split(crowds, docs, canon, width, num, den)
+        if every is None:  # members of later crowds are some of these
+            nodes = written(crowds.select("node").distinct(), "nodes")
+            every = sets_of(nodes, docs, canon, width)
+            discard(nodes)
+        near, rows = split(crowds, every, num, den)
         found, last = near if found is None else found.unionByName(near), rows
         discard(crowds)
+    if every is not None:
+        discard(every)
     near = verified(pairs, docs, canon, width, num, den)
     return near if found is None else found.unionByName(near)
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _groups(docs, width, num, den)
+
+
+def _groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = written(sketches(docs, width, num, den), "sets")
     canon = sets.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
