@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +51,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. Its rows are measured while
+    they are written, which small_side asks for."""
     path = f"{scratch(df.sparkSession)}/brightloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.sum(_row_bytes(df)).alias("bytes")).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path
+    measured = seen.get
+    _paths[id(out)] = weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path, (measured["bytes"] or 0) if "bytes" in measured else None
     return out
 
 
@@ -78,7 +81,7 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more, as all that was made of them is written itself."""
     for df in tables:
-        ref, path = _paths.get(id(df), (None, None))
+        ref, path, _ = _paths.get(id(df), (None, None, None))
         if ref is not None and ref() is df:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
@@ -96,13 +99,19 @@ def _bytes_of(value: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    return sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(24)).cast("long")
+
+
 def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its rows take at most most_bytes, else as it is: then Spark shuffles both sides.
 
-    df should be a written table, for its rows are measured.
+    df should be a written table, whose bytes are known; the rows of another are measured here.
     """
-    row = sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema), F.lit(24))
-    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most_bytes else df
+    ref, _, size = _paths.get(id(df), (None, None, None))
+    if ref is None or ref() is not df or size is None:
+        size = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

@@ -17,7 +17,8 @@ in; so if they link, these have many shingles in common, at least half of their
 shingles that the reference lacks first, the first few of each then meet (the prefix rule): these are the keys of the
 next round's groups. The member nearest to the reference is the crowd's pivot. Members that link to it, which their
 differences tell exactly, are connected already and only look for members that don't, with longer and shorter
-prefixes. What are still crowds after ROUNDS rounds, sets that no reference tells apart, is paired. No link between
+prefixes. What are still crowds after ROUNDS rounds, sets that no reference tells apart, go to blocks of BLOCK members, and
+all sketches of one are held against all of another in one step, so that only pairs that may be links are made. No link between
 different texts is lost. A pair is first held against a sketch of BITS bits: if these differ in more bits than the
 sets may in shingles, it is no link. All other pairs are verified on the whole texts.
 
@@ -51,11 +52,13 @@ SLACK = 2
 LARGE = 48
 BITS = 1024
 SMALL = 16
-ROUNDS = 5
+ROUNDS = 2
 #: Bits of a chunk's key: what is shuffled most. Keys that are equal by chance make a pair to verify, no link.
 KEY_BITS = 48
 #: Rows of an Arrow batch, as rows hold texts and sets.
 BATCH = 1_000
+#: Members of a block of a crowd, whose sketches are held against those of another block at once.
+BLOCK = 256
 #: Members of a crowd that its reference is made of.
 SAMPLE = 31
 SETS = "doc_id long, th long, n_shingles long, node long, sketch binary, keys array<long>"
@@ -293,6 +296,40 @@ def split(crowds: DataFrame, every: DataFrame, num: int, den: int) -> tuple[Data
     return found, rows
 
 
+def near_sketches(members: DataFrame, canon: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) within crowds (key, node, linked; a written table), at least one not linked, whose sketches differ in no
+    more bits than their sets may. Members go to blocks; two blocks are a row, and a task holds all sketches of one against
+    all of the other, so only pairs that may be links become rows."""
+    sizes = written(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "crowd-sizes")
+    known = canon.join(small_side(written(members.select("node").distinct(), "crowd-nodes")), "node", "left_semi").select("node", "n_shingles", "sketch")
+    rows = members.join(small_side(sizes), "key").join(known, "node").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    cells = F.collect_list(F.struct("node", F.col("n_shingles").alias("n"), "linked", "sketch"))
+    blocks = written(rows.groupBy("key", "block").agg(cells.alias("m")), "blocks")
+    left, right = (blocks.select("key", F.col("block").alias(x), F.col("m").alias(f"m{x}")) for x in "ij")
+    both = left.join(right, "key").where("i <= j").select((F.col("i") == F.col("j")).alias("same"), "mi", "mj")
+
+    def unpack(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        node, n, linked, sketch = (cell.values.field(k) for k in ("node", "n", "linked", "sketch"))
+        bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(node), -1)
+        return node.to_numpy(), n.to_numpy(), linked.to_numpy(zero_copy_only=False), bits
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (a, n, x, p), (b, m, y, q) = unpack(batch.column(1)[k]), unpack(batch.column(2)[k])
+                most = (n[:, None] + m[None]) * (den - num)
+                apart = np.bitwise_count(p[:, None] ^ q[None]).sum(axis=2, dtype=np.int64)
+                may = (apart * (den + num) <= most) & (np.abs(n[:, None] - m[None]) * (den + num) <= most) & ~(x[:, None] & y[None])
+                if batch.column(0)[k].as_py():
+                    may = np.triu(may | may.T, 1)
+                i, j = np.nonzero(may)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], names=["a", "b"])
+
+    out = written(both.repartition("mi", "mj").mapInArrow(held, "a long, b long").where("a != b").distinct(), "near-sketches")
+    discard(sizes, blocks)
+    return out
+
+
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs of sets that connect all sets which links connect."""
     one = sets.join(small_side(written(canon.select("node", "doc_id", "th"), "names")), ["node", "doc_id", "th"], "left_semi")
@@ -303,20 +340,22 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
         shared = written(shared.where("a < b and not all"), "shared")  # members that all link to a pivot are connected
         more = written(shared.where("m > 2").select("key", (F.col("m") > SMALL).alias("crowd")), "more")
         members = written(rows.join(small_side(more), "key").distinct(), "members")
-        few = members if n == ROUNDS else members.where("not crowd")
-        left, right = (few.select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
+        left, right = (members.where("not crowd").select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
         now = left.join(right, "key").where("a < b and not (la and lb)").select("a", "b").unionByName(shared.where("m = 2").select("a", "b"))
         now = written(now.distinct(), "candidates")
         pairs = now if pairs is None else pairs.unionByName(now)
-        crowds = written(members.where("crowd").select("key", "node").distinct(), "crowds")
+        crowds = written(members.where("crowd").select("key", "node", "linked").distinct(), "crowds")
         discard(shared, more, members, *([last] if last is not None else []))
-        if n == ROUNDS or crowds.isEmpty():
+        if crowds.isEmpty():
+            break
+        if n == ROUNDS:
+            pairs = pairs.unionByName(near_sketches(crowds, canon, num, den))
             break
         if every is None:  # members of later crowds are some of these
             nodes = written(crowds.select("node").distinct(), "nodes")
             every = sets_of(nodes, docs, canon, width)
             discard(nodes)
-        near, rows = split(crowds, every, num, den)
+        near, rows = split(crowds.select("key", "node").distinct(), every, num, den)
         found, last = near if found is None else found.unionByName(near), rows
         discard(crowds)
     if every is not None:
