@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, landed, ledger, reports, warehouse
+from . import analysis, cases, landed, ledger, reports, warehouse
 
-QUERIES = warehouse.QUERIES | analysis.QUERIES | reports.QUERIES | ledger.QUERIES | landed.QUERIES
-SQL = warehouse.SQL | analysis.SQL | reports.SQL | ledger.SQL | landed.SQL
+QUERIES = warehouse.QUERIES | analysis.QUERIES | reports.QUERIES | ledger.QUERIES | landed.QUERIES | cases.QUERIES
+SQL = warehouse.SQL | analysis.SQL | reports.SQL | ledger.SQL | landed.SQL | cases.SQL
