@@ -19,20 +19,30 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 
 def price_snapshots(s: SparkSession, d: str) -> DataFrame:
-    """Price maps of a day, one JSON text for each order."""
-    body = F.format_string('{"%d": {"success": %s, "data": {"price_overview": {"currency": "EUR", "initial": %d, "final": %d, "discount_percent": 0}}}}', "o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, "true").otherwise("false"), F.col("o_custkey").cast("int"), (F.col("o_custkey") - 1).cast("int"))
-    return landing.prices(_orders(s, d).select(body.alias("json"), "day"), "json", "day").select("entity", "day", "ok", "initial", "final")
+    """Price maps of a day, one JSON text for each order: failed ones, free ones without a price, and broken texts."""
+    k = F.col("o_orderkey")
+    price = F.format_string('"data": {"price_overview": {"currency": "EUR", "initial": %d, "final": %d, "discount_percent": 0}}', F.col("o_custkey").cast("int"), (F.col("o_custkey") - 1).cast("int"))
+    inner = F.when(k % 9 == 0, '"success": false').when(k % 5 == 0, '"success": true, "data": {}').when(k % 7 == 0, price).otherwise(F.concat(F.lit('"success": true, '), price))
+    body = F.format_string('{"%d": {%s}', k, inner)
+    text = F.when(k % 17 != 0, F.when(k % 13 == 0, body).otherwise(F.concat(body, F.lit("}"))))
+    return landing.prices(_orders(s, d).select(text.alias("json"), "day"), "json", "day").select("entity", "day", "ok", "initial", "final")
 
 
 def day_counts(s: SparkSession, d: str) -> DataFrame:
-    body = F.format_string('{"query_summary": {"total_positive": %d, "total_negative": %d}}', "o_custkey", "o_orderkey")
+    """Counts of answers, of which some are broken, empty, or lack a side."""
+    k = F.col("o_orderkey")
+    whole = F.format_string('{"query_summary": {"total_positive": %d, "total_negative": %d}}', "o_custkey", "o_orderkey")
+    half = F.format_string('{"query_summary": {"total_negative": %d, "other": "x"}}', "o_orderkey")
+    body = F.when(k % 5 == 0, F.concat(F.lit("{"), whole)).when(k % 7 == 0, half).when(k % 11 == 0, "{}").when(k % 13 != 0, whole)
     return landing.day_counts(_orders(s, d).select("o_orderkey", body.alias("json")), "json").select("o_orderkey", "positive", "negative")
 
 
 def release_days(s: SparkSession, d: str) -> DataFrame:
-    kind = F.col("o_orderkey") % 3
-    text = F.when(kind == 0, F.date_format("day", "d MMM, yyyy")).when(kind == 1, F.date_format("day", "MMM d, yyyy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
-    rows = _orders(s, d).select("o_orderkey", text.alias("text"), (F.col("o_orderkey") % 7 == 0).alias("coming"))
+    """Days in three formats, some of them still to come, unreadable or null."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.date_format("day", "d MMM, yyyy")).when(k % 3 == 1, F.date_format("day", "MMM d, yyyy")).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    text = F.when(k % 5 == 0, "to be announced").when(k % 11 != 0, F.when(k % 13 == 0, F.concat(text, F.lit(" maybe"))).otherwise(text))
+    rows = _orders(s, d).select("o_orderkey", text.alias("text"), (k % 7 == 0).alias("coming"))
     return landing.release_days(rows, "text", "coming").select("o_orderkey", "release_day")
 
 
@@ -328,10 +338,13 @@ def quality_log(s: SparkSession, d: str) -> DataFrame:
 
 
 def held_quotes(s: SparkSession, d: str) -> DataFrame:
-    """Whether the first words of each benchmark text stand in a conversation turn or in itself."""
-    b = read(s, d, "benchmark")
-    quote = F.regexp_replace(F.substring("text", 3, 60), " ", "  ")
-    return b.select("item_id", c.holds_quote(quote, F.col("text")).alias("held"), c.holds_quote(F.concat(quote, F.lit(" no")), F.col("text")).alias("not_held"))
+    """Whether four words of a document, with other white space, stand in it, and whether those of the one before do."""
+    docs = read(s, d, "documents").select("doc_id", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    quote = F.when(F.col("doc_id") % 9 != 0, F.array_join(F.slice(words, 3, 4), " \n "))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), quote.alias("other"))
+    both = docs.withColumn("quote", quote).join(before, "doc_id", "left")
+    return both.select("doc_id", c.holds_quote("quote", "text").alias("own"), c.holds_quote("other", "text").alias("before"))
 
 
 def shared_runs(s: SparkSession, d: str) -> DataFrame:
@@ -511,9 +524,9 @@ _O = "o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)"
 _RUN8 = "list_transform(range(1, greatest(len(w) - 6, 1)), lambda k: array_to_string(w[k : k + 7], ' '))"
 
 SQL = {
-    "price_snapshots": f"WITH {_O} SELECT CAST(o_orderkey AS VARCHAR) AS entity, day, o_orderkey % 9 <> 0 AS ok, CAST(o_custkey AS INT) AS initial, CAST(o_custkey - 1 AS INT) AS final FROM o",
-    "day_counts": "SELECT o_orderkey, o_custkey AS positive, o_orderkey AS negative FROM orders",
-    "release_days": f"WITH {_O} SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN day END AS release_day FROM o",
+    "price_snapshots": f"WITH {_O} SELECT CAST(o_orderkey AS VARCHAR) AS entity, day, o_orderkey % 9 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 7 <> 0) AS ok, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 5 <> 0 THEN CAST(o_custkey AS INT) END AS initial, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 5 <> 0 THEN CAST(o_custkey - 1 AS INT) END AS final FROM o WHERE o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0",
+    "day_counts": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_custkey END AS positive, CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0) THEN o_orderkey END AS negative FROM orders",
+    "release_days": f"WITH {_O} SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN day END AS release_day FROM o",
     "unknown_fields": "SELECT path, count(*) AS n FROM (SELECT 'author.v' || (event_id % 3) AS path FROM events UNION ALL SELECT 'u' || (user_id % 4) FROM events) GROUP BY 1",
     "coverage_plan": f"WITH {_O} SELECT o_orderstatus AS entity, greatest(max(day) - 3, DATE '1995-01-01') AS forward_from, DATE '2000-01-01' AS forward_to, CASE WHEN min(day) > DATE '1995-01-01' THEN DATE '1995-01-01' END AS backward_from, CASE WHEN min(day) > DATE '1995-01-01' THEN min(day) END AS backward_to FROM o GROUP BY 1",
     "covered_span": f"WITH {_O} SELECT o_orderstatus, min(day) AS covered_from, max(day) AS covered_to FROM o GROUP BY 1",
@@ -595,7 +608,8 @@ SQL = {
     "index_filter": f"WITH {REVIEWS_SQL} SELECT count(*) AS n, sum(minutes)::BIGINT AS minutes FROM reviews WHERE entity = 'N' AND version BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND positive AND run_id <= 5 AND minutes < 600",
     "index_over_cap": f"WITH {_O} SELECT o_orderpriority AS entity, count(*) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM o a WHERE a.o_totalprice > 490000 AND a.o_orderpriority = o.o_orderpriority AND abs(a.day - o.day) <= 10) GROUP BY 1 HAVING count(*) > 100",
     "quality_log": "SELECT 7 AS run_id, 'unique' AS check, 'warn' AS severity, l_orderkey, l_suppkey FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1",
-    "held_quotes": "SELECT item_id, true AS held, false AS not_held FROM benchmark",
+    "held_quotes": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT doc_id, t, CASE WHEN doc_id % 9 <> 0 THEN array_to_string(string_split(t, ' ')[3:6], ' ') END AS q FROM d)
+      SELECT a.doc_id, contains(a.t, a.q) AS own, contains(a.t, b.q) AS before FROM q a LEFT JOIN q b ON b.doc_id + 1 = a.doc_id""",
     "shared_runs": f"""WITH b AS (SELECT item_id, list_filter({_TOKENS.format('text')}, lambda x: x <> '') AS w FROM benchmark), r AS (SELECT item_id, len(w) AS n, {_RUN8} AS runs FROM b)
       SELECT a.item_id, a.n >= 8 AS own, a.n >= 8 AND z.n >= 8 AND list_has_any(a.runs, z.runs) AS next FROM r a JOIN r z ON z.item_id = a.item_id + 1""",
     "json_values": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value FROM events",
