@@ -348,10 +348,12 @@ def held_quotes(s: SparkSession, d: str) -> DataFrame:
 
 
 def shared_runs(s: SparkSession, d: str) -> DataFrame:
-    """Whether a question shares eight words with the question 40 numbers on, or with itself."""
+    """Whether a question shares eight words with the next one, or with itself in capitals. Only A-Z become capitals: those
+    of other letters may be other words again in lower case (ß, SS, ss)."""
+    capitals = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     b = read(s, d, "benchmark").select("item_id", "text")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return b.join(other, "item_id").select("item_id", c.share_words_run("text", F.concat(F.lit("so "), F.upper("text"))).alias("own"), c.share_words_run("text", "other").alias("next"))
+    return b.join(other, "item_id").select("item_id", c.share_words_run("text", F.concat(F.lit("so "), capitals)).alias("own"), c.share_words_run("text", "other").alias("next"))
 
 
 def json_values(s: SparkSession, d: str) -> DataFrame:
