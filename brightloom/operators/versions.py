@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +90,13 @@ def reconciled(target: DataFrame, mirror: DataFrame, by: list[str]) -> DataFrame
 
 
 def strays_and_lacking(held: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys on one side only, with their side."""
-    stray = missing(held.select(*keys).distinct(), wanted, keys).withColumn("side", F.lit("stray"))
-    return stray.unionByName(missing(wanted.select(*keys).distinct(), held, keys).withColumn("side", F.lit("lacking")))
+    """Keys on one side only, with their side. Both sides are counted together, so neither is held by a task as a whole;
+    a null key has no counterpart."""
+    both = held.select(*keys, F.lit(1).alias("_held")).unionByName(wanted.select(*keys, F.lit(2).alias("_held")))
+    sides = both.groupBy(*keys).agg(F.bit_or("_held").alias("_held"))
+    some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    side = F.when(F.col("_held") == 1, F.array(F.lit("stray"))).when(F.col("_held") == 2, F.array(F.lit("lacking"))).when(some_null, F.array(F.lit("stray"), F.lit("lacking")))
+    return sides.select(*keys, F.explode(side).alias("side"))
 
 
 def affected_days(changed: DataFrame, recent: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
