@@ -27,18 +27,24 @@ PAGE = 6
 START, END = "2024-01-04 00:00:00", "2024-01-25 12:00:00"
 
 
+#: Events of a folder, about; a folder has whole users.
+FOLDER_EVENTS = 20_000
+
+
 def _events(s: SparkSession, d: str) -> DataFrame:
-    """Events newest first, numbered within their user."""
+    """Events newest first, numbered within their user, and dealt to the folders their pages are to land in."""
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    newest = Window.partitionBy("user_id").orderBy(F.col("at").desc(), F.col("event_id").desc())
-    return read(s, d, "events").select("user_id", "event_id", at.alias("at"), "event_type").withColumn("n", F.row_number().over(newest) - 1)
+    newest = Window.partitionBy("part", "user_id").orderBy(F.col("at").desc(), F.col("event_id").desc())
+    e = read(s, d, "events")
+    parts = max(s.sparkContext.defaultParallelism, -(-e.count() // FOLDER_EVENTS))
+    e = e.select("user_id", "event_id", at.alias("at"), "event_type", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int").alias("part"))
+    return e.repartition(parts, "part").withColumn("n", F.row_number().over(newest) - 1)  # all that follows is by part and user
 
 
 def _landed(pages: DataFrame, s: SparkSession) -> str:
-    """pages (entity, request, cursor, items) as JSON lines in a folder for each entity."""
+    """pages (part, entity, request, cursor, items) as JSON lines in a folder for each part."""
     path = shared_folder(s, "pages")
-    line = F.to_json(F.struct("request", "cursor", "items"))
-    pages.select("entity", line.alias("value")).repartition("entity").write.partitionBy("entity").text(path)
+    pages.select("part", F.to_json(F.struct("entity", "request", "cursor", "items")).alias("value")).write.partitionBy("part").text(path)
     return path
 
 
@@ -48,18 +54,17 @@ def _cursor_pages(s: SparkSession, d: str) -> str:
     e = _events(s, d)
     both = F.explode(F.when((F.col("n") % PAGE == 0) & (F.col("n") > 0), F.array(F.floor(F.col("n") / PAGE), F.floor(F.col("n") / PAGE) - 1)).otherwise(F.array(F.floor(F.col("n") / PAGE))))
     item = F.struct(F.when(F.col("event_id") % 31 != 0, F.col("event_id")).alias("id"), "at", F.col("event_type").alias("kind"))
-    pages = e.select("user_id", "n", item.alias("item"), both.alias("page")).groupBy("user_id", "page").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("i"))
-    last = Window.partitionBy("user_id")
-    pages = pages.withColumn("last", F.max("page").over(last))
+    pages = e.select("part", "user_id", "n", item.alias("item"), both.alias("page")).groupBy("part", "user_id", "page").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("i"))
+    last = F.max("page").over(Window.partitionBy("part", "user_id"))
+    here, empty = F.struct("page", F.col("i.item").alias("items")), F.struct((F.col("page") + 1).alias("page"), F.slice("i.item", 1, 0).alias("items"))
+    pages = pages.withColumn("last", last).select("part", "user_id", F.inline(F.when(F.col("page") == F.col("last"), F.array(here, empty)).otherwise(F.array(here))))
 
     def cursor(k: Column) -> Column:
         return F.when(k == 0, paged.FIRST).otherwise(F.concat(F.lit("c"), k.cast("string")))
 
     k, u = F.col("page"), F.col("user_id")
     following = F.when((u % 5 == 0) & (k == 2), "c1").when((u % 7 == 0) & (k == 1), F.lit(None)).otherwise(cursor(k + 1))
-    end = pages.where("page = last").select("user_id", (k + 1).alias("page"), F.array().cast(pages.schema["i"].dataType).alias("i"))
-    rows = pages.select("user_id", "page", "i").unionByName(end)
-    return _landed(rows.select(u.cast("string").alias("entity"), cursor(k).alias("request"), following.alias("cursor"), F.col("i.item").alias("items")), s)
+    return _landed(pages.select("part", u.cast("string").alias("entity"), cursor(k).alias("request"), following.alias("cursor"), "items"), s)
 
 
 def _seconds(time: str) -> Column:
@@ -68,7 +73,7 @@ def _seconds(time: str) -> Column:
 
 def _walked(s: SparkSession, path: str, **options: object) -> DataFrame:
     paged.register(s)
-    reader = s.read.format("paged").option("path", path)
+    reader = s.read.format("paged").option("path", path).option("folders", 1)
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
@@ -94,15 +99,16 @@ def cursor_items(s: SparkSession, d: str) -> DataFrame:
 def history_walks(s: SparkSession, d: str) -> DataFrame:
     """Pages back in time from each user's newest event: a page has the PAGE newest events up to its start, that time's included."""
     e = _events(s, d)
-    newest = e.agg(F.max("at")).first()[0]
-    pages = e.select("user_id", "at").distinct().withColumnRenamed("at", "asked").unionByName(e.select("user_id").distinct().withColumn("asked", F.lit(newest))).distinct()
+    newest = read(s, d, "events").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0]
+    if newest is None:
+        newest = 0
     # the rows of a page are the PAGE events from the first at or before its start on, in the user's order
-    first = e.groupBy("user_id", "at").agg(F.min("n").alias("n"))
-    older = Window.partitionBy("user_id").orderBy(F.col("asked").desc()).rowsBetween(0, Window.unboundedFollowing)
-    starts = pages.join(first.withColumnRenamed("at", "asked"), ["user_id", "asked"], "left").withColumn("from", F.first("n", ignorenulls=True).over(older))
-    each = starts.where("from is not null").select("user_id", "asked", F.explode(F.sequence(F.col("from"), F.col("from") + PAGE - 1)).alias("n")).join(e, ["user_id", "n"])
-    rows = each.groupBy("user_id", "asked").agg(F.sort_array(F.collect_list(F.struct("n", F.struct(F.col("event_id").alias("id"), "at")))).alias("i"))
-    path = _landed(rows.select(F.col("user_id").cast("string").alias("entity"), F.col("asked").cast("string").alias("request"), F.lit(None).cast("string").alias("cursor"), F.col("i").getField(rows.schema["i"].dataType.elementType.names[1]).alias("items")), s)
+    order = Window.partitionBy("part", "user_id").orderBy(F.col("n"))
+    items = F.collect_list(F.struct(F.col("event_id").alias("id"), "at")).over(order.rowsBetween(0, PAGE - 1))
+    first = e.withColumns({"items": items, "_later": F.lag("at").over(order)}).where("_later is null or _later <> at")
+    asked = F.explode(F.when(F.col("n") == 0, F.array_distinct(F.array(F.col("at"), F.lit(newest)))).otherwise(F.array("at")))
+    pages = first.select("part", F.col("user_id").cast("string").alias("entity"), asked.alias("asked"), "items")
+    path = _landed(pages.select("part", "entity", F.col("asked").cast("string").alias("request"), F.lit(None).cast("string").alias("cursor"), "items"), s)
     until = s.range(1).select(_seconds(START)).first()[0]
     out = _walked(s, path, rows="pages", walk="history", start=newest, until=until)
     return out.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.count("*").alias("pages"), F.sum("kept").alias("kept"), F.sum("repeated").alias("repeated"), F.max("stop").alias("stop"))
