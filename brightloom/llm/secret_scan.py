@@ -6,11 +6,12 @@ identifiers and the code around the candidate; the bytes a candidate adds to tha
 novelty. Prose, paths and known identifiers add little; keys add nearly all they have. The identifier dictionary holds
 fixed programming words and the names most often assigned to anywhere in the corpus, counted over all documents.
 
-What is novel is calibrated: strings of the same documents far from any sensitive word (CONTROLS of each at most) are
-measured alike, counted by length class over the corpus, and the cut of a class is what at most FALSE_SHARE of them
-reach, but LEAST_NOVELTY at least, which alone counts where controls are too few to tell.
+What is novel is calibrated: all strings of the same documents far from any sensitive word are measured alike, counted by
+length class over the corpus, and the cut of a class is what at most FALSE_SHARE of them reach, but LEAST_NOVELTY at
+least, which alone counts where fewer than ENOUGH different strings are controls: a word again says nothing new.
 
-Every text is scanned once from left to right: a string near several sensitive words is one candidate.
+Every text is scanned from left to right: a string near several sensitive words is one candidate. Texts are scanned once
+for candidates and names, and once more for controls, which are many and so aren't written.
 
 Defined cases: null and empty texts have no spans; repeated rows are each reported and each counted; equal spans of
 several kinds are all listed; a candidate that overlaps a base span is none; an empty table gives no rows; other columns
@@ -25,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,14 +54,13 @@ REACH = 80
 AROUND = 384
 LEVEL = 12
 DICTIONARY_NAMES = 2000
-CONTROLS = 8
 FALSE_SHARE, ENOUGH = 0.001, 2000
 #: Length classes begin at these lengths.
 CLASSES = (8, 10, 12, 16, 24, 40)
 #: Least cut of each class: short strings of any kind add about all they have, so few of them can be told.
 LEAST_NOVELTY = (1.3, 1.2, 1.0, 0.62, 0.62, 0.55)
 BINS = 100
-SCANNED = "doc_id string, base array<struct<kind:string,start:int,end:int>>, found array<struct<start:int,end:int,text:string,around:string>>, controls array<struct<text:string,around:string>>, names array<string>"
+SCANNED = "doc_id string, base array<struct<kind:string,start:int,end:int>>, found array<struct<start:int,end:int,text:string,around:string>>, names array<string>"
 
 
 def base_spans(text: str) -> list[Span]:
@@ -94,20 +95,21 @@ def strings(text: str, cover: Cover) -> tuple[list[tuple[int, int]], list[tuple[
             near.append((a, b))
         else:
             far.append((a, b))
-    return near, far[:: max(1, len(far) // CONTROLS)][:CONTROLS]
+    return near, far
 
 
 def length_class(n: int) -> int:
     return bisect_right(CLASSES, n) - 1
 
 
-def cuts_of(counts: dict[tuple[int, int], int]) -> list[float]:
-    """The cut of each length class, from controls counted by (class, bin of novelty)."""
+def cuts_of(counts: dict[tuple[int, int], int], different: dict[int, int] | None = None) -> list[float]:
+    """The cut of each length class, from controls counted by (class, bin of novelty); different ones by class, if some
+    are equal."""
     out: list[float] = []
     for k, least in enumerate(LEAST_NOVELTY):
         tally = [counts.get((k, b), 0) for b in range(2 * BINS)]
         total, above, cut = sum(tally), 0, 2 * BINS
-        if total < ENOUGH:
+        if (total if different is None else different.get(k, 0)) < ENOUGH:
             out.append(least)
             continue
         while cut and above + tally[cut - 1] <= FALSE_SHARE * total:
@@ -130,21 +132,24 @@ def novelty(candidate: str, around: str, pack: zstandard.ZstdCompressor) -> floa
     return (len(pack.compress(raw + candidate.encode())) - len(pack.compress(raw))) / len(candidate.encode())
 
 
+def surroundings(text: str, a: int, b: int) -> str:
+    return text[max(0, a - AROUND) : a] + text[b : b + AROUND]
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """Base spans, candidates with their surroundings, and assigned names, for each document."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            base, found, controls, names = [], [], [], []
+            base, found, names = [], [], []
             for text in batch["text"]:
                 text = text or ""
                 spans = base_spans(text)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                near, far = strings(text, Cover(spans))
-                found.append([{"start": a, "end": b, "text": text[a:b], "around": text[max(0, a - AROUND) : a] + text[b : b + AROUND]} for a, b in near])
-                controls.append([{"text": text[a:b], "around": text[max(0, a - AROUND) : a] + text[b : b + AROUND]} for a, b in far])
+                near, _ = strings(text, Cover(spans))
+                found.append([{"start": a, "end": b, "text": text[a:b], "around": surroundings(text, a, b)} for a, b in near])
                 names.append([m[1] for m in _NAME.finditer(text)] if "=" in text or ":" in text else [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base, "found": found, "controls": controls, "names": names})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base, "found": found, "names": names})
 
     return docs.select(text_id("doc_id"), "text").mapInPandas(scan, SCANNED)
 
@@ -162,16 +167,24 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     raw = dictionary_of(scan)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, counts = compressor(raw), Counter()
+        """Counts by class and bin; in bin -1 hashes of different strings, as many of a class as are enough."""
+        pack, counts, seen = compressor(raw), Counter(), [set() for _ in CLASSES]
         for batch in batches:
-            for controls in batch["controls"]:
-                for c in controls:
-                    bin_ = min(2 * BINS - 1, int(novelty(c["text"], c["around"], pack) * BINS))
-                    counts[length_class(len(c["text"])), bin_] += 1
-        yield pd.DataFrame([(k, b, n) for (k, b), n in counts.items()], columns=["k", "b", "n"]).astype("int64")
-
-    tally = scan.where(F.size("controls") > 0).select("controls").mapInPandas(measure, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
-    cuts = cuts_of({(r["k"], r["b"]): r["n"] for r in tally.collect()})  # classes x bins rows at most
+            for text in batch["text"]:
+                _, far = strings(text, Cover(base_spans(text)))
+                for a, b in far:
+                    bin_ = min(2 * BINS - 1, max(0, int(novelty(text[a:b], surroundings(text, a, b), pack) * BINS)))
+                    k = length_class(b - a)
+                    counts[k, bin_] += 1
+                    if len(seen[k]) < ENOUGH:
+                        seen[k].add(xxhash.xxh3_64_intdigest(text[a:b].encode()) >> 1)
+        rows = [(k, b, n) for (k, b), n in counts.items()] + [(k, -1, h) for k, hashes in enumerate(seen) for h in hashes]
+        yield pd.DataFrame(rows, columns=["k", "b", "n"]).astype("int64")
+
+    found = docs.where("text is not null").select("text").mapInPandas(measure, "k long, b long, n long")
+    told = F.col("b") >= 0
+    tally = found.groupBy("k", "b").agg(F.sum(F.when(told, F.col("n"))).alias("n"), F.count_distinct(F.when(~told, F.col("n"))).alias("different")).collect()  # classes x bins rows at most
+    cuts = cuts_of({(r["k"], r["b"]): r["n"] for r in tally if r["b"] >= 0}, {r["k"]: r["different"] for r in tally if r["b"] < 0})
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = compressor(raw)
