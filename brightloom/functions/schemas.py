@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import bound, col
 
 KINDS = {
     "object": "OBJECT", "array": "ARRAY", "string": "STRING", "integer": "TINYINT|SMALLINT|INT|BIGINT|DECIMAL\\(\\d+, ?0\\)", "number": "TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE",
@@ -28,10 +28,14 @@ def _one(condition: Column, path: Column, problem: Column | str) -> Column:
 
 
 def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
-    """Problems of a variant (null: missing) as an array of path and problem, outer ones first."""
+    """Problems of a variant (null: missing) as an array of path and problem, outer ones first. Each value, its kind and its
+    path are made once, however many rules read them."""
     at = F.lit(path) if isinstance(path, str) else path
+    return bound(F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"), at.alias("path")), lambda b: _problems(b["value"], b["kind"], schema, b["path"]))
+
+
+def _problems(value: Column, kind: Column, schema: dict, at: Column) -> Column:
     kinds = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
-    kind = F.schema_of_variant(value)
     fits = kind.rlike("^(?:" + "|".join(KINDS[k] for k in kinds) + ")")
     found = [_one(~fits, at, F.concat(F.lit("is "), F.lower(F.regexp_extract(kind, "^[A-Z]+", 0)), F.lit(f", not {' or '.join(kinds)}")))]
     if "enum" in schema:
@@ -44,18 +48,8 @@ def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
         found.append(_one(F.coalesce(fits & (low | high), F.lit(False)), at, "is out of bounds"))
     if "object" in kinds:
         is_object = kind.rlike("^OBJECT")
-        names = F.coalesce(F.when(is_object, F.json_object_keys(F.to_json(value))), F.array().cast("array<string>"))
-        own = schema.get("properties", {})
-        for name, inner in own.items():
-            child, below = F.try_variant_get(value, f"$['{name}']", "variant"), F.concat(at, F.lit(f".{name}"))
-            has = F.array_contains(names, name)
-            deeper = F.when(is_object & has, problems(child, inner, below)).otherwise(F.array().cast(PROBLEM))
-            found.append(deeper)
-            if name in schema.get("required", ()):
-                found.append(_one(is_object & ~has, below, "is missing"))
-        if not schema.get("additional", False):
-            strange = F.array_sort(F.array_except(names, F.array(*map(F.lit, own)).cast("array<string>")))
-            found.append(F.transform(strange, lambda n: F.struct(F.concat(at, F.lit("."), n).alias("path"), F.lit("is unknown").alias("problem"))).cast(PROBLEM))
+        named = F.coalesce(F.when(is_object, F.json_object_keys(F.to_json(value))), F.array().cast("array<string>"))
+        found.append(bound(named, lambda names: _fields(value, is_object, names, schema, at)))
     if "items" in schema:
         items = F.coalesce(F.when(kind.rlike("^ARRAY"), F.try_variant_get(value, "$", "array<variant>")), F.array().cast("array<variant>"))
         each = F.transform(items, lambda v, i: problems(v, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
@@ -63,11 +57,30 @@ def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
     return reduce(lambda a, b: F.concat(a, b), found)
 
 
+def _fields(value: Column, is_object: Column, names: Column, schema: dict, at: Column) -> Column:
+    """Problems of an object's fields, of those that are missing and of unknown ones."""
+    own, found = schema.get("properties", {}), [F.array().cast(PROBLEM)]
+    for name, inner in own.items():
+        child, below = F.try_variant_get(value, f"$['{name}']", "variant"), F.concat(at, F.lit(f".{name}"))
+        has = F.array_contains(names, name)
+        deeper = F.when(is_object & has, problems(child, inner, below)).otherwise(F.array().cast(PROBLEM))
+        found.append(deeper)
+        if name in schema.get("required", ()):
+            found.append(_one(is_object & ~has, below, "is missing"))
+    if not schema.get("additional", False):
+        strange = F.array_sort(F.array_except(names, F.array(*map(F.lit, own)).cast("array<string>")))
+        found.append(F.transform(strange, lambda n: F.struct(F.concat(at, F.lit("."), n).alias("path"), F.lit("is unknown").alias("problem"))).cast(PROBLEM))
+    return reduce(lambda a, b: F.concat(a, b), found)
+
+
 def json_problems(text: Column | str, schema: dict) -> Column:
     """Problems of a JSON text; one that can't be read, or names a field twice, has that problem alone, a null none."""
-    value = F.try_parse_json(col(text))
-    broken = _one(col(text).isNotNull(), F.lit("$"), "is no JSON or names a field twice")
-    return F.when(value.isNull(), broken).otherwise(problems(value, schema))
+
+    def told(b: Column) -> Column:
+        broken = _one(b["text"].isNotNull(), F.lit("$"), "is no JSON or names a field twice")
+        return F.when(b["value"].isNull(), broken).otherwise(problems(b["value"], schema))
+
+    return bound(col(text), lambda t: bound(F.struct(t.alias("text"), F.try_parse_json(t).alias("value")), told))
 
 
 def set_problems(rows: DataFrame, text: str, schema: dict, key: str, pinned: str | None = None, name: str = "id") -> DataFrame:
