@@ -45,12 +45,14 @@ def core_evidence(s: SparkSession, d: str) -> DataFrame:
 
 
 def trace_again(s: SparkSession, d: str) -> DataFrame:
-    """Calls of the trace by tool, and those whose answer changed after the urgent orders of a year were taken from the cells."""
+    """Calls of the trace by tool, and those whose answer changed after the urgent orders of a year were taken from the cells.
+    Tools of one call a scope are listed without any call too: where all bundles start on days without an estimate, none asks for one."""
     scopes, sources = _case(s, d)
     trace = evidence.traced(scopes, sources)
     less = sources.cells.withColumn("n", F.when(F.year("day") == 1997, F.col("n") - F.col("new")).otherwise(F.col("n")))
     changed = evidence.again(trace, evidence.Sources(less, sources.prices, sources.estimates, ranges=False))
-    return changed.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(~F.col("same")).alias("changed"))
+    listed = s.range(1).select(F.explode(F.array(*map(F.lit, ("overview", "aspects", "estimate")))).alias("tool"), F.lit(None).cast("boolean").alias("same"))
+    return changed.select("tool", "same").unionByName(listed).groupBy("tool").agg(F.count("same").alias("calls"), F.count_if(~F.col("same")).alias("changed"))
 
 
 QUERIES = {f.__name__: f for f in (core_evidence, trace_again)}
