@@ -4,7 +4,7 @@ Every shingle toggles one bit of a long sketch, so the sketches of two sets diff
 difference. A pair within the threshold with sizes of a band differs in D bits at most. The sketch of a band is cut
 into D + 1 + e chunks, so a pair has at least 1 + e equal chunks. A chunk's key is the xor of the hashes of the
 shingles that toggled it (the Zobrist hash of its bits): it joins documents of one band by equal chunks. Documents
-whose sets are equal were joined before, by the hash of the set, and send one sketch.
+whose sets are equal were joined before, by the hash of the set, and count as one member of a group.
 
 Chunks without any bit say little, so they are no keys; of 1 + e equal chunks one has bits, unless both documents have
 more than e empty chunks: such documents of a band share a key too. e is what a set of the band has of empty chunks,
@@ -330,22 +330,33 @@ def near_sketches(members: DataFrame, canon: DataFrame, num: int, den: int) -> D
     return out
 
 
+def sent_keys(sets: DataFrame, canon: DataFrame) -> DataFrame:
+    """key, node and linked (false) of the sets, in place: sets carry all their keys, so these don't travel to leave out copies.
+    Up to SMALL rows of one set all send its keys, and what they meet is made distinct; of more, which are few sets, one does."""
+    rows = sets.where("node is not null and doc_id is not null")
+    many = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    often = written(canon.join(many, "node", "left_semi").select("node", F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "often")
+    if not often.isEmpty():
+        rows = rows.join(small_side(often), "node", "left").where("_d is null or (doc_id = _d and th = _t)")
+    return rows.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("linked"))
+
+
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs of sets that connect all sets which links connect."""
-    one = sets.join(small_side(written(canon.select("node", "doc_id", "th"), "names")), ["node", "doc_id", "th"], "left_semi")
-    rows = one.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("linked"))
+    rows = sent_keys(sets, canon)
     found, pairs, last, every = None, None, None, None
     for n in range(ROUNDS + 1):
-        shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("linked").alias("all"))
-        shared = written(shared.where("a < b and not all"), "shared")  # members that all link to a pivot are connected
-        more = written(shared.where("m > 2").select("key", (F.col("m") > SMALL).alias("crowd")), "more")
-        members = written(rows.join(small_side(more), "key").distinct(), "members")
-        left, right = (members.where("not crowd").select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
-        now = left.join(right, "key").where("a < b and not (la and lb)").select("a", "b").unionByName(shared.where("m = 2").select("a", "b"))
+        # keys travel once: what a group is, its different members and their number come from one deal of the rows by key
+        group = Window.partitionBy("key")
+        met = rows.select("*", F.min("node").over(group).alias("a"), F.max("node").over(group).alias("b"), F.min("linked").over(group).alias("all"))
+        met = met.where("a < b and not all").select("key", "node", "linked", "a", "b").distinct()  # members that all link to a pivot are connected
+        members = written(met.withColumn("m", F.count("*").over(group)), "members")
+        left, right = (members.where(F.col("m").between(3, SMALL)).select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
+        now = left.join(right, "key").where("a < b and not (la and lb)").select("a", "b").unionByName(members.where("m = 2 and node = a").select("a", "b"))
         now = written(now.distinct(), "candidates")
         pairs = now if pairs is None else pairs.unionByName(now)
-        crowds = written(members.where("crowd").select("key", "node", "linked").distinct(), "crowds")
-        discard(shared, more, members, *([last] if last is not None else []))
+        crowds = written(members.where(F.col("m") > SMALL).select("key", "node", "linked"), "crowds")
+        discard(members, *([last] if last is not None else []))
         if crowds.isEmpty():
             break
         if n == ROUNDS:
