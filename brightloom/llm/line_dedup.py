@@ -111,23 +111,27 @@ def _near(texts: DataFrame, near_chars: int) -> DataFrame:
     return checked.where(F.levenshtein("line", "other", 1) >= 0).select("name").distinct()
 
 
+def gone_numbers(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, th, and the numbers of the lines that go from such a document, exact and near: four bytes a line."""
+    kinds = [F.collect_set(F.when(F.col("kind") == kind, F.col("no"))).alias(kind) for kind in ("exact", "near")]
+    return dropped_lines(docs, near_chars).groupBy("doc_id", "th").agg(*kinds)
+
+
 def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """row (a struct of all columns of docs, with lines dropped from text), n_lines, n_exact and n_near."""
-    gone = dropped_lines(docs, near_chars)
-    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "kind")).alias("gone")), "gone")
+    gone = written(gone_numbers(docs, near_chars), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("hash"))
     on = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))
     both = rows.join(small_side(gone), on, "left")
     lines = F.split("row.text", "\n")
-    numbers = F.transform("gone", lambda g: g["no"])
+    numbers = F.concat("exact", "near")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
 
     def count(kind: str) -> Column:
-        found = F.size(F.filter("gone", lambda g: g["kind"] == kind))
-        return F.when(F.col("gone").isNull(), 0).otherwise(found).cast("long")
+        return F.when(F.col(kind).isNull(), 0).otherwise(F.size(kind)).cast("long")
 
     return both.select(
-        F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)).alias("row"),
+        F.col("row").withField("text", F.when(F.col("th").isNull(), F.col("row.text")).otherwise(kept)).alias("row"),
         F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         count("exact").alias("n_exact"),
         count("near").alias("n_near"),

@@ -1,8 +1,8 @@
-"""What stays in place: sets with all their keys."""
+"""What stays in place: sets with all their keys, and lines that go as numbers of four bytes."""
 
 import pytest
 
-from brightloom.llm import jaccard_join
+from brightloom.llm import jaccard_join, line_dedup
 
 WORDS = [f"w{i:03d}" for i in range(400)]
 
@@ -28,3 +28,10 @@ def test_sets_are_not_shuffled_with_their_keys(spark, monkeypatch, copies):
     want = dict.fromkeys([*range(copies), 200], 0) | {100: 100, 101: 101, 102: 102, 201: 101}
     assert out == want
     assert ("Exchange" in plans[0]) == (copies > jaccard_join.SMALL)
+
+
+def test_lines_that_go_are_numbers(spark):
+    docs = spark.createDataFrame([(1, "a first line here\nanother line there"), (2, "a first line here\nquite new words\nanother line thera")], "doc_id long, text string")
+    gone = line_dedup.gone_numbers(docs)
+    assert [(f.name, f.dataType.simpleString()) for f in gone.schema][2:] == [("exact", "array<int>"), ("near", "array<int>")]
+    assert [(r.doc_id, r.exact, r.near) for r in gone.collect()] == [(2, [0], [2])]
