@@ -19,18 +19,25 @@ taken in the order of doc_id, piece and ids; an empty table gives no rows; other
 from __future__ import annotations
 
 import math
+import string
+import unicodedata
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, text_id, written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 8192
@@ -40,30 +47,43 @@ KEPT_WORDS = 600_000
 TEXTS, CALL_WORDS = 500, 5_000
 #: Bins with less room than this share of a sequence aren't packed again.
 TIGHT = 1 / 128
+#: Letters before this one are kept by normal form C, and Python lower-cases them as the tokenizer does.
+LATIN_END = "\u0250"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long, room long"
 
 
+@cache
+def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer, the same model without the rules that leave small ASCII and Latin letters and single spaces as they are,
+    and which ids end a word. Loaded once for all tasks of a Python worker."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+    tokenizer = Tokenizer.from_file(path)
+    ascii, latin = Tokenizer(tokenizer.model), Tokenizer(tokenizer.model)
+    ascii.pre_tokenizer = WhitespaceSplit()
+    latin.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokenizer, ascii, latin, ends
+
+
 class Encoder:
     """Ids of texts as little-endian bytes."""
 
     def __init__(self, path: str | None = None):
-        from tokenizers import Tokenizer
-
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ascii, self.latin, self.ends = _tokenizers(str(path))
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.known: dict[str, bytes] = {}
 
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
         """Ids of words that end before `ends`, with a gap behind each."""
@@ -79,47 +99,70 @@ class Encoder:
         for some, ids in zip(chunks, self._encode([mark.join(c) for c in chunks])):
             self._keep(some, ids, np.append(np.flatnonzero(ids == number), len(ids)), 1)
 
-    def _learn_letters(self, words: list[str]) -> None:
+    def _learn_letters(self, words: list[str], tokenizer: Tokenizer | None = None) -> None:
         """Encodes words of letters joined by spaces: the last id of each ends a word, and no other one does."""
         chunks = [words[at : at + CALL_WORDS] for at in range(0, len(words), CALL_WORDS)]
-        for some, ids in zip(chunks, self._encode([" ".join(c) for c in chunks])):
+        for some, ids in zip(chunks, self._encode([" ".join(c) for c in chunks], tokenizer)):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 self._keep(some, ids, ends, 0)
             else:  # letters of which the tokenizer makes more
                 self._learn(some)
 
-    def _meet(self, words: Iterable[str]) -> None:
-        """Makes words known. The tokenizer lower-cases, and letters never join with full stops and commas behind them, so
-        words of letters are encoded in lower case and without these. (A capital sigma has two small ones.)"""
-        new = [w for w in words if w not in self.known]
-        letters: dict[str, None] = {}
-        rest: dict[str, None] = {}
-        stems = {}
+    def _meet(self, new: list[str]) -> None:
+        """Makes new words known. The tokenizer lower-cases, and letters never join with the ASCII punctuation behind them, so
+        words of letters are encoded in lower case and without it. (A capital sigma has two small ones, and normal form C cuts
+        some letters into a letter and a mark, which does join.)"""
+        known = self.known
+        plain: set[str] = set()
+        latin: set[str] = set()
+        letters: set[str] = set()
+        rest: set[str] = set()
+        made = []
         for word in new:
-            stem = word.rstrip(".,")
-            if stem.isalpha() and "\u03a3" not in stem and len(low := stem.lower()) == len(stem):
-                letters[low] = None
-                if word != low:
-                    stems[word] = low, word[len(stem) :]
-                    rest[word[len(stem) :]] = None
+            stem = word.rstrip(string.punctuation)
+            if not stem.isalpha():
+                rest.add(word)
+                continue
+            low = stem.lower()
+            if stem.isascii():
+                of = plain
+            elif "\u03a3" not in stem and len(low) == len(stem) and unicodedata.is_normalized("NFC", stem):
+                of = latin if max(low) < LATIN_END else letters
             else:
-                rest[word] = None
-        self._learn_letters([w for w in letters if w not in self.known])
-        self._learn([w for w in rest if w not in self.known])
-        for word, (low, end) in stems.items():
-            self.known[word] = self.known[low] + self.known[end]
+                rest.add(word)
+                continue
+            if low not in known:
+                of.add(low)
+            if word != low:
+                end = word[len(stem) :]
+                made.append((word, low, end))
+                if end not in known:
+                    rest.add(end)
+        self._learn_letters(list(plain), self.ascii)
+        self._learn_letters(list(latin), self.latin)
+        self._learn_letters(list(letters))
+        self._learn(list(rest))
+        for word, low, end in made:
+            known[word] = known[low] + known[end]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]
-        parts = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]
-        counts: Counter[str] = Counter()
-        for p in parts:
-            counts.update(p)
-        self._meet(counts)
-        out = [self._encode([t])[0].tobytes() if w else b"".join(map(self.known.__getitem__, p)) for t, p, w in zip(texts, parts, whole)]
+        rest = pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string())
+        parts = pc.split_pattern(pc.replace_substring(rest, "\n", " "), " ")
+        coded = pc.dictionary_encode(parts.flatten())
+        words, word = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._meet([w for w in words if w not in self.known])
+        raw = [self.known[w] for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        start, n = (np.cumsum(length) - length)[word], length[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[parts.offsets.to_numpy()].tolist()
+        out = [self._encode([t])[0].tobytes() if w else ids[a:b].tobytes() for t, w, a, b in zip(texts, whole, bounds, bounds[1:])]
         if len(self.known) > KEPT_WORDS:
-            self.known = {w: self.known[w] for w, n in counts.items() if n > 1}
+            often = np.flatnonzero(np.bincount(word, minlength=len(words)) > 1).tolist()
+            self.known = {words[k]: raw[k] for k in often}
         return out
 
 
@@ -140,6 +183,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
