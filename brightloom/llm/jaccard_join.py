@@ -61,7 +61,8 @@ BATCH = 1_000
 BLOCK = 256
 #: Members of a crowd that its reference is made of.
 SAMPLE = 31
-SETS = "doc_id long, th long, n_shingles long, node long, sketch binary, keys array<long>"
+SETS = "doc_id long, th long, n_shingles long, node long, sketch binary"
+KEYED = "doc_id long, th long, node long, keys array<long>"
 
 
 @cache
@@ -104,34 +105,36 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, hash of the text, size, name and parity sketch of each set, with its keys in the bands where it may be
-    the smaller or the larger one."""
+def sketches(docs: DataFrame, width: int, num: int, den: int, keyed: bool = False) -> DataFrame:
+    """doc_id, hash of the text, size, name and parity sketch of each set; or, if keyed, its name and its keys in the bands
+    where it may be the smaller or the larger one. Keys are made where they are sent: written, they take more room than texts."""
+
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        known = bands(num, den, 1 << max(10, len(s).bit_length()))
+        at = bisect_right(known, len(s), key=itemgetter(0)) - 1
+        own = [chunk_keys(s, i, *known[i][2:]) for i in (at, at - 1) if i >= 0 and known[i][2] and len(s) <= known[i][1]]
+        return np.concatenate(own) if own else s[:0]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            sizes, nodes, marks, keys, ends = [], [], [], [], [0]
+            sizes, nodes, marks, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width, hashes)
-                n, own = len(s), []
-                if n:
-                    known = bands(num, den, 1 << max(10, n.bit_length()))
-                    at = bisect_right(known, n, key=itemgetter(0)) - 1
-                    for i in (at, at - 1):
-                        if i >= 0 and known[i][2] and n <= known[i][1]:
-                            own.append(chunk_keys(s, i, *known[i][2:]))
-                sizes.append(n)
-                nodes.append(node_of(s) if n else None)
-                marks.append(parity_bits(s) if n else None)
-                keys += own
-                ends.append(ends[-1] + sum(map(len, own)))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "node", "sketch", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(sketch, SETS)
+                nodes.append(node_of(s) if len(s) else None)
+                if keyed:
+                    keys.append(keys_of(s).view(np.int64) if len(s) else s.view(np.int64))
+                else:
+                    sizes.append(len(s))
+                    marks.append(parity_bits(s) if len(s) else None)
+            cols = [batch.column(0), batch.column(1)]
+            if keyed:
+                cols += [pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            else:
+                cols += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in (KEYED if keyed else SETS).split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(sketch, KEYED if keyed else SETS)
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, canon: DataFrame, label: str) -> DataFrame:
@@ -219,7 +222,8 @@ def references(crowds: DataFrame, sets: DataFrame) -> DataFrame:
     """key and reference of each crowd (key, node), by sets (node, s): shingles, and the least of them as its name. References
     of one name, which are much alike, then count as one."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
-    some = crowds.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "node").join(sets, "node")
+    some = written(crowds.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("key", "node"), "sample")
+    some = sets.join(small_side(some), "node")
 
     def common(group: pd.DataFrame) -> pd.DataFrame:
         s, n = np.unique(np.concatenate([v.view(np.uint64) for v in group["s"]]), return_counts=True)
@@ -254,7 +258,7 @@ def split(crowds: DataFrame, every: DataFrame, num: int, den: int) -> tuple[Data
     sets = every.join(small_side(nodes), "node", "left_semi")
     refs = written(references(crowds, sets), "references")
     known = written(refs.groupBy("ref").agg(F.first("c").alias("c")), "distinct-references")
-    members = crowds.join(small_side(written(refs.select("key", "ref"), "keys")), "key").select("ref", "node").distinct()
+    members = written(crowds.join(small_side(written(refs.select("key", "ref"), "keys")), "key").select("ref", "node").distinct(), "crowd-members")
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,10 +269,10 @@ def split(crowds: DataFrame, every: DataFrame, num: int, den: int) -> tuple[Data
             n, c, a = (pa.array(list(v), pa.int64()) for v in (zip(*sizes) if sizes else ([], [], [])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, c, a, pa.array(own, pa.list_(pa.int64()))], names=["ref", "node", "n", "c", "a", "own"])
 
-    both = members.join(sets, "node").join(small_side(known), "ref").select("ref", "node", "s", "c")
+    both = sets.join(small_side(members), "node").join(small_side(known), "ref").select("ref", "node", "s", "c")
     diffs = written(both.mapInArrow(differences, "ref long, node long, n long, c long, a long, own array<long>"), "differences")
-    nearest = diffs.groupBy("ref").agg(F.min(F.struct("a", "node")).alias("p")).select("ref", F.col("p.node").alias("node"))
-    pivots = diffs.join(nearest, ["ref", "node"]).select("ref", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+    nearest = written(diffs.groupBy("ref").agg(F.min(F.struct("a", "node")).alias("p")).select("ref", F.col("p.node").alias("node")), "nearest")
+    pivots = diffs.join(small_side(nearest), ["ref", "node"]).select("ref", F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("theirs"))
     pivots = written(pivots, "pivots")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +296,7 @@ def split(crowds: DataFrame, every: DataFrame, num: int, den: int) -> tuple[Data
         return judged.select("ref", "node", "linked", F.explode(by).alias("s")).select(F.xxhash64("ref", "s", F.lit(role)).alias("key"), "node", "linked")
 
     rows = written(keyed("same", 0).unionByName(keyed("other", 1)), "met")
-    discard(nodes, refs, known, diffs, pivots, judged)
+    discard(nodes, refs, known, members, diffs, nearest, pivots, judged)
     return found, rows
 
 
@@ -331,10 +335,11 @@ def near_sketches(members: DataFrame, canon: DataFrame, num: int, den: int) -> D
 
 
 def sent_keys(sets: DataFrame, canon: DataFrame) -> DataFrame:
-    """key, node and linked (false) of the sets, in place: sets carry all their keys, so these don't travel to leave out copies.
+    """key, node and linked (false) of the keyed sets, in place: sets carry all their keys, so these don't travel to leave out copies.
     Up to SMALL rows of one set all send its keys, and what they meet is made distinct; of more, which are few sets, one does."""
     rows = sets.where("node is not null and doc_id is not null")
-    many = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    counts = canon if "copies" in canon.columns else rows.groupBy("node").agg(F.count("*").alias("copies"))
+    many = counts.where(F.col("copies") > SMALL).select("node")
     often = written(canon.join(many, "node", "left_semi").select("node", F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "often")
     if not often.isEmpty():
         rows = rows.join(small_side(often), "node", "left").where("_d is null or (doc_id = _d and th = _t)")
@@ -343,7 +348,7 @@ def sent_keys(sets: DataFrame, canon: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs of sets that connect all sets which links connect."""
-    rows = sent_keys(sets, canon)
+    rows = sent_keys(sketches(docs, width, num, den, keyed=True), canon)
     found, pairs, last, every = None, None, None, None
     for n in range(ROUNDS + 1):
         # keys travel once: what a group is, its different members and their number come from one deal of the rows by key
@@ -384,8 +389,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
 def _groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = written(sketches(docs, width, num, den), "sets")
     canon = sets.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
-    ).select("node", "at.*", "n_shingles", "sketch")
+        F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+    ).select("node", "at.*", "n_shingles", "sketch", "copies")
     canon = written(canon, "canon")
     label = components(links(docs, sets, canon, width, num, den))
     named = canon.select("node", "doc_id").join(label, "node", "left")

@@ -35,3 +35,11 @@ def test_lines_that_go_are_numbers(spark):
     gone = line_dedup.gone_numbers(docs)
     assert [(f.name, f.dataType.simpleString()) for f in gone.schema][2:] == [("exact", "array<int>"), ("near", "array<int>")]
     assert [(r.doc_id, r.exact, r.near) for r in gone.collect()] == [(2, [0], [2])]
+
+
+def test_keys_are_not_written(spark, monkeypatch):
+    columns, kept = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, label: columns.extend(df.columns) or kept(df, label))
+    out = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(_docs(spark, 3)).collect()}
+    assert out == dict.fromkeys([0, 1, 2, 200], 0) | {100: 100, 101: 101, 102: 102, 201: 101}
+    assert "sketch" in columns and "keys" not in columns
