@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, read, small_batches, small_side, written
+from .common import discard, read, released, small_batches, small_side, written
 from .components import components
 from .shingles import Hashes, mixed, shingle_set
 
@@ -209,6 +209,7 @@ def verified(pairs: DataFrame, docs: DataFrame, canon: DataFrame, width: int, nu
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     out = written(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judged, "a long, b long"), "links")
     discard(pairs, near, wanted, texts)
+    released(docs.sparkSession)
     return out
 
 
@@ -356,6 +357,7 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
         met = rows.select("*", F.min("node").over(group).alias("a"), F.max("node").over(group).alias("b"), F.min("linked").over(group).alias("all"))
         met = met.where("a < b and not all").select("key", "node", "linked", "a", "b").distinct()  # members that all link to a pivot are connected
         members = written(met.withColumn("m", F.count("*").over(group)), "members")
+        released(docs.sparkSession)  # of keys, most of what is shuffled
         left, right = (members.where(F.col("m").between(3, SMALL)).select("key", F.col("node").alias(x), F.col("linked").alias(f"l{x}")) for x in "ab")
         now = left.join(right, "key").where("a < b and not (la and lb)").select("a", "b").unionByName(members.where("m = 2 and node = a").select("a", "b"))
         now = written(now.distinct(), "candidates")
@@ -372,10 +374,12 @@ def links(docs: DataFrame, sets: DataFrame, canon: DataFrame, width: int, num: i
             every = sets_of(nodes, docs, canon, width)
             discard(nodes)
         near, rows = split(crowds.select("key", "node").distinct(), every, num, den)
+        released(docs.sparkSession)
         found, last = near if found is None else found.unionByName(near), rows
         discard(crowds)
     if every is not None:
         discard(every)
+    released(docs.sparkSession)
     near = verified(pairs, docs, canon, width, num, den)
     return near if found is None else found.unionByName(near)
 
